@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 #: fixed values: white space that may surround a name, primitive descriptor letters, primitive type names
-SPACES = " \t\n\r\f\x0b "
+SPACES = " \t\n\r\f\x0b\u00a0"
 PRIMITIVE_LETTERS = ["B", "C", "D", "F", "I", "J", "S", "Z"]
 PRIMITIVE_NAMES = ["byte", "char", "double", "float", "int", "long", "short", "boolean"]
 

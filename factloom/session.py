@@ -22,9 +22,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
 
 
 def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors."""
+    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors. Unions made in loops
+    would add up their partitions, so these are brought back to the session's number without a shuffle."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager)
+    return df.coalesce(parallelism(df.sparkSession)).checkpoint(eager)
 
 
 def parallelism(spark: SparkSession) -> int:
