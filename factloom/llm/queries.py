@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from factloom.llm import contamination, statements, tokens
+from factloom.llm import contamination, personal, statements, tokens
 from factloom.session import table
 
 
@@ -49,6 +49,17 @@ def p7_leaked_items(spark: SparkSession, root: str) -> DataFrame:
     return p7_found(spark, root).groupBy("item_id").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
+# 8. personal information
+def p8_found(spark: SparkSession, root: str) -> DataFrame:
+    """Mail addresses, phone numbers, identity numbers, street addresses and names of every text."""
+    return personal.find_personal(table(spark, root, "documents"), F.col("doc_id"), F.col("text"))
+
+
+def p8_redacted(spark: SparkSession, root: str) -> DataFrame:
+    """Every text with its personal information replaced by typed placeholders."""
+    return personal.redact_personal(table(spark, root, "documents"), F.col("doc_id"), F.col("text"))
+
+
 P7_FOUND_SQL = r"""
 WITH d AS (SELECT doc_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM documents WHERE text IS NOT NULL),
 i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),
@@ -58,7 +69,7 @@ SELECT DISTINCT doc_id, item_id FROM ds JOIN isx USING (s)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_statements, p6_ids, p7_found, p7_passages, p7_leaked_items)
+    f.__name__: f for f in (p2_found, p2_statements, p6_ids, p7_found, p7_passages, p7_leaked_items, p8_found, p8_redacted)
 }
 SQL: dict[str, str] = {
     "p7_found": P7_FOUND_SQL,

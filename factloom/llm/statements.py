@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from factloom.operators.skew_join import left_join_unique
 from factloom.session import cut
 
-_GAP = r"[\s​‌‍⁠﻿]"
+_GAP = r"[\s\u200b\u200c\u200d\u2060\ufeff]"
 _LEAD = regex.compile(rf"(?:{_GAP}+|<!--.*?-->|/\*.*?\*/|--[^\r\n]*(?:[\r\n]|$)|<\?.*?\?>|;)*", regex.S)
 _XML = regex.compile(
     r"(?P<skip><!--.*?-->|<\?.*?\?>)|<!\[CDATA\[(?P<cdata>.*?)\]\]>|</(?P<close>[\w:.-]+)\s*>"
