@@ -55,6 +55,8 @@ OTHER_LABELS = [
 ]
 
 STREET_EN = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close", "terrace", "boulevard", "blvd", "drive", "dr", "court", "ct", "square", "sq", "place", "pl", "way", "crescent", "row", "walk", "gardens", "hill", "mews", "parade", "quay", "grove", "highway", "hwy", "parkway", "pkwy", "alley"]
+#: types that are written with a dot
+SHORTENED = {"st", "ave", "ln", "blvd", "dr", "ct", "sq", "pl", "hwy", "pkwy"}
 STREET_FR = ["rue", "avenue", "av.", "place", "bd", "boulevard", "quai", "allée", "chemin", "impasse", "route", "cours", "square", "passage"]
 STREET_ES = ["calle", "c/", "c.", "plaza", "pza.", "avda.", "avda", "avenida", "av.", "paseo", "pº", "camino", "carretera", "ronda", "travesía"]
 STREET_DE = ["straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer", "steig", "chaussee"]
@@ -235,27 +237,21 @@ def _phone(text: str, m: regex.Match) -> Span | None:
 # ---- addresses ----------------------------------------------------------------------------------------------------
 
 _WORD = r"[\p{Lu}][\p{L}'’\-]*"
-_NO = r"\d{1,4} ?(?:[A-Za-z](?![\p{L}\d]))?(?: ?[-–/] ?\d{1,4}[A-Za-z]?)?"
 _EN = regex.compile(
-    rf"(?<![\p{{L}}\d.,\-])(?:(?:Flat|Apt\.?|Apartment|Unit|Suite|Room) \d+\w?, )?\d{{1,5}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)? (?:[NSEW]\.? )?(?:{_WORD} ){{1,4}}"
-    rf"(?P<type>{'|'.join(STREET_EN)})(?![\p{{L}}\d])(?P<dot>\.)?(?P<flat>,? (?:Flat|Apt\.?|Apartment|Unit|Suite|Floor|#) ?\d+\w?|, \d+(?:st|nd|rd|th) floor)?",
-    regex.I,
+    rf"(?<![\p{{L}}\d.,\-])(?:(?i:Flat|Apt\.?|Apartment|Unit|Suite|Room) \d+\w?, )?\d{{1,5}}[A-Za-z]?(?:[-–]\d{{1,5}}[A-Za-z]?)? (?:[NSEW]\.? )?(?:{_WORD} ){{1,4}}"
+    rf"(?P<type>(?i:{'|'.join(STREET_EN)}))(?![\p{{L}}\d])(?P<dot>\.)?(?P<flat>,? (?i:Flat|Apt\.?|Apartment|Unit|Suite|Floor|#) ?\d+\w?|, \d+(?:st|nd|rd|th) floor)?",
 )
 _FR = regex.compile(
-    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?:[ \-]{_WORD})?(?P<flat>,? (?:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
-    regex.I,
+    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?i:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?i:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?P<flat>,? (?i:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
 )
 _ES = regex.compile(
-    rf"(?<![\p{{L}}\d])(?:{'|'.join(map(regex.escape, STREET_ES))}) (?:(?:de la|de los|de las|del|de|la|el|los) )?{_WORD}(?: {_WORD}){{0,2}},? (?:n[ºo°]\.? ?|núm\. ?)?\d{{1,4}}(?: ?[A-Za-z](?![\p{{L}}\d]))?(?P<flat>, \d{{1,2}}[ºª°](?: ?[A-Z](?!\p{{L}})| (?:izq|dcha|izda|derecha|izquierda)\.?)?|, (?:bajo|piso|portal|esc\.) ?\w*)?",
-    regex.I,
+    rf"(?<![\p{{L}}\d])(?i:{'|'.join(map(regex.escape, STREET_ES))}) (?:(?i:de la|de los|de las|del|de|la|el|los) )?{_WORD}(?: {_WORD}){{0,2}},? (?i:n[ºo°]\.? ?|núm\. ?)?\d{{1,4}}(?: ?[A-Za-z](?![\p{{L}}\d]))?(?P<flat>, \d{{1,2}}[ºª°](?: ?[A-Z](?!\p{{L}})| (?i:izq|dcha|izda|derecha|izquierda)\.?)?|, (?:bajo|piso|portal|esc\.) ?\w*)?",
 )
 _DE = regex.compile(
-    rf"(?<![\p{{L}}\d])(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte|Neue|Obere|Untere) )?(?:\p{{Lu}}[\p{{L}}\-]*(?:{'|'.join(map(regex.escape, STREET_DE))})|{_WORD} (?:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)) \d{{1,4}} ?(?:[a-z](?![\p{{L}}\d]))?(?: ?[-–] ?\d{{1,4}}[a-z]?)?(?P<flat>,? (?:Hinterhaus|Vorderhaus|Seitenflügel|Rückgebäude|\d+\. (?:OG|Stock|Etage)|EG|Whg\.? \d+|Wohnung \d+))?",
-    regex.I,
+    rf"(?<![\p{{L}}\d])(?:(?i:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte|Neue|Obere|Untere) )?(?:\p{{Lu}}[\p{{L}}\-]*(?i:{'|'.join(map(regex.escape, STREET_DE))})|{_WORD} (?i:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)) \d{{1,4}}(?: ?[a-z](?![\p{{L}}\d]))?(?: ?[-–] ?\d{{1,4}}[a-z]?)?(?P<flat>,? (?i:Hinterhaus|Vorderhaus|Seitenflügel|Rückgebäude|\d+\. (?:OG|Stock|Etage)|EG|Whg\.? \d+|Wohnung \d+))?",
 )
 _RU = regex.compile(
-    rf"(?<![\p{{L}}\d])(?:(?:{'|'.join(map(regex.escape, STREET_RU))}) {_WORD}(?: {_WORD})?|{_WORD}(?:[ \-]{_WORD})? (?:{'|'.join(map(regex.escape, STREET_RU))})),? (?:(?:д\.|дом) ?)?\d{{1,4}} ?(?:[а-я](?![\p{{L}}\d]))?(?:/\d+)?(?P<flat>(?:,? (?:корп\.|корпус|к\.|стр\.) ?\d+)?(?:,? (?:кв\.|квартира|оф\.) ?\d+)?)",
-    regex.I,
+    rf"(?<![\p{{L}}\d])(?:(?i:{'|'.join(map(regex.escape, STREET_RU))}) {_WORD}(?: {_WORD})?|{_WORD}(?:[ \-]{_WORD})? (?i:{'|'.join(map(regex.escape, STREET_RU))})),? (?:(?i:д\.|дом) ?)?\d{{1,4}}(?: ?[а-я](?![\p{{L}}\d]))?(?:/\d+)?(?P<flat>(?:,? (?:корп\.|корпус|к\.|стр\.) ?\d+)?(?:,? (?:кв\.|квартира|оф\.) ?\d+)?)",
 )
 _AFTER_EN = regex.compile(r" (?:Market|Station|Bridge|Festival|Fair|signs?)\b", regex.I)
 _ADDRESS = {"en": _EN, "fr": _FR, "es": _ES, "de": _DE, "ru": _RU}
@@ -275,9 +271,9 @@ def _address(text: str, kind: str, start: int, end: int) -> Span | None:
             words = regex.sub(r"^(?:\w+\.? \d+\w?, )?\S+ (?:[NSEW]\.? )?", "", m[0]).split()
             if any(w.islower() and w not in ("of", "the") for w in words[:-1]):
                 continue
-            if m["dot"] and m["type"].lower() not in ("rd",) and not m["flat"]:
-                follow = text[m.end() : m.end() + 2]
-                if not (follow[:1] in ";,." or (follow[:1] == " " and follow[1:2].islower())):
+            if m["dot"] and m["type"].lower() != "rd" and not m["flat"]:
+                # else the dot ends the sentence
+                if m["type"].lower() not in SHORTENED or text[m.end() : m.end() + 1] not in (";", ",", "."):
                     return m.start(), m.start("dot"), "address"
         return m.start(), m.end(), "address"
     return None
