@@ -58,7 +58,7 @@ STREET_EN = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close
 #: types that are written with a dot
 SHORTENED = {"st", "ave", "ln", "blvd", "dr", "ct", "sq", "pl", "hwy", "pkwy"}
 STREET_FR = ["rue", "avenue", "av.", "place", "bd", "boulevard", "quai", "allée", "chemin", "impasse", "route", "cours", "square", "passage"]
-STREET_ES = ["calle", "c/", "c.", "plaza", "pza.", "avda.", "avda", "avenida", "av.", "paseo", "pº", "camino", "carretera", "ronda", "travesía"]
+STREET_ES = ["calle", "c/", "plaza", "pza.", "avda.", "avda", "avenida", "av.", "paseo", "pº", "camino", "carretera", "ronda", "travesía"]
 STREET_DE = ["straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer", "steig", "chaussee"]
 STREET_RU = ["ул.", "улица", "пр-т", "проспект", "пр.", "пер.", "переулок", "площадь", "пл.", "бульвар", "б-р", "шоссе", "набережная", "наб.", "проезд"]
 
@@ -71,7 +71,7 @@ NAME_CUES: list[tuple[str, str]] = [
     ("вчера звонил ", ""), ("вчера звонила ", ""), ("вчера приходил ", ""), ("с уважением, ", ""), ("контакт: ", ""), ("контактное лицо: ", ""), ("подписал ", ""), ("подписала ", ""),
     ("联系人：", ""), ("联系人: ", ""), ("昨天 ", r"\s*(?:来过|打来|来电)"), ("昨天", r"\s*(?:来过|打来|来电)"), ("签名：", ""), ("此致，", ""),
 ]
-TITLES = ["dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "miss ", "prof. ", "sir ", "herr ", "herrn ", "frau ", "sr. ", "sra. ", "srta. ", "don ", "doña ", "mme ", "mlle ", "m. ", "monsieur ", "madame ", "г-н ", "г-жа ", "господин ", "госпожа "]
+TITLES = ["dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "miss ", "prof. ", "sir ", "herr ", "herrn ", "frau ", "sr. ", "sra. ", "srta. ", "don ", "doña ", "mme ", "mlle ", "monsieur ", "madame ", "г-н ", "г-жа ", "господин ", "госпожа "]
 
 ORGANISATION = set(
     "institute press council railways works cooperative observatory museum university college company corporation corp inc ltd llc gmbh ag sa bank group society association foundation agency office committee department ministry school church hospital club union library theatre theater market hotel airlines authority board bureau centre center laboratory labs services systems team street road avenue lane close terrace square bridge station harbor harbour".split()
@@ -84,6 +84,7 @@ NO_GIVEN = set(
     el la los las un una si era según entre nadie una vez antes tras durante casi cada sin artículo en escriba correo dirección vive número llame pero y
     le les l' une si selon entre personne avant après pendant presque chaque sans au en écrivez courriel adresse il elle appelez numéro mais et
     по если неужели с между никто до после во время почти каждый без позиция план ещё раз адрес почта живёт номер
+    yesterday contact regards signed tenant sincerely gestern ayer atentamente cordialement contacto kontakt вчера уважением questions reach write call text signed social miss mrs mr dr frau herr sra mme
     lake fort port new old upper lower saint mount north south east west grand monsieur street road flat apt""".split()
 )
 PARTICLES = r"(?:van der|van den|van de|van|von der|von|de la|de los|del|della|de|der|den|di|da|dos|du|la|le|al|el|bin|ben|ter|ten|zu|af)"
@@ -196,10 +197,10 @@ def _identity(text: str, low: str, start: int, end: int) -> Span | None:
 
 # ---- phones -------------------------------------------------------------------------------------------------------
 
-_NUMBERS = regex.compile(r"(?<![\w.,])(?:\+\s?|\(\+?)?\d(?:[\d \u00a0.\-–/()]*\d)?(?![\w])")
-_SEP = r"[ \u00a0.\-–/]"
+_NUMBERS = regex.compile(r"(?<![\w.,])(?:\+\s?|\(\+?)?\d(?:(?:[\d\u00a0\-–()]|\.(?! )| (?![/ ])|/(?! ))*\d)?(?![\w])")
+_SEP = r"(?:[ \u00a0.\-–/]| [–-] )"
 _PHONES = [
-    regex.compile(rf"\+\d{{1,3}}(?:{_SEP}?\(0\))?(?:(?:{_SEP}{{0,3}}|{_SEP}?\()\d+\)?){{1,6}}"),
+    regex.compile(rf"\+\d{{1,3}}(?:{_SEP}?\(0\))?(?:(?:{_SEP}?\(\d+\)|{_SEP}?\d+)){{1,6}}"),
     regex.compile(rf"\(\+\d{{1,3}}\)(?:{_SEP}?\d+){{1,6}}"),
     regex.compile(rf"00[1-9]\d{{0,2}}(?:{_SEP}\d+){{1,5}}"),
     regex.compile(rf"\(\d{{2,5}}\){_SEP}?\d{{3,8}}(?:{_SEP}\d{{2,5}})?"),
@@ -210,7 +211,7 @@ _PHONES = [
     regex.compile(r"0[1-9]\d \d{4} \d{4}"),
     regex.compile(r"\d{3}\u00a0\d{3}\u00a0\d{3,4}"),
 ]
-_ANY_PHONE = regex.compile(rf"\d(?:{_SEP}{{0,3}}\(?\d\)?){{6,13}}")
+_ANY_PHONE = regex.compile(rf"\d(?:{_SEP}?\(?\d\)?){{6,13}}")
 _NOT_PHONE = regex.compile(r"\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}|\d{2} \d{2} \d{6}|\d{4}-\d{2}-\d{2}.*|(?:1[89]|20)\d\d[-–](?:1[89]|20)\d\d|97[89][- ].*|\d{4}\.\d{2}\.\d{2}|\d\.\d{6,}")
 _PHONE_LABEL = regex.compile(r"(?:^|[^\p{L}])(?:" + "|".join(map(regex.escape, sorted(PHONE_LABELS, key=len, reverse=True))) + r")\.?\s*[:：]?\s*$", regex.I)
 _OTHER_LABEL = regex.compile(r"(?:^|[^\p{L}])(?:" + "|".join(map(regex.escape, sorted(OTHER_LABELS, key=len, reverse=True))) + r")\.?\s*[:：#]?\s*$", regex.I)
@@ -286,6 +287,7 @@ _TOKEN = rf"{_PART}(?:-{_PART})*"
 _INITIALS = r"(?:\p{Lu}\.(?:[ \-]?\p{Lu}\.)*)"
 #: given name or initials, more initials, particles, surname
 _GIVEN_FIRST = regex.compile(rf"(?P<given>{_INITIALS}|{_TOKEN})(?: {_INITIALS})?(?P<particle> {PARTICLES})?[ \u00a0](?P<surname>{_TOKEN})", regex.I)
+_NO_SPACE = regex.compile(r"\S+")
 _SURNAME_FIRST = regex.compile(rf"(?:(?P<particle>{PARTICLES}) )?(?P<surname>{_TOKEN}), (?P<given>{_TOKEN}|{_INITIALS})(?: {_INITIALS})?", regex.I)
 
 
@@ -325,37 +327,38 @@ def _following(after: str) -> regex.Pattern:
 
 
 #: between the cells of a record
-_CELL_LEFT = regex.compile(r"(?:;?[ \t]*\r?\n|;[ \t]+| \| | / )$")
-_CELL_RIGHT = regex.compile(r">?(?:;?[ \t]*\r?\n|;[ \t]+| \| | / )")
-_CELL_LABEL = regex.compile(r"(?:(?:tel|tél|phone|fax|m|t|e-?mail|mail|id|ssn|dni|passport|passeport|pasaporte|инн|паспорт|address|addr|mob)\.?(?: (?:no\.?|n°|nº|number))?[:：]? ?|<|mailto:)*$", regex.I)
-_BEGIN = regex.compile(r"(?:^|[\r\n]|[\d)] +|[.!?。！？»”\"…:;|/] +| \| | / |[ \u00a0\u200b]{2,}|[。！？])$")
-_END = regex.compile(r"$|;|[ \t]*[\r\n]| \| | / |[.。!?]|,?(?: +|\u200b)(?=[\p{Lu}\d«\"„“¿¡<+(\p{Han}])|\s*$|\s*[\p{Han}\p{So}&]")
+_CELL_LEFT = regex.compile(r"(?:;?[ \t]*\r?\n| \| | / )\Z")
+_CELL_RIGHT = regex.compile(r">?(?:;?[ \t]*\r?\n| \| | / )")
+_CELL_LABEL = regex.compile(
+    r"(?:(?<!\p{L})(?:tel|tél|phone|fax|m|t|e-?mail|mail|id|ssn|dni|passport|passeport|pasaporte|инн|паспорт|address|addr|mob)\.?(?: (?:no\.?|n°|nº|number))?[:：]? ?|<|mailto:)*\Z", regex.I
+)
+_BEGIN = regex.compile(r"(?:^|[\r\n\t\u00a0\u3000\u200b]\s*|[\d)]\s+|[.!?。！？»”\"…:;|/]\s+|[。！？])\Z")
+_END = regex.compile(r"\Z|;|[ \t]*[\r\n]| \| | / |\s*[.。!?]|,?(?: +|\u200b)(?=[\p{Lu}\d«\"„“¿¡<+(\p{Han}])|\s+\Z|\s*[\p{Han}\p{So}&]")
+
+
+def _name_before(text: str, stop: int) -> Span | None:
+    """The name in the cell that ends at ``stop``; one in small letters has to fill the cell or its sentence."""
+    base = max(0, stop - 90, *(at + len(x) for x in ("\n", " | ", " / ") if (at := text.rfind(x, max(0, stop - 90), stop)) >= 0))
+    for w in [m.start() for m in _NO_SPACE.finditer(text, base, stop)][-6:]:
+        begins = (w == base and (not w or text[w - 1].isspace())) or bool(_BEGIN.search(text, max(0, w - 6), w))
+        got = _name_at(text, w, begins)
+        if got and got[1] == stop:
+            return got[0], got[1], "name"
+    return None
 
 
 def _cell_names(text: str, spans: list[Span]) -> Iterator[Span]:
     """Names in the cells before and after other personal information."""
     for start, end, _ in spans:
-        head = text[max(0, start - 24) : start]
-        left = start - len(_CELL_LABEL.search(head)[0])
+        left = start - len(_CELL_LABEL.search(text, max(0, start - 24), start)[0])
         sep = _CELL_LEFT.search(text, max(0, left - 6), left)
-        if sep:
-            stop = sep.start()
-            line = max(text.rfind("\n", 0, stop), text.rfind(" | ", 0, stop) + 2 if text.rfind(" | ", 0, stop) >= 0 else -1, text.rfind(" / ", 0, stop) + 2 if text.rfind(" / ", 0, stop) >= 0 else -1) + 1
-            words = [m.start() for m in regex.finditer(r"\S+", text[max(line, stop - 90) : stop])]
-            base = max(line, stop - 90)
-            for w in words[-6:]:
-                at = base + w
-                if at > line and not _BEGIN.search(text, max(0, at - 4), at):
-                    continue
-                got = _name_at(text, at, True)
-                if got and got[1] == stop:
-                    yield got[0], got[1], "name"
-                    break
+        if sep and (got := _name_before(text, sep.start())):
+            yield got
         sep = _CELL_RIGHT.match(text, end)
         if sep:
-            got = _name_at(text, sep.end(), True)
-            if got and _END.match(text, got[1]):
-                yield got[0], got[1], "name"
+            at = _name_at(text, sep.end(), True)
+            if at and _END.match(text, at[1]):
+                yield *at, "name"
 
 
 # ---- all together -------------------------------------------------------------------------------------------------
