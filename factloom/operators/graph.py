@@ -23,15 +23,17 @@ def subtype_edges(classes: DataFrame, interfaces: bool = False) -> DataFrame:
 
 def subtype_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """O1, O3: root, subtype, distance for every root of ``roots(root)``; a root holds itself at 0, cycles are walked once."""
-    found = cut(roots.select("root", F.col("root").alias("subtype"), F.lit(0).alias("distance")).distinct())
-    frontier, level = found, 0
+    edges = cut(edges.select(F.col("parent").alias("subtype"), "child"))
+    frontier = cut(roots.select("root", F.col("root").alias("subtype"), F.lit(0).alias("distance")).distinct())
+    found, level = frontier, 0
     while True:
         level += 1
-        step = frontier.join(edges.withColumnRenamed("parent", "subtype"), "subtype").select("root", F.col("child").alias("subtype")).distinct()
+        step = frontier.join(edges, "subtype").select("root", F.col("child").alias("subtype")).distinct()
         frontier = cut(step.join(found, ["root", "subtype"], "left_anti").withColumn("distance", F.lit(level)))
         if frontier.isEmpty():
             return found
-        found = cut(found.unionByName(frontier))
+        # levels are cut each on its own, so what was found is written once
+        found = found.unionByName(frontier)
 
 
 def parents(classes: DataFrame, external: DataFrame) -> DataFrame:
@@ -115,7 +117,7 @@ def reach(edges: DataFrame, start: Column | str, max_depth: int, target: str | N
     """
     spark = edges.sparkSession
     order = F.col("edge_ord").cast("bigint") if "edge_ord" in edges.columns else F.xxhash64("src", "dst")
-    unique = edges.groupBy("src", "dst").agg(F.min(order).alias("ord"))
+    unique = cut(edges.groupBy("src", "dst").agg(F.min(order).alias("ord")))
     found = cut(
         spark.range(1).select(
             (F.lit(start) if isinstance(start, str) else start).alias("vertex"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("prev"), F.array().cast("array<bigint>").alias("rank")
@@ -129,7 +131,7 @@ def reach(edges: DataFrame, start: Column | str, max_depth: int, target: str | N
         frontier = cut(new.select("vertex", F.lit(level).alias("depth"), F.col("by.src").alias("prev"), F.col("by.rank").alias("rank")))
         if frontier.isEmpty():
             break
-        found = cut(found.unionByName(frontier))
+        found = found.unionByName(frontier)
         if target is not None and not frontier.where(F.col("vertex") == target).isEmpty():
             break
     return found.drop("rank")
