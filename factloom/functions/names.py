@@ -15,7 +15,15 @@ PRIMITIVE_LETTERS = ["B", "C", "D", "F", "I", "J", "S", "Z"]
 PRIMITIVE_NAMES = ["byte", "char", "double", "float", "int", "long", "short", "boolean"]
 
 
+#: a name as it is stored; nearly all are, and these need no second look
+PLAIN = r"^[^\s.\[\];?\u00a0]+$"
+
+
 def class_ref(c: Column) -> Column:
+    return F.when(c.rlike(PLAIN), c).otherwise(_respelled(c))
+
+
+def _respelled(c: Column) -> Column:
     text = F.btrim(c, F.lit(SPACES))
     bare = F.rtrim(F.ltrim(text, F.lit("[")), F.lit("[]"))
     primitive = (F.startswith(text, F.lit("[")) & bare.isin(PRIMITIVE_LETTERS)) | (
