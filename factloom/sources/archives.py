@@ -153,5 +153,5 @@ def discovered(headers: DataFrame) -> DataFrame:
     """Kinds of classes from their access flags: headers(fqn, super_fqn, access)."""
     bit = lambda n: F.col("access").bitwiseAND(F.lit(n)) != 0
     return headers.select(
-        "fqn", "access", "super_fqn", bit(0x200).alias("is_interface"), bit(0x2000).alias("is_annotation"), bit(0x4000).alias("is_enum"), (F.col("super_fqn") == "java/lang/Record").alias("is_record"), F.lit(False).alias("is_sealed")
+        "fqn", "access", "super_fqn", bit(0x200).alias("is_interface"), bit(0x2000).alias("is_annotation"), bit(0x4000).alias("is_enum"), F.col("super_fqn").eqNullSafe("java/lang/Record").alias("is_record"), F.lit(False).alias("is_sealed")
     )
