@@ -56,8 +56,10 @@ class Store:
         if self._fs.exists(target):
             self._fs.delete(target, False)
         self._fs.rename(temporary, target)
-        if old:
-            self._fs.delete(self._path(f"{self.root}/{name}/{old}"), True)
+        # the version before stays for readers that have begun on it; older ones go
+        for status in self._fs.listStatus(self._path(f"{self.root}/{name}")):
+            if status.isDirectory() and status.getPath().getName() not in (new, old):
+                self._fs.delete(status.getPath(), True)
 
     def upsert(self, name: str, new: DataFrame, order: str | None = None) -> None:
         """K1 to K15."""
