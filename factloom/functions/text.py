@@ -19,7 +19,7 @@ def normalise_sql(c: Column) -> Column:
 
 def parameter_names(c: Column) -> Column:
     """Placeholders in order; repeats that follow each other count once."""
-    names = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[#$]\{([^}]+)\}"), 1), F.trim)
+    names = F.transform(F.regexp_extract_all(F.coalesce(c, F.lit("")), F.lit(r"[#$]\{([^}]+)\}"), 1), lambda x: F.trim(x))
     return F.filter(names, lambda x, i: (i == 0) | (x != F.get(names, i - 1)))
 
 

@@ -126,10 +126,10 @@ def service_providers(files: DataFrame) -> DataFrame:
 def factory_rows(text: Column) -> Column:
     """Pairs (key, value) of a factories text: continued lines joined, values parted by commas."""
     joined = F.regexp_replace(text, r"\\[ \t]*\r?\n[ \t]*", "")
-    lines = F.filter(F.transform(F.split(joined, r"\r?\n"), F.trim), lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit("!")))
+    lines = F.filter(F.transform(F.split(joined, r"\r?\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~F.startswith(x, F.lit("#")) & ~F.startswith(x, F.lit("!")))
     # key and values are parted by the first = or :, escapes are rare enough in class names to be left
     pairs = F.transform(lines, lambda x: F.struct(F.trim(F.regexp_extract(x, r"^([^=:]+)[=:]", 1)).alias("key"), F.split(F.regexp_extract(x, r"^[^=:]+[=:](.*)$", 1), ",").alias("values")))
-    return F.flatten(F.transform(pairs, lambda p: F.transform(F.filter(F.transform(p["values"], F.trim), lambda v: v != ""), lambda v: F.struct(p["key"].alias("key"), v.alias("value")))))
+    return F.flatten(F.transform(pairs, lambda p: F.transform(F.filter(F.transform(p["values"], lambda x: F.trim(x)), lambda v: v != ""), lambda v: F.struct(p["key"].alias("key"), v.alias("value")))))
 
 
 def autoconfigs(files: DataFrame) -> DataFrame:
