@@ -19,7 +19,6 @@ def same(a, b):
 
 
 EQUAL = [
-    (BASE[0].replace(" ", "\n\t "), BASE[1]) if False else BASE,
     ("<!-- note -->\n" + BASE[0].replace('id="find" resultType="long"', "resultType='long'\n id='find'"), BASE[1] + " ;;"),
     (BASE[0].replace("SELECT a, b, c FROM t", "select/* x */c ,`A`,\n\"b\" From [T]").replace("WHERE a = #{a} AND b", "where a=#{a} and B"), BASE[1].lower().replace("'it''s; -- x'", "'It''s; -- x'")),
     (BASE[0].replace("a = #{a} AND b &lt;= 'It''s; -- x'", "b <![CDATA[<=]]> 'It''s; -- x' AND a = #{ a }"), BASE[1]),
