@@ -60,8 +60,8 @@ def declaring_types(calls: DataFrame, parent: DataFrame, declared: DataFrame) ->
         rest = left_join_unique(joined.where("_d IS NULL").drop("_d"), up, "at")
         dead = F.col("_up").isNull() | F.array_contains("seen", F.col("_up"))
         ended = rest.where(dead).select(*key, F.lit(None).cast("string").alias("declaring"))
-        done = cut((hit if done is None else done.unionByName(hit)).unionByName(ended))
-        walking = cut(rest.where(~dead).select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen")))
+        done = cut((hit if done is None else done.unionByName(hit)).unionByName(ended), looped=True)
+        walking = cut(rest.where(~dead).select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen")), looped=True)
         if walking.isEmpty():
             return done
 

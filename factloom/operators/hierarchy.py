@@ -47,7 +47,7 @@ def _double(edges: DataFrame, paths: bool) -> tuple[DataFrame, DataFrame]:
             F.when(known, F.concat("path", "_path")).otherwise(F.col("path")).alias("path"),
             F.coalesce("_done", F.lit(True)).alias("done"),
         )
-        state = cut(state.where("done").unionByName(moved))
+        state = cut(state.where("done").unionByName(moved), looped=True)
         now = state.where(~F.col("done")).count()
         if now == left:
             break
@@ -62,9 +62,8 @@ def _cycles(edges: DataFrame) -> DataFrame:
     ends, last = -1, None
     while True:
         ahead = state.select(F.col("node").alias("anc"), F.col("anc").alias("_anc"), F.col("least").alias("_least"))
-        state = cut(
-            left_join_unique(state, ahead, "anc").select("node", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least"))
-        )
+        step = left_join_unique(state, ahead, "anc")
+        state = cut(step.select("node", F.col("_anc").alias("anc"), F.least("least", "_least").alias("least")), looped=True)
         reached = state.select(F.col("anc").alias("node")).distinct()
         on = state.join(reached, "node", "left_semi")
         # the sum of hashes stands for the minima, which only ever fall

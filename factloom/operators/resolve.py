@@ -32,8 +32,8 @@ def resolve_dependencies(edges: DataFrame, roots: DataFrame, max_depth: int) ->
         found = cut(found.withColumn("depth", F.lit(depth)))
         if found.isEmpty():
             break
-        out = found if out is None else cut(out.unionByName(found))
-        seen = cut(seen.unionByName(found.select("gav")))
+        out = found if out is None else cut(out.unionByName(found), looped=True)
+        seen = cut(seen.unionByName(found.select("gav")), looped=True)
         frontier = found.where("_go").select("gav")
     if out is None:
         return edges.limit(0).select(*_GAV, "scope", F.lit(0).alias("depth"))

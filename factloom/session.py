@@ -21,11 +21,12 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
     sc.setCheckpointDir(shared or os.path.join(os.environ.get("TMPDIR", "/tmp"), "factloom-checkpoints"))
 
 
-def cut(df: DataFrame, eager: bool = True) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors. Unions made in loops
-    would add up their partitions, so these are brought back to the session's number without a shuffle."""
+def cut(df: DataFrame, looped: bool = False) -> DataFrame:
+    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors. ``looped`` is for
+    unions of earlier cuts, whose partitions would add up round by round: they are brought back to the session's number
+    without a shuffle. Elsewhere the number stays, as a scan's parallelism must not be narrowed."""
     ensure_checkpoint_dir(df.sparkSession)
-    return df.coalesce(parallelism(df.sparkSession)).checkpoint(eager)
+    return (df.coalesce(parallelism(df.sparkSession)) if looped else df).checkpoint(True)
 
 
 def parallelism(spark: SparkSession) -> int:
