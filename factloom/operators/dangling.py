@@ -32,20 +32,25 @@ def dangling_references(refs: DataFrame, targets: DataFrame, share: int = 1000)
     refs = refs.withColumn("period", F.date_format("at", "yyyy-MM"))
     states = target_states(targets).select(F.concat_ws(":", "kind", "key").alias("id"), "first_live", F.lit(True).alias("found"))
     groups = cut(refs.groupBy("id", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at")))
-    hot = F.broadcast(cut(heavy(groups, "id", share, "n")))
-    hot_states = F.broadcast(hot.join(states.join(hot, "id", "left_semi"), "id", "left"))
-    cause = (
-        F.when(F.col("found").isNull(), "missing").when(F.col("first_live").isNull(), "deleted").when(F.col("first_live") > F.col("at"), "late")
-    )
-    # heavy keys: every row is checked where it lies
+    hot = heavy(groups, "id", share, "n")
     rows = refs.select("ref_table", "ref_field", "row_id", "id", "at", "period")
-    heavy_rows = rows.join(hot_states, "id")
+    light_groups, light_refs, checked = groups, rows, None
+    if hot is not None:
+        hot = F.broadcast(hot)
+        hot_states = F.broadcast(hot.join(states.join(hot, "id", "left_semi"), "id", "left"))
+        # heavy keys: every row is checked where it lies
+        checked = rows.join(hot_states, "id")
+        light_groups, light_refs = groups.join(hot, "id", "left_anti"), rows.join(hot, "id", "left_anti")
     # other keys: groups meet their targets by shuffle; only those not cleared go on to the rows
-    light = groups.join(hot, "id", "left_anti").join(states, "id", "left")
+    light = light_groups.join(states, "id", "left")
     doubtful = light.where(F.col("found").isNull() | F.col("first_live").isNull() | (F.col("first_live") > F.col("first_at")))
     doubtful = doubtful.groupBy("id").agg(F.first("found").alias("found"), F.first("first_live").alias("first_live"))
-    light_rows = rows.join(hot, "id", "left_anti").join(doubtful, "id")
-    both = heavy_rows.unionByName(light_rows).withColumn("cause", cause)
+    both = light_refs.join(doubtful, "id")
+    both = both if checked is None else checked.unionByName(both)
+    cause = (
+        F.when(F.col("found").isNull(), "missing").when(F.col("first_live").isNull(), "deleted").when(F.col("first_live") > F.col("at"), "late")
+    )
+    both = both.withColumn("cause", cause)
     return both.where(F.col("cause").isNotNull()).select("ref_table", "ref_field", "row_id", "period", "cause")
 
 

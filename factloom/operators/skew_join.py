@@ -1,31 +1,41 @@
 """Left join against a side with unique keys, safe when a few left keys hold most rows.
 
 Left keys with at least one in ``share`` rows are looked up through a broadcast of at most ``share`` rows (there can
-be no more such keys); all other keys meet by shuffle. Rows with a null key are kept unmatched and never shuffled.
+be no more such keys, whatever the input); all other keys meet by shuffle. Rows with a null key are kept unmatched and
+never shuffled. Without heavy keys it is one plain join.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import types as T
 
 
-def heavy(left: DataFrame, key: str, share: int, weight: str | None = None) -> DataFrame:
-    """At most ``share`` keys: those with one in ``share`` rows (or of the weights). Its size is bounded by construction."""
-    counts = left.where(F.col(key).isNotNull()).groupBy(key).agg((F.sum(weight) if weight else F.count(F.lit(1))).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
-    return counts.where(F.col("_n") * share >= max(1, total)).select(key)
+def heavy(left: DataFrame, key: str, share: int, weight: str | None = None) -> DataFrame | None:
+    """Keys with one in ``share`` rows (or of the weights), at most ``share`` of them; None if there are none.
+
+    Counting combines before its shuffle; only the heavy keys themselves come to the driver.
+    """
+    held = left.where(F.col(key).isNotNull())
+    n = F.sum(weight) if weight else F.count(F.lit(1))
+    total = held.agg(n).first()[0] or 0
+    counts = held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= max(1, total))
+    keys = [tuple(r) for r in counts.select(key).collect()]
+    return left.sparkSession.createDataFrame(keys, T.StructType([T.StructField(key, left.schema[key].dataType)])) if keys else None
 
 
 def left_join_unique(left: DataFrame, right: DataFrame, key: str, share: int = 500) -> DataFrame:
     """``left`` with the columns of ``right`` (unique by ``key``), null where there is no match."""
-    hot = F.broadcast(heavy(left, key, share))
-    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
-    marked = left.join(F.broadcast(hot.withColumn("_hot", F.lit(True))), key, "left")
-    by_broadcast = marked.where(F.col("_hot")).drop("_hot").join(hot_right, key, "left")
-    by_shuffle = marked.where(F.col("_hot").isNull() & F.col(key).isNotNull()).drop("_hot").join(right, key, "left")
-    out = by_broadcast.unionByName(by_shuffle)
+    hot = heavy(left, key, share)
     nulls = left.where(F.col(key).isNull())
     for f in right.schema.fields:
         if f.name != key:
             nulls = nulls.withColumn(f.name, F.lit(None).cast(f.dataType))
-    return out.unionByName(nulls)
+    rest = left.where(F.col(key).isNotNull())
+    if hot is None:
+        return rest.join(right, key, "left").unionByName(nulls)
+    hot = F.broadcast(hot)
+    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
+    by_broadcast = left.join(hot, key, "left_semi").join(hot_right, key, "left")
+    by_shuffle = rest.join(hot, key, "left_anti").join(right, key, "left")
+    return by_broadcast.unionByName(by_shuffle).unionByName(nulls)

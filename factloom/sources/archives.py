@@ -155,3 +155,11 @@ def discovered(headers: DataFrame) -> DataFrame:
     return headers.select(
         "fqn", "access", "super_fqn", bit(0x200).alias("is_interface"), bit(0x2000).alias("is_annotation"), bit(0x4000).alias("is_enum"), F.col("super_fqn").eqNullSafe("java/lang/Record").alias("is_record"), F.lit(False).alias("is_sealed")
     )
+
+
+def loose_classes(spark: SparkSession, root: str) -> DataFrame:
+    """Archive (the folder), position, fqn, content, problem of class files below a folder."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.class").load(root)
+    tail = F.regexp_replace("path", "^.*" + re.escape(root.rstrip("/")) + "/", "")
+    named = files.select(F.lit(root).alias("archive"), F.lit(0).alias("position"), F.regexp_replace(tail, r"\.class$", "").alias("fqn"), "content", F.lit(None).cast("string").alias("problem"))
+    return named.where("NOT endswith(fqn, 'module-info')")

@@ -97,6 +97,12 @@ def test_class_files(spark, rows, jar):
     assert rows(facts["issues"].select("target")) == [("shop/Broken",), ("shop/Wrong",)]
 
 
+def test_loose_class_files(spark, rows, jar):
+    found = A.loose_classes(spark, str(jar.parent.parent / "out"))
+    assert rows(found.select("fqn")) == [("shop/Base",), ("shop/Port",), ("shop/Store",)]
+    assert K.fact_tables(K.extract(found))["classes"].count() == 3
+
+
 def test_every_class_of_a_large_archive_is_read():
     import pyspark
 
