@@ -15,6 +15,7 @@ normalised text differ; rows with the same id are one row; unreadable markup is
 
 from __future__ import annotations
 
+import re
 from collections import Counter
 from collections.abc import Iterator
 from html import unescape
@@ -35,13 +36,16 @@ _XML = regex.compile(
     regex.S,
 )
 _ATTRIBUTE = regex.compile(r"([\w:.-]+)\s*=\s*(?:\"([^\"]*)\"|'([^']*)')", regex.S)
-_SQL = regex.compile(
-    rf"(?P<skip>{_GAP}+|<!--.*?-->|/\*.*?(?:\*/|$)|--[^\r\n]*)"
-    r"|(?P<literal>'(?:[^']|'')*'?)|(?P<holder>[#$]\{[^}]*\}?)"
+# what is skipped before a token is atomic, so a comment is never taken apart for its signs
+_SQL = re.compile(
+    rf"(?>(?:{_GAP}+|<!--.*?-->|/\*.*?(?:\*/|\Z)|--[^\r\n]*)*)"
+    r"(?:(?P<word>(?![0-9]|[$]\{)[\w$]+)|(?P<op>[,=.();<>!|:+*/%&^~?@\\{}-])|(?P<holder>[#$]\{[^}]*\}?)|(?P<literal>'(?:[^']|'')*'?)"
     r"|\"(?P<dq>[^\"]*)\"|`(?P<bq>[^`]*)`|\[(?P<sq>[^\]]*)\]"
-    r"|(?P<number>\d+(?:\.\d+)?(?![\w]))|(?P<word>[\w$]+)|(?P<op><>|<=|>=|!=|\|\||::|.)",
-    regex.S,
+    r"|(?P<number>\d+(?:\.\d+)?(?!\w))|(?P<mixed>[\w$]+)|(?P<other>.)|\Z)",
+    re.S,
 )
+#: operators of two signs
+_TWO = {("<", ">"), ("<", "="), (">", "="), ("!", "="), ("|", "|"), (":", ":")}
 _SPACES = regex.compile(rf"{_GAP}+")
 
 #: fixed values: words that begin a clause
@@ -53,21 +57,41 @@ Token = tuple[str, str]
 
 
 def _sql_tokens(text: str) -> Iterator[Token]:
+    sign, sign_end = "", -1
     for m in _SQL.finditer(text):
         kind = m.lastgroup
-        if kind == "skip":
+        if kind == "op":
+            got = m["op"]
+            # two signs that touch are one operator
+            if sign:
+                if m.start("op") == sign_end and (sign, got) in _TWO:
+                    yield "o", sign + got
+                    sign = ""
+                    continue
+                yield "o", sign
+            sign, sign_end = "", -1
+            if got in "<>!|:":
+                sign, sign_end = got, m.end()
+            else:
+                yield "o", got
             continue
-        got = m[kind]
-        if kind == "literal":
-            yield "l", got
+        if sign:
+            yield "o", sign
+            sign = ""
+        if kind == "word" or kind == "mixed":
+            yield "w", m[kind].lower()
         elif kind == "holder":
-            yield "p", _SPACES.sub("", got)
+            got = m["holder"]
+            # a placeholder's name may hold blanks, what it is otherwise counts
+            yield "p", _SPACES.sub("", got) if not got.isascii() or " " in got or not got.isprintable() else got
+        elif kind == "literal" or kind == "number":
+            yield kind[0], m[kind]
         elif kind in ("dq", "bq", "sq"):
-            yield "q", got.strip().lower()
-        elif kind == "number":
-            yield "n", got
-        else:
-            yield ("w" if kind == "word" else "o"), got.lower()
+            yield "q", m[kind].strip().lower()
+        elif kind is not None:
+            yield "o", m[kind].lower()
+    if sign:
+        yield "o", sign
 
 
 def _attributes(text: str) -> list[tuple[str, str]]:
@@ -169,22 +193,33 @@ def _bracketed(tokens: list[Token]) -> list[list[Token]]:
 
 
 def _clauses(tokens: list[Token]) -> list[tuple[str, list[Token]]]:
-    out: list[tuple[str, list[Token]]] = [("", [])]
+    part: list[Token] = []
+    out: list[tuple[str, list[Token]]] = [("", part)]
     depth, tags = 0, 0
-    for kind, text in tokens:
-        if kind == "o":
-            depth += (text == "(") - (text == ")")
-        name = text.split("\x1e")[0]
-        if not depth and kind == "w" and text in _CLAUSES and not tags:
-            # the word that ends DELETE FROM or INSERT INTO ... stays in one clause
-            out.append((text, []))
-        elif not depth and kind == "<" and name in _LIST_TAGS and not tags:
-            out.append((_LIST_TAGS[name], [(kind, text)]))
-            tags += 1
-        else:
-            tags += (kind == "<" and tags > 0) - (kind == ">" and tags > 0)
-            out[-1][1].append((kind, text))
-    return [(name, part) for name, part in out if name or part]
+    for token in tokens:
+        kind, text = token
+        if kind == "w":
+            if text in _CLAUSES and not depth and not tags:
+                part = []
+                out.append((text, part))
+                continue
+        elif kind == "o":
+            if text == "(":
+                depth += 1
+            elif text == ")":
+                depth -= 1
+        elif kind == "<":
+            name = text.split("\x1e")[0]
+            if not depth and not tags and name in _LIST_TAGS:
+                part = [token]
+                out.append((_LIST_TAGS[name], part))
+                tags = 1
+                continue
+            tags += tags > 0
+        elif kind == ">":
+            tags -= tags > 0
+        part.append(token)
+    return [(name, held) for name, held in out if name or held]
 
 
 def _sql_fields(tokens: list[Token]) -> list[tuple[str, str]]:
@@ -233,7 +268,7 @@ def fields_of(text: str | None) -> list[tuple[str, str]]:
     rest = text[_LEAD.match(text).end() :]
     if not rest:
         return []
-    if not regex.match(r"<[A-Za-z]", rest):
+    if rest[0] != "<" or not rest[1:2].isalpha():
         return _sql_fields(list(_sql_tokens(rest)))
     tokens = list(_xml_tokens(rest))
     while tokens and tokens[-1] == ("o", ";"):

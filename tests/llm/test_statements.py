@@ -66,6 +66,9 @@ def test_listed_fields_move_with_what_belongs_to_them():
     assert not same(plain("SELECT a FROM t WHERE a = 1 OR b = 2"), plain("SELECT a FROM t WHERE b = 2 OR a = 1"))
     assert not same(plain("SELECT a FROM t ORDER BY a, b"), plain("SELECT a FROM t ORDER BY b, a"))
     assert not same(plain("SELECT a FROM t WHERE b = 'a  b'"), plain("SELECT a FROM t WHERE b = 'a b'"))
+    assert not same(plain("SELECT a FROM t WHERE b = ${Ab}"), plain("SELECT a FROM t WHERE b = ${aB}"))
+    assert same(plain("SELECT a FROM t WHERE b>= ${ Ab }AND c<>'--'"), plain("SELECT a FROM t /* > */ WHERE c <> '--' AND b >= ${Ab} -- <>"))
+    assert not same(plain("SELECT a FROM t WHERE b > = 1"), plain("SELECT a FROM t WHERE b >= 1"))
     assert same(plain("SELECT (a, b), c FROM t"), plain("SELECT c, (a , b) FROM t"))
     assert not same(plain("SELECT (a, b), c FROM t"), plain("SELECT c, (b, a) FROM t"))
 
