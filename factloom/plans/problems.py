@@ -154,6 +154,21 @@ def p4_associations(spark: SparkSession, root: str) -> DataFrame:
     return nested.split_tables(_tagged(spark, root, True))["associations"]
 
 
+def p4_collections(spark: SparkSession, root: str) -> DataFrame:
+    """Flat table of collections, linked to their parents."""
+    return nested.split_tables(_tagged(spark, root, True))["collections"]
+
+
+def p4_cases(spark: SparkSession, root: str) -> DataFrame:
+    """Flat table of discriminator cases, linked to their parents."""
+    return nested.split_tables(_tagged(spark, root, True))["cases"]
+
+
+def p4_fallbacks(spark: SparkSession, root: str) -> DataFrame:
+    """Flat table of fallback registries, linked to their parents."""
+    return nested.split_tables(_tagged(spark, root, True))["fallbacks"]
+
+
 def p4_registries(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of registries."""
     return nested.split_tables(_tagged(spark, root, True))["registries"]
@@ -164,6 +179,34 @@ def p4_child_counts(spark: SparkSession, root: str) -> DataFrame:
     return nested.child_counts(_tagged(spark, root, False))
 
 
+_FIELDS = "|".join(nested.FIELDS)
+P4_FOUND_SQL = rf"""
+WITH RECURSIVE texts AS (
+  SELECT record_id, '' AS prefix, CAST(payload AS JSON) AS j FROM raw_configs WHERE payload IS NOT NULL AND json_valid(payload)
+  UNION ALL
+  SELECT record_id, prefix || substr(fullkey, 2), CAST(value ->> '$' AS JSON)
+  FROM (SELECT t.record_id, t.prefix, x.fullkey, x.value, x.type FROM texts t, json_tree(t.j) x)
+  WHERE type = 'VARCHAR' AND left(ltrim(value ->> '$'), 1) IN ('{{', '[') AND json_valid(value ->> '$')
+), nodes AS (
+  SELECT t.record_id, string_split(substr(t.prefix || substr(x.fullkey, 2), 2), '.') AS parts, x.value AS v FROM texts t, json_tree(t.j) x WHERE x.type = 'OBJECT'
+), steps AS (
+  SELECT record_id, v, list_transform(list_filter(parts, lambda x: regexp_full_match(x, '(?:{_FIELDS})(?:\[\d+\])?')),
+    lambda x: replace(CASE WHEN x LIKE '%]' THEN x ELSE x || '[0]' END, 'resultMaps', 'result_maps')) AS steps
+  FROM nodes WHERE regexp_full_match(parts[-1], '(?:{_FIELDS})(?:\[\d+\])?')
+)
+SELECT record_id, array_to_string(steps, '/') AS node_path, coalesce(CASE split_part(steps[-1], '[', 1)
+  WHEN 'result_maps' THEN coalesce(v ->> 'map_id', v ->> 'mapId') WHEN 'cases' THEN v ->> 'value'
+  WHEN 'registries' THEN coalesce(v ->> 'registry_id', v ->> 'registryId') WHEN 'fallbacks' THEN coalesce(v ->> 'registry_id', v ->> 'registryId')
+  ELSE v ->> 'property' END, '') AS node_name FROM steps
+"""
+P4_CHILD_COUNTS_SQL = rf"""
+SELECT record_id, map_path AS node_path, max(CASE WHEN node_path = map_path THEN node_name END) AS node_name,
+  count(*) FILTER (WHERE last = 'associations') AS n_associations, count(*) FILTER (WHERE last = 'collections') AS n_collections, count(*) FILTER (WHERE last = 'cases') AS n_cases
+FROM (SELECT *, regexp_extract(node_path, '^((?:[^/]*/)*?result_maps\[\d+\])(?:/|$)', 1) AS map_path, regexp_extract(node_path, '([a-z_]+)\[\d+\]$', 1) AS last FROM ({P4_FOUND_SQL}))
+WHERE map_path <> '' GROUP BY 1, 2
+"""
+
+
 # 5. dangling references
 def references(spark: SparkSession, root: str) -> DataFrame:
     def of(name: str, field: str, kind: str, key, at: str) -> DataFrame:
@@ -233,7 +276,7 @@ P5_REPORT_SQL = f"SELECT ref_table, ref_field, period, cause, count(*) AS n_orph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_callees, p3_found, p3_hierarchy, p3_closure, p4_found, p4_result_maps, p4_associations, p4_registries, p4_child_counts, p5_found, p5_report)
+    for f in (p1_found, p1_callees, p3_found, p3_hierarchy, p3_closure, p4_found, p4_result_maps, p4_associations, p4_collections, p4_cases, p4_registries, p4_fallbacks, p4_child_counts, p5_found, p5_report)
 }
 SQL: dict[str, str] = {
     "p1_found": P1_FOUND_SQL,
@@ -241,6 +284,8 @@ SQL: dict[str, str] = {
     "p3_found": P3_FOUND_SQL,
     "p3_hierarchy": P3_HIERARCHY_SQL,
     "p3_closure": P3_CLOSURE_SQL,
+    "p4_found": P4_FOUND_SQL,
+    "p4_child_counts": P4_CHILD_COUNTS_SQL,
     "p5_found": P5_FOUND_SQL,
     "p5_report": P5_REPORT_SQL,
 }
