@@ -10,6 +10,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
+#: below so many rows no key can hold up a task, and none is looked for; results are the same either way
+LEAST_ROWS = 50_000
+
 
 def heavy(left: DataFrame, key: str, share: int, weight: str | None = None) -> DataFrame | None:
     """Keys with one in ``share`` rows (or of the weights), at most ``share`` of them; None if there are none.
@@ -19,7 +22,9 @@ def heavy(left: DataFrame, key: str, share: int, weight: str | None = None) -> D
     held = left.where(F.col(key).isNotNull())
     n = F.sum(weight) if weight else F.count(F.lit(1))
     total = held.agg(n).first()[0] or 0
-    counts = held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= max(1, total))
+    if total < LEAST_ROWS:
+        return None
+    counts = held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= total)
     keys = [tuple(r) for r in counts.select(key).collect()]
     return left.sparkSession.createDataFrame(keys, T.StructType([T.StructField(key, left.schema[key].dataType)])) if keys else None
 
