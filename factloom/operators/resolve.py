@@ -23,7 +23,7 @@ def resolve_dependencies(edges: DataFrame, roots: DataFrame, max_depth: int) ->
     level by level, where a depth-first walk would cut a node it first meets on a long branch.
     """
     coordinate = F.concat_ws(":", *_GAV)
-    edges = edges.where(F.col("version").isNotNull()).withColumn("gav", coordinate)
+    edges = cut(edges.where(F.col("version").isNotNull()).withColumn("gav", coordinate))
     seen = cut(roots.select(F.col("pom").alias("gav")).distinct())
     frontier, out = seen, None
     for depth in range(1, max_depth + 1):

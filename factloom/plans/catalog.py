@@ -10,7 +10,7 @@ from factloom.functions import coordinates as C
 from factloom.functions import symbols as S
 from factloom.functions import text as X
 from factloom.functions.names import class_ref, class_ref_sql
-from factloom.operators import graph, lookup, maintain, search, wiring
+from factloom.operators import graph, lookup, maintain, resolve, search, wiring
 from factloom.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -245,6 +245,22 @@ def lru_oldest(spark, root):
     return maintain.oldest(cache, 10, tie="user_id")
 
 
+@query("SELECT c.id, c.fqn FROM classes c WHERE c.file_id IS NULL OR c.file_id NOT IN (SELECT id FROM files WHERE deleted_at IS NOT NULL)")
+def classes_after_deletes(spark, root):
+    """Classes that stay once deleted files and all that hangs on them are gone."""
+    gone = table(spark, root, "files").where("deleted_at IS NOT NULL").select(F.col("id").alias("file_id"))
+    return table(spark, root, "classes").join(gone, "file_id", "left_anti").select("id", "fqn")
+
+
+@query("SELECT user_id, greatest(min(ts), max(ts) FILTER (WHERE event_type = 'click')) AS last_access_at FROM events GROUP BY 1")
+def lru_touched(spark, root):
+    """Entries as first seen, moved forward by clicks."""
+    events = table(spark, root, "events")
+    cache = events.groupBy(F.col("user_id").alias("jar_path")).agg(F.min("ts").alias("last_access_at"))
+    touched = events.where("event_type = 'click'").select(F.col("user_id").alias("jar_path"), F.col("ts").alias("at"))
+    return maintain.cache_touch(cache, touched).withColumnRenamed("jar_path", "user_id")
+
+
 _JAR = "regexp_extract(jar_path, '([^/]*?)(\\.jar)?$', 1)"
 _NUM = "coalesce(try_cast(nullif(split_part(split_part(v, '-', 1), '.', {k}), '') AS INTEGER), 0)"
 
@@ -291,6 +307,44 @@ def parents(spark, root):
     return graph.parents(own, _classes(spark, root))
 
 
+_SPLIT = "2024-07-01"
+
+
+@query(f"""
+WITH RECURSIVE p AS (SELECT fqn, min({SUPER}) AS parent FROM m2_classes WHERE {SUPER} IS NOT NULL GROUP BY 1),
+d AS (SELECT DISTINCT callee_owner, callee_name, callee_desc FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL AND extracted_at < TIMESTAMP '{_SPLIT}'),
+q AS (SELECT DISTINCT callee_owner AS owner, callee_name AS name, callee_desc AS "desc" FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL AND extracted_at >= TIMESTAMP '{_SPLIT}'),
+walk AS (SELECT owner, name, "desc", owner AS cur, [owner] AS seen FROM q
+  UNION ALL SELECT w.owner, w.name, w."desc", p.parent, list_append(w.seen, p.parent) FROM walk w JOIN p ON p.fqn = w.cur WHERE NOT list_contains(w.seen, p.parent)),
+hits AS (SELECT w.owner, w.name, w."desc", arg_min(w.cur, len(w.seen)) AS declaring FROM walk w JOIN d ON d.callee_owner = w.cur AND d.callee_name = w.name AND d.callee_desc = w."desc" GROUP BY 1, 2, 3)
+SELECT q.owner, q.name, q."desc", declaring FROM q LEFT JOIN hits USING (owner, name, "desc")
+""")
+def declaring_types(spark, root):
+    """For later calls the nearest type on the way up whose method was seen before."""
+    every = calls(spark, root).where("callee_owner IS NOT NULL").select(F.col("callee_owner").alias("owner"), F.col("callee_name").alias("name"), F.col("callee_desc").alias("desc"), (F.col("extracted_at") < F.lit(_SPLIT).cast("timestamp_ntz")).alias("before"))
+    parent = _classes(spark, root).where("super_fqn IS NOT NULL").groupBy("fqn").agg(F.min("super_fqn").alias("parent"))
+    return graph.declaring_types(every.where("NOT before"), parent, every.where("before").withColumnRenamed("owner", "fqn"))
+
+
+_GAV_SQL = f"CASE WHEN regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 2) <> '' THEN regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 1) || ':' || regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 1) || ':' || regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 2) END"
+
+
+@query(f"""
+WITH RECURSIVE c AS (SELECT fqn, {SUPER} AS super, {_GAV_SQL} AS gav FROM m2_classes),
+e AS (SELECT DISTINCT a.gav AS src, b.gav AS dst FROM c a JOIN c b ON b.fqn = a.super WHERE a.gav IS NOT NULL AND b.gav IS NOT NULL AND a.gav <> b.gav),
+walk AS (SELECT min(src) AS gav, 0 AS depth FROM e UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.gav WHERE w.depth < 3)
+SELECT gav, min(depth) AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0
+""")
+def artifact_dependencies(spark, root):
+    """Artifacts that hold super classes of one artifact's classes, to three steps."""
+    c = table(spark, root, "m2_classes").select("fqn", class_ref(F.col("super_fqn")).alias("super"), C.coordinate_from_path(F.col("jar_path")).alias("gav")).where("NOT startswith(gav, 'local:')")
+    above = c.select(F.col("fqn").alias("super"), F.col("gav").alias("dep"))
+    links = c.select("super", F.col("gav").alias("pom")).join(above, "super").where("pom <> dep").select("pom", C.coordinate(F.col("dep")).alias("g")).distinct()
+    edges = links.select("pom", "g.*", F.lit("compile").alias("scope"), F.lit("jar").alias("type"))
+    first = edges.agg(F.min("pom").alias("pom"))
+    return resolve.resolve_dependencies(edges, first, 3).select(C.coordinate_text(F.col("group"), F.col("artifact"), F.col("version")).alias("gav"), "depth")
+
+
 def call_edges(spark: SparkSession, root: str) -> DataFrame:
     return calls(spark, root).where("caller IS NOT NULL AND callee_owner IS NOT NULL").select(F.col("caller").alias("src"), F.col("callee_owner").alias("dst"), F.col("id").alias("edge_ord"))
 
