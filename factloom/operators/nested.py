@@ -7,7 +7,8 @@ platform's parser are read by an iterative one, so depth is bounded by memory on
 
 Defined cases: null, empty, unreadable and truncated payloads give no rows; a lone object counts as position 0; nulls
 and scalars in a list keep their position and give no row; a field holding JSON text stands for what it holds; a field
-present in both spellings gives rows for both; repeated records give rows each.
+present in both spellings gives rows for both; repeated records give rows each; the source file of a registry is its own
+or else that of the nearest object around it that names one, null if none does.
 """
 
 from __future__ import annotations
@@ -37,6 +38,7 @@ NAMES = {
     "value": ("value",),
     "registry_id": ("registry_id", "registryId"),
 }
+SOURCE = ("source_file", "sourceFile")
 TABLES = ("result_maps", "associations", "collections", "cases", "registries", "fallbacks")
 
 _SPACE = re.compile(r"[ \t\n\r]*")
@@ -153,24 +155,37 @@ def _own_fields(node: dict) -> dict:
     return {k: v for k, v in node.items() if k not in FIELDS}
 
 
+def _first(node: dict, names: tuple[str, ...]) -> Any:
+    """The first of the fields that isn't null."""
+    return next((node[n] for n in names if node.get(n) is not None), None)
+
+
 def visit(payload: str | None) -> Iterator[tuple[str, str, str, int, str, dict]]:
     """Depth first: (table, node_path, parent_path, position, node_name, node) for each object of a known field."""
+    for *row, _ in visit_sources(payload):
+        yield tuple(row)
+
+
+def visit_sources(payload: str | None) -> Iterator[tuple[str, str, str, int, str, dict, Any]]:
+    """The same with the source file of each object."""
     top = read_json(payload)
-    stack: list[tuple[Any, str]] = [(top, "")]
+    stack: list[tuple[Any, str, Any]] = [(top, "", None)]
     while stack:
-        value, path = stack.pop()
+        value, path, source = stack.pop()
         value = _held(value)
         if isinstance(value, list):
-            stack.extend((x, path) for x in reversed(value) if isinstance(x, (dict, list, str)))
+            stack.extend((x, path, source) for x in reversed(value) if isinstance(x, (dict, list, str)))
             continue
         if not isinstance(value, dict):
             continue
-        below: list[tuple[Any, str]] = []
+        if (named := _first(value, SOURCE)) is not None:
+            source = named
+        below: list[tuple[Any, str, Any]] = []
         for field, held in value.items():
             known = FIELDS.get(field)
             if known is None:
                 if isinstance(held, (dict, list, str)):
-                    below.append((held, path))
+                    below.append((held, path, source))
                 continue
             table, names = known
             held = _held(held)
@@ -178,11 +193,11 @@ def visit(payload: str | None) -> Iterator[tuple[str, str, str, int, str, dict]]
                 item = _held(item)
                 own = f"{path}/{table}[{at}]" if path else f"{table}[{at}]"
                 if isinstance(item, dict):
-                    name = next((item[n] for n in NAMES[names] if item.get(n) is not None), None)
-                    yield table, own, path, at, _text(name), item
-                    below.append((item, own))
+                    named = _first(item, SOURCE)
+                    yield table, own, path, at, _text(_first(item, NAMES[names])), item, source if named is None else named
+                    below.append((item, own, source))
                 elif isinstance(item, list):
-                    below.append((item, path))
+                    below.append((item, path, source))
         stack.extend(reversed(below))
 
 
@@ -197,8 +212,9 @@ def _emit(with_payload: bool, rows_a_batch: int = 20_000):
         rows: list[tuple] = []
         for b in batches:
             for record, payload in zip(b.column("record_id").to_pylist(), b.column("payload")):
-                for table, path, parent, at, name, node in visit(payload.as_py()):
-                    rows.append((record, table, path, parent, at, name, _dump(_own_fields(node)) if with_payload else None))
+                for table, path, parent, at, name, node, source in visit_sources(payload.as_py()):
+                    own = _own_fields(node) | ({SOURCE[0]: source} if source is not None and "source_file" in SCHEMAS[table] else {}) if with_payload else None
+                    rows.append((record, table, path, parent, at, name, None if own is None else _dump(own)))
                 if len(rows) >= rows_a_batch:
                     yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _EMIT_ARROW.types)], schema=_EMIT_ARROW)
                     rows.clear()
@@ -221,20 +237,20 @@ def _field(*names: str) -> Column:
 
 #: columns of each table beside record_id, node_path, parent_path, position, node_name
 SCHEMAS = {
-    "result_maps": {"map_id": ("map_id", "mapId"), "namespace": ("namespace",), "type_fqn": ("type_fqn", "typeFqn"), "extends_": ("extends_", "extends"), "auto_mapping": ("auto_mapping", "autoMapping")},
+    "result_maps": {"map_id": ("map_id", "mapId"), "namespace": ("namespace",), "type_fqn": ("type_fqn", "typeFqn"), "extends_": ("extends_", "extends"), "auto_mapping": ("auto_mapping", "autoMapping"), "association_count": ("association_count", "associationCount")},
     "associations": {"property": ("property",), "java_type": ("java_type", "javaType"), "extends_": ("extends_", "extends")},
     "collections": {"property": ("property",), "of_type": ("of_type", "ofType"), "extends_": ("extends_", "extends")},
     "cases": {"value": ("value",), "result_type": ("result_type", "resultType")},
-    "registries": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",)},
-    "fallbacks": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",)},
+    "registries": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
+    "fallbacks": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
 }
 
 
 def split_tables(tagged: DataFrame) -> dict[str, DataFrame]:
-    """A flat table with typed columns for each tag, linked by (record_id, parent_path)."""
+    """A flat table for each tag, linked by (record_id, parent_path); own_fields has all of a node's fields as JSON."""
     link = ["record_id", "node_path", F.nullif("parent_path", F.lit("")).alias("parent_path"), "position", "node_name"]
     return {
-        tag: tagged.where(F.col("tag") == tag).select(*link, *(_field(*names).alias(column) for column, names in SCHEMAS[tag].items()))
+        tag: tagged.where(F.col("tag") == tag).select(*link, *(_field(*names).alias(column) for column, names in SCHEMAS[tag].items()), F.col("payload").alias("own_fields"))
         for tag in TABLES
     }
 

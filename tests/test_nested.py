@@ -95,3 +95,17 @@ def test_tables_keep_their_links(spark, rows):
 def test_empty_table(spark):
     empty = spark.createDataFrame([], "record_id bigint, payload string")
     assert N.emit_tagged(empty, F.col("record_id"), F.col("payload")).count() == 0
+
+
+def test_dealt_fields_reach_the_tables(spark, rows):
+    maps = '"result_maps": [{"map_id": "m", "association_count": 7, "note": "kept", "associations": []}, {"map_id": "n", "associationCount": "2"}, {"map_id": "o"}]'
+    fallback = '"fallbacks": [{"registryId": "s"}, {"registryId": "t", "sourceFile": "own.xml"}]'
+    payloads = [
+        f'{{"dubbo": {{"registries": [{{"registry_id": "r", "address": "a:1", {fallback}}}]}}, {maps}, "source_file": "top.xml"}}',
+        '{"sourceFile": "camel.xml", "part": {"source_file": "part.xml", "registries": {"registry_id": "r"}}}',
+        '{"registries": [{"registry_id": "r"}]}',
+    ]
+    tables = N.split_tables(N.emit_tagged(spark.createDataFrame(list(enumerate(payloads)), "record_id bigint, payload string"), F.col("record_id"), F.col("payload")))
+    assert rows(tables["result_maps"].select("map_id", "association_count", F.get_json_object("own_fields", "$.note"))) == [("m", "7", "kept"), ("n", "2", None), ("o", None, None)]
+    assert rows(tables["registries"].select("record_id", "source_file")) == [(0, "top.xml"), (1, "part.xml"), (2, None)]
+    assert rows(tables["fallbacks"].select("registry_id", "source_file")) == [("s", "top.xml"), ("t", "own.xml")]
