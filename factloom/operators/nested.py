@@ -1,8 +1,8 @@
 """Deeply nested records to flat tables, in one pass.
 
 A depth-first visitor walks each JSON text once and emits rows tagged with their table: record id, own path, parent
-path, position, name and the object's own fields as JSON. ``split_tables`` applies a schema to each tag;
-``sources.tagged`` writes them partitioned by tag. The visitor keeps its own stack, and texts nested too deep for the
+path, position, name, the columns of all schemas and the object's other own fields as JSON. ``split_tables`` applies a
+schema to each tag; ``sources.tagged`` writes them partitioned by tag. The visitor keeps its own stack, and texts nested too deep for the
 platform's parser are read by an iterative one, so depth is bounded by memory only.
 
 Defined cases: null, empty, unreadable and truncated payloads give no rows; a lone object counts as position 0; nulls
@@ -49,6 +49,7 @@ def _no_constant(name: str) -> Any:
     raise ValueError(name)
 
 
+_WRITE = json.JSONEncoder(ensure_ascii=False, separators=(",", ":")).encode
 _READ = json.JSONDecoder(parse_constant=_no_constant).decode
 
 
@@ -145,14 +146,49 @@ def _text(value: Any) -> str:
 
 def _dump(value: Any) -> str:
     try:
-        return json.dumps(value, ensure_ascii=False, separators=(",", ":"))
+        return _WRITE(value)
     except RecursionError:
-        return "{}"
+        return _dump_iteratively(value)
 
 
-def _own_fields(node: dict) -> dict:
-    """Fields of the node itself: everything but what goes into other tables."""
-    return {k: v for k, v in node.items() if k not in FIELDS}
+def _dump_iteratively(value: Any) -> str:
+    """JSON text of any depth, with an explicit stack."""
+    out: list[str] = []
+    stack: list[tuple[Any, bool]] = [(value, False)]  # (value or finished text, whether it is text)
+    while stack:
+        value, done = stack.pop()
+        if done:
+            out.append(value)
+        elif isinstance(value, dict):
+            out.append("{")
+            stack.append(("}", True))
+            for n, (k, v) in reversed([*enumerate(value.items())]):
+                stack += [(v, False), ("," * (n > 0) + _WRITE(k) + ":", True)]
+        elif isinstance(value, list):
+            out.append("[")
+            stack.append(("]", True))
+            for n, v in reversed([*enumerate(value)]):
+                stack += [(v, False), ("," * (n > 0), True)]
+        else:
+            out.append(_WRITE(value))
+    return "".join(out)
+
+
+def _own_fields(node: dict, taken: set[str | None]) -> dict:
+    """Fields of the node itself: all but those taken as columns and, at any depth, what goes into other tables."""
+    top = {k: v for k, v in node.items() if k not in FIELDS and k not in taken}
+    stack: list[Any] = [top]
+    while stack:
+        value = stack.pop()
+        for k, v in value.items() if isinstance(value, dict) else enumerate(value):
+            if isinstance(v, dict):
+                value[k] = {n: x for n, x in v.items() if n not in FIELDS}
+            elif isinstance(v, list):
+                value[k] = v.copy()
+            else:
+                continue
+            stack.append(value[k])
+    return top
 
 
 def _first(node: dict, names: tuple[str, ...]) -> Any:
@@ -201,58 +237,63 @@ def visit_sources(payload: str | None) -> Iterator[tuple[str, str, str, int, str
         stack.extend(reversed(below))
 
 
-_EMIT = "record_id bigint, tag string, node_path string, parent_path string, position int, node_name string, payload string"
-_EMIT_ARROW = pa.schema(
-    [("record_id", pa.int64()), ("tag", pa.string()), ("node_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("node_name", pa.string()), ("payload", pa.string())]
-)
+#: columns of each table beside record_id, node_path, parent_path, position, node_name
+SCHEMAS = {
+    "result_maps": {"map_id": ("map_id", "mapId"), "namespace": ("namespace",), "type_fqn": ("type_fqn", "typeFqn"), "extends_": ("extends_", "extends"), "auto_mapping": ("auto_mapping", "autoMapping"), "association_count": ("association_count", "associationCount")},
+    "associations": {"property": ("property",), "java_type": ("java_type", "javaType"), "extends_": ("extends_", "extends")},
+    "collections": {"property": ("property",), "of_type": ("of_type", "ofType"), "extends_": ("extends_", "extends")},
+    "cases": {"value": ("value",), "result_type": ("result_type", "resultType")},
+    "registries": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
+    "fallbacks": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
+}
+_COLUMNS = tuple(dict.fromkeys(c for columns in SCHEMAS.values() for c in columns))
+_LINK = [("record_id", pa.int64()), ("tag", pa.string()), ("node_path", pa.string()), ("parent_path", pa.string()), ("position", pa.int32()), ("node_name", pa.string())]
+
+
+def _values(table: str, node: dict, source: Any) -> Iterator[str | None]:
+    """The columns of all schemas, null where the table has none, and the other own fields."""
+    schema = SCHEMAS[table]
+    taken = set()
+    for column in _COLUMNS:
+        name = next((n for n in schema.get(column, ()) if node.get(n) is not None), None)
+        taken.add(name)
+        value = source if column == "source_file" and column in schema else node.get(name)
+        yield None if value is None else _text(value)
+    yield _dump(_own_fields(node, taken))
 
 
-def _emit(with_payload: bool, rows_a_batch: int = 20_000):
+def _emit(with_columns: bool, rows_a_batch: int = 20_000):
+    schema = pa.schema([*_LINK, *((c, pa.string()) for c in (*_COLUMNS, "own_fields") if with_columns)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows: list[tuple] = []
         for b in batches:
             for record, payload in zip(b.column("record_id").to_pylist(), b.column("payload")):
                 for table, path, parent, at, name, node, source in visit_sources(payload.as_py()):
-                    own = _own_fields(node) | ({SOURCE[0]: source} if source is not None and "source_file" in SCHEMAS[table] else {}) if with_payload else None
-                    rows.append((record, table, path, parent, at, name, None if own is None else _dump(own)))
+                    rows.append((record, table, path, parent, at, name, *(_values(table, node, source) if with_columns else ())))
                 if len(rows) >= rows_a_batch:
-                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _EMIT_ARROW.types)], schema=_EMIT_ARROW)
+                    yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
                     rows.clear()
         if rows:
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), _EMIT_ARROW.types)], schema=_EMIT_ARROW)
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*rows), schema.types)], schema=schema)
 
     return run
 
 
-def emit_tagged(records: DataFrame, record_id: Column, payload: Column, with_payload: bool = True) -> DataFrame:
-    """record_id, tag, node_path, parent_path (empty at the top), position, node_name, payload."""
+def emit_tagged(records: DataFrame, record_id: Column, payload: Column, with_columns: bool = True) -> DataFrame:
+    """record_id, tag, node_path, parent_path (empty at the top), position, node_name; with_columns: the columns of all
+    schemas and own_fields."""
+    emitted = "record_id bigint, tag string, node_path string, parent_path string, position int, node_name string"
     return records.select(record_id.cast("bigint").alias("record_id"), payload.alias("payload")).where(F.col("payload").isNotNull()).mapInArrow(
-        _emit(with_payload), _EMIT
+        _emit(with_columns), emitted + "".join(f", {c} string" for c in (*_COLUMNS, "own_fields") if with_columns)
     )
 
 
-def _field(*names: str) -> Column:
-    return F.coalesce(*(F.get_json_object("payload", f"$.{n}") for n in names))
-
-
-#: columns of each table beside record_id, node_path, parent_path, position, node_name
-SCHEMAS = {
-    "result_maps": {"map_id": ("map_id", "mapId"), "namespace": ("namespace",), "type_fqn": ("type_fqn", "typeFqn"), "extends_": ("extends_", "extends"), "auto_mapping": ("auto_mapping", "autoMapping"), "association_count": ("association_count", "associationCount")},
-    "associations": {"property": ("property",), "java_type": ("java_type", "javaType"), "extends_": ("extends_", "extends")},
-    "collections": {"property": ("property",), "of_type": ("of_type", "ofType"), "extends_": ("extends_", "extends")},
-    "cases": {"value": ("value",), "result_type": ("result_type", "resultType")},
-    "registries": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
-    "fallbacks": {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": SOURCE},
-}
-
-
 def split_tables(tagged: DataFrame) -> dict[str, DataFrame]:
-    """A flat table for each tag, linked by (record_id, parent_path); own_fields has all of a node's fields as JSON."""
+    """A flat table for each tag, linked by (record_id, parent_path); own_fields has the node's
+    fields that went into no column as JSON."""
     link = ["record_id", "node_path", F.nullif("parent_path", F.lit("")).alias("parent_path"), "position", "node_name"]
-    return {
-        tag: tagged.where(F.col("tag") == tag).select(*link, *(_field(*names).alias(column) for column, names in SCHEMAS[tag].items()), F.col("payload").alias("own_fields"))
-        for tag in TABLES
-    }
+    return {tag: tagged.where(F.col("tag") == tag).select(*link, *SCHEMAS[tag], "own_fields") for tag in TABLES}
 
 
 def child_counts(tagged: DataFrame) -> DataFrame:

@@ -109,3 +109,14 @@ def test_dealt_fields_reach_the_tables(spark, rows):
     assert rows(tables["result_maps"].select("map_id", "association_count", F.get_json_object("own_fields", "$.note"))) == [("m", "7", "kept"), ("n", "2", None), ("o", None, None)]
     assert rows(tables["registries"].select("record_id", "source_file")) == [(0, "top.xml"), (1, "part.xml"), (2, None)]
     assert rows(tables["fallbacks"].select("registry_id", "source_file")) == [("s", "top.xml"), ("t", "own.xml")]
+
+
+def test_columns_below_any_depth(spark, rows):
+    deep = 1_500
+    text = '{"result_maps":{"map_id":"m","extends":"b","note":' + '{"a":' * deep + '{"b":[1,"x"]}' + "}" * deep + ',' + '"discriminator":{"column":"c","cases":{"value":"v",' * deep + '"last":null' + "}}" * deep + "}}"
+    records = spark.createDataFrame([(1, text)], "record_id bigint, payload string")
+    tables = N.split_tables(N.emit_tagged(records, F.col("record_id"), F.col("payload")))
+    assert rows(tables["result_maps"].select("map_id", "extends_")) == [("m", "b")]
+    own = tables["result_maps"].first()["own_fields"]
+    assert own == '{"note":' + '{"a":' * deep + '{"b":[1,"x"]}' + "}" * deep + ',"discriminator":{"column":"c"}}'
+    assert rows(tables["cases"].groupBy("value").count()) == [("v", deep)]
