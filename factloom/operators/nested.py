@@ -297,11 +297,12 @@ def split_tables(tagged: DataFrame) -> dict[str, DataFrame]:
 
 
 def child_counts(tagged: DataFrame) -> DataFrame:
-    """record_id, node_path, node_name, n_associations, n_collections, n_cases for each result map: direct and deeper children."""
-    top = F.regexp_extract("node_path", r"^((?:[^/]*/)*?result_maps\[\d+\])(?:/|$)", 1)
+    """record_id, node_path, node_name, n_associations, n_collections, n_cases for each result map: direct and deeper
+    children, those of result maps nested below it too."""
+    steps = F.split("node_path", "/")
+    maps = F.filter(F.sequence(F.lit(1), F.size(steps)), lambda k: F.startswith(F.element_at(steps, k), F.lit("result_maps[")))
     return (
-        tagged.withColumn("map_path", top)
-        .where(F.col("map_path") != "")
+        tagged.withColumn("map_path", F.explode(F.transform(maps, lambda k: F.array_join(F.slice(steps, F.lit(1), k), "/"))))
         .groupBy("record_id", F.col("map_path").alias("node_path"))
         .agg(
             F.max(F.when(F.col("node_path") == F.col("map_path"), F.col("node_name"))).alias("node_name"),

@@ -120,3 +120,13 @@ def test_columns_below_any_depth(spark, rows):
     own = tables["result_maps"].first()["own_fields"]
     assert own == '{"note":' + '{"a":' * deep + '{"b":[1,"x"]}' + "}" * deep + ',"discriminator":{"column":"c"}}'
     assert rows(tables["cases"].groupBy("value").count()) == [("v", deep)]
+
+
+def test_nested_result_maps_count_for_each_above(spark, rows):
+    payload = '{"result_maps": [{"map_id": "a", "associations": {"property": "p", "x": {"resultMaps": [null, {"mapId": "b", "cases": [{"value": 1}, {"value": 2}]}]}}}, {"map_id": "c"}]}'
+    tagged = N.emit_tagged(spark.createDataFrame([(1, payload)], "record_id bigint, payload string"), F.col("record_id"), F.col("payload"), False)
+    assert rows(N.child_counts(tagged)) == [
+        (1, "result_maps[0]", "a", 1, 0, 2),
+        (1, "result_maps[0]/associations[0]/result_maps[1]", "b", 0, 0, 2),
+        (1, "result_maps[1]", "c", 0, 0, 0),
+    ]
