@@ -18,8 +18,6 @@ from factloom.operators import resolve
 from factloom.session import cut
 from factloom.sources.xml import document, local
 
-#: steps to which parents and imports are followed
-INHERITANCE = 12
 CENTRAL = "https://repo1.maven.org/maven2"
 
 _ROW = "tag string, path string, pom string, position int, group string, artifact string, version string, scope string, optional boolean, type string"
@@ -104,9 +102,8 @@ def managed_versions(rows: DataFrame) -> DataFrame:
     links = cut(links.distinct())
     managed = rows.where("tag = 'managed'").select(F.col("pom").alias("source"), "group", "artifact", "version", "position")
     frontier = cut(rows.where("tag = 'project'").select("pom", F.col("pom").alias("source"), F.array().cast("array<int>").alias("way")).distinct())
-    reached, n = frontier, 0
-    while n < INHERITANCE:
-        n += 1
+    reached = frontier
+    while True:
         step = frontier.join(links, "source").select("pom", F.col("next").alias("source"), F.concat("way", F.array("step")).alias("way"))
         step = step.groupBy("pom", "source").agg(F.min("way").alias("way"))
         frontier = cut(step.join(reached.select("pom", "source"), ["pom", "source"], "left_anti"))

@@ -234,3 +234,13 @@ def test_kinds_of_classes(spark, rows):
     assert rows(A.discovered(headers).select("fqn", "is_interface", "is_annotation", "is_enum", "is_record")) == [
         ("a/A", True, True, False, False), ("a/E", False, False, True, False), ("a/I", True, False, False, False), ("a/R", False, False, False, True)
     ]
+
+
+def test_managed_versions_of_far_parents(spark, rows):
+    from factloom.sources import maven
+
+    far = 15
+    poms = [f"g:p{k}:1" for k in range(far)]
+    data = [(x, "project", *x.split(":"), 0) for x in poms] + [(x, "parent", *y.split(":"), 0) for x, y in zip(poms, poms[1:])] + [(poms[-1], "parent", *poms[-2].split(":"), 0), (poms[-1], "managed", "g", "lib", "7", 0)]
+    table = spark.createDataFrame(data, "pom string, tag string, group string, artifact string, version string, position int")
+    assert rows(maven.managed_versions(table).where("artifact = 'lib'").select("pom", "version")) == sorted((x, "7") for x in poms)
