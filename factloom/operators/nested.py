@@ -2,7 +2,7 @@
 
 A depth-first visitor walks each JSON text once and emits rows tagged with their table: record id, own path, parent
 path, position, name, the columns of all schemas and the object's other own fields as JSON. ``split_tables`` applies a
-schema to each tag; ``sources.tagged`` writes them partitioned by tag. The visitor keeps its own stack, and texts nested too deep for the
+schema to each tag; ``sources.store.write_tagged`` writes them partitioned by tag. The visitor keeps its own stack, and texts nested too deep for the
 platform's parser are read by an iterative one, so depth is bounded by memory only.
 
 Defined cases: null, empty, unreadable and truncated payloads give no rows; a lone object counts as position 0; nulls
