@@ -72,7 +72,8 @@ def p3_found(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_hierarchy(spark: SparkSession, root: str) -> DataFrame:
-    """Root, depth, path from the root and number of descendants of every class."""
+    """Root, depth, path from the root and number of descendants of every class. Paths are cut where a cycle is entered, so
+    a class on a cycle counts only what enters at itself, not the rest of its cycle nor what hangs there."""
     edges = cut(class_edges(spark, root))
     tree = cut(H.hierarchy(edges, True))
     counts = H.descendant_counts(tree)
@@ -91,7 +92,8 @@ def p3_hierarchy(spark: SparkSession, root: str) -> DataFrame:
 
 
 def p3_closure(spark: SparkSession, root: str) -> DataFrame:
-    """Every class with each of its descendants and the distance between them."""
+    """Every class with each of its descendants and the distance between them; as in p3_hierarchy, paths are cut where a
+    cycle is entered: the other classes of a cycle and what hangs on them are left out."""
     return H.closure(H.hierarchy(cut(class_edges(spark, root)), True))
 
 
