@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, functions as F
 
 from factloom.operators.skew_join import heavy
-from factloom.session import cut
+from factloom.session import cut_counted
 
 #: live targets without a time precede everything
 _ALWAYS = "1000-01-01 00:00:00"
@@ -31,12 +31,12 @@ def dangling_references(refs: DataFrame, targets: DataFrame, share: int = 1000)
     refs = refs.where(F.col("key").isNotNull()).withColumn("id", F.concat_ws(":", "kind", "key"))
     refs = refs.withColumn("period", F.date_format("at", "yyyy-MM"))
     states = target_states(targets).select(F.concat_ws(":", "kind", "key").alias("id"), "first_live", F.lit(True).alias("found"))
-    groups = cut(refs.groupBy("id", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at")))
-    hot = heavy(groups, "id", share, "n")
+    groups, counts = cut_counted(refs.groupBy("id", "period").agg(F.count(F.lit(1)).alias("n"), F.min("at").alias("first_at")), total=F.sum("n"))
+    keys = heavy(groups, "id", share, counts["total"], "n")
     rows = refs.select("ref_table", "ref_field", "row_id", "id", "at", "period")
     light_groups, light_refs, checked = groups, rows, None
-    if hot is not None:
-        hot = F.broadcast(hot)
+    if keys:
+        hot = F.broadcast(refs.sparkSession.createDataFrame([(k,) for k in keys], "id string"))
         hot_states = F.broadcast(hot.join(states.join(hot, "id", "left_semi"), "id", "left"))
         # heavy keys: every row is checked where it lies
         checked = rows.join(hot_states, "id")

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.symbols import dashed
-from factloom.operators.skew_join import left_join_unique
+from factloom.operators.skew_join import unique_join
 from factloom.session import cut
 
 
@@ -57,11 +57,11 @@ def declaring_types(calls: DataFrame, parent: DataFrame, declared: DataFrame) ->
     while True:
         joined = cut(walking.join(known, ["at", "name", "desc"], "left"))
         hit = joined.where("_d").select(*key, F.col("at").alias("declaring"))
-        rest = left_join_unique(joined.where("_d IS NULL").drop("_d"), up, "at")
+        rest = unique_join(joined.where("_d IS NULL").drop("_d"), up, "at")
         dead = F.col("_up").isNull() | F.array_contains("seen", F.col("_up"))
         ended = rest.where(dead).select(*key, F.lit(None).cast("string").alias("declaring"))
-        done = cut((hit if done is None else done.unionByName(hit)).unionByName(ended), looped=True)
-        walking = cut(rest.where(~dead).select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen")), looped=True)
+        done = cut((hit if done is None else done.unionByName(hit)).unionByName(ended))
+        walking = cut(rest.where(~dead).select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen")))
         if walking.isEmpty():
             return done
 

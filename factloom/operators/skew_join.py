@@ -1,46 +1,44 @@
-"""Left join against a side with unique keys, safe when a few left keys hold most rows.
+"""Join against a side with unique keys, safe when a few left keys hold most rows.
 
-Left keys with at least one in ``share`` rows are looked up through a broadcast of at most ``share`` rows (there can
-be no more such keys, whatever the input); all other keys meet by shuffle. Rows with a null key are kept unmatched and
-never shuffled. Without heavy keys it is one plain join.
+Left keys with at least one in ``share`` rows (there can be no more than ``share``, whatever the input) are salted: their
+rows are spread over as many tasks as a shuffle has, by a hash of the row, and the few right rows with these keys are
+repeated for each salt. Nothing is broadcast, so neither side needs a bound. Rows with a null key, which match nothing,
+are spread in the same way.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql import types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-#: below so many rows no key can hold up a task, and none is looked for; results are the same either way
-LEAST_ROWS = 50_000
+from factloom.session import parallelism
 
+SHARE = 100
 
-def heavy(left: DataFrame, key: str, share: int, weight: str | None = None) -> DataFrame | None:
-    """Keys with one in ``share`` rows (or of the weights), at most ``share`` of them; None if there are none.
 
-    Counting combines before its shuffle; only the heavy keys themselves come to the driver.
-    """
+def heavy(left: DataFrame, key: str, share: int = SHARE, total: int | None = None, weight: str | None = None) -> list:
+    """Keys with one in ``share`` rows (or of the weights), at most ``share`` of them. Counting combines before its shuffle;
+    only the heavy keys themselves come to the driver. ``total`` is counted unless it is known."""
     held = left.where(F.col(key).isNotNull())
     n = F.sum(weight) if weight else F.count(F.lit(1))
-    total = held.agg(n).first()[0] or 0
-    if total < LEAST_ROWS:
-        return None
-    counts = held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= total)
-    keys = [tuple(r) for r in counts.select(key).collect()]
-    return left.sparkSession.createDataFrame(keys, T.StructType([T.StructField(key, left.schema[key].dataType)])) if keys else None
-
-
-def left_join_unique(left: DataFrame, right: DataFrame, key: str, share: int = 500) -> DataFrame:
-    """``left`` with the columns of ``right`` (unique by ``key``), null where there is no match."""
-    hot = heavy(left, key, share)
-    nulls = left.where(F.col(key).isNull())
-    for f in right.schema.fields:
-        if f.name != key:
-            nulls = nulls.withColumn(f.name, F.lit(None).cast(f.dataType))
-    rest = left.where(F.col(key).isNotNull())
-    if hot is None:
-        return rest.join(right, key, "left").unionByName(nulls)
-    hot = F.broadcast(hot)
-    hot_right = F.broadcast(right.join(hot, key, "left_semi"))
-    by_broadcast = left.join(hot, key, "left_semi").join(hot_right, key, "left")
-    by_shuffle = rest.join(hot, key, "left_anti").join(right, key, "left")
-    return by_broadcast.unionByName(by_shuffle).unionByName(nulls)
+    if total is None:
+        total = held.agg(n).first()[0]
+    if not total:
+        return []
+    return [r[0] for r in held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= total).select(key).collect()]
+
+
+def unique_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: list | None = None, total: int | None = None) -> DataFrame:
+    """``left`` with the columns of ``right`` (unique by ``key``); ``how`` is left (null where there is no match) or inner."""
+    hot = heavy(left, key, total=total) if hot is None else hot
+    if how == "inner" and not hot:
+        return left.join(right, key)
+    salts = parallelism(left.sparkSession)
+    others = [c for c in left.columns if c != key] or [key]
+    spread: Column = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
+    salt = F.when(F.col(key).isNull(), spread)
+    if hot:
+        salt = salt.when(F.col(key).isin(hot), spread)
+        again = right.where(F.col(key).isin(hot)).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.lit(salts - 1)))) if salts > 1 else None
+    plain = right.withColumn("_salt", F.lit(0))
+    salted = plain.unionByName(again) if hot and salts > 1 else plain
+    return left.withColumn("_salt", salt.otherwise(0)).join(salted, [key, "_salt"], how).drop("_salt")

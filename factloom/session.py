@@ -2,31 +2,82 @@
 
 from __future__ import annotations
 
+import contextlib
 import os
+import uuid
+from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+
+#: folders of tables cut within a ``scratch`` block
+_open: list[list[str]] = []
 
 
 def table(spark: SparkSession, root: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{root}/{name}.parquet")
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the shared folder the session names in spark.checkpoint.dir; only where neither the setting
-    nor a directory exists (tests on one machine) a local one is set."""
+def shared_dir(spark: SparkSession) -> str:
+    """The folder all executors share, named by spark.checkpoint.dir. Only a session that runs on this machine alone, as in
+    tests, may do without: its own temporary folder is taken. On a cluster that would lose data, so it is an error."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    sc.setCheckpointDir(shared or os.path.join(os.environ.get("TMPDIR", "/tmp"), "factloom-checkpoints"))
+        return sc._jsc.sc().getCheckpointDir().get().rstrip("/")
+    if not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    return os.path.join(os.environ.get("TMPDIR", "/tmp"), "factloom-shared")
+
+
+def _remove(spark: SparkSession, path: str, on_exit: bool = False) -> None:
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    fs.deleteOnExit(p) if on_exit else fs.delete(p, True)
+
+
+def write_shared(df: DataFrame, **counted: Column) -> tuple[str, dict]:
+    """Writes the rows once as a table in the shared folder: its path and the ``counted`` aggregates, taken while writing.
+    The table goes with the ``scratch`` block it is written in, else with the session."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
+    seen = Observation() if counted else None
+    if seen is not None:
+        df = df.observe(seen, *(c.alias(name) for name, c in counted.items()))
+    df.write.parquet(path)
+    _remove(spark, path, on_exit=True)
+    if _open:
+        _open[-1].append(path)
+    return path, seen.get if seen is not None else {}
+
+
+def read_shared(like: DataFrame, *paths: str) -> DataFrame:
+    """Tables of one schema in one scan; it survives lost executors, and columns that aren't used aren't read."""
+    return like.sparkSession.read.schema(like.schema).parquet(*paths)
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Cuts lineage through a table in the shared folder."""
+    return read_shared(df, write_shared(df)[0])
+
+
+def cut_counted(df: DataFrame, **counted: Column) -> tuple[DataFrame, dict]:
+    """The same, with aggregates taken while writing."""
+    path, counts = write_shared(df, **counted)
+    return read_shared(df, path), counts
 
 
-def cut(df: DataFrame, looped: bool = False) -> DataFrame:
-    """Cut lineage through a reliable checkpoint in the shared folder; it survives lost executors. ``looped`` is for
-    unions of earlier cuts, whose partitions would add up round by round: they are brought back to the session's number
-    without a shuffle. Elsewhere the number stays, as a scan's parallelism must not be narrowed."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return (df.coalesce(parallelism(df.sparkSession)) if looped else df).checkpoint(True)
+@contextlib.contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Tables cut within are removed at the end; for work whose results are stored or collected inside."""
+    _open.append([])
+    try:
+        yield
+    finally:
+        for path in _open.pop():
+            _remove(spark, path)
 
 
 def parallelism(spark: SparkSession) -> int:

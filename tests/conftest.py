@@ -20,14 +20,6 @@ def spark(tmp_path_factory):
     session.stop()
 
 
-@pytest.fixture(autouse=True)
-def small_keys_may_be_heavy(monkeypatch):
-    """The ways of heavy keys are taken on small data too."""
-    from factloom.operators import skew_join
-
-    monkeypatch.setattr(skew_join, "LEAST_ROWS", 1)
-
-
 @pytest.fixture
 def rows():
     """Rows of a DataFrame as sorted tuples."""

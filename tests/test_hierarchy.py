@@ -3,7 +3,7 @@ import random
 import pytest
 
 from factloom.operators import hierarchy as H
-from factloom.operators.skew_join import left_join_unique
+from factloom.operators.skew_join import heavy, unique_join
 
 SCHEMA = "node string, parent string, root string, path string"
 
@@ -77,5 +77,17 @@ def test_join_keeps_every_row_whatever_the_share(spark, rows):
     left = spark.createDataFrame([("hot", i) for i in range(50)] + [(f"k{i}", i) for i in range(30)] + [(None, 1)], "k string, i int")
     right = spark.createDataFrame([("hot", "h"), ("k3", "three"), ("other", "o")], "k string, v string")
     expect = rows(left.join(right, "k", "left"))
-    for share in (1, 4, 1000):
-        assert rows(left_join_unique(left, right, "k", share).select("k", "i", "v")) == expect
+    for hot in ([], ["hot"], ["hot", "k3", "gone"], None):
+        assert rows(unique_join(left, right, "k", hot=hot).select("k", "i", "v")) == expect
+        assert rows(unique_join(left, right, "k", "inner", hot=hot).select("k", "i", "v")) == [r for r in expect if r[2]]
+    assert heavy(left, "k", 2) == ["hot"] and heavy(left.limit(0), "k") == []
+
+
+def test_kept_columns_and_missing_parents(spark):
+    edges = spark.createDataFrame([("a", "b", 1), ("a", "b", 3), ("b", "gone", 2), ("c", "c", 5), ("d", "c", 6)], "node string, parent string, v int")
+    assert {(r.node, r.root, r.depth, r.v) for r in H.hierarchy(edges, keep=["v"]).collect()} == {("a", "gone", 2, 3), ("b", "gone", 1, 2), ("c", "c", -1, 5), ("d", "c", -2, 6)}
+
+
+def test_long_tails_into_long_cycles(spark):
+    links = [(f"c{i:02}", f"c{(i + 1) % 12:02}") for i in range(12)] + [(f"a{i:02}", "c05" if i == 0 else f"a{i - 1:02}") for i in range(45)]
+    assert got(spark, links) == brute(links)
