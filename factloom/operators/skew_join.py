@@ -27,18 +27,25 @@ def heavy(left: DataFrame, key: str, share: int = SHARE, total: int | None = Non
     return [r[0] for r in held.groupBy(key).agg(n.alias("_n")).where(F.col("_n") * share >= total).select(key).collect()]
 
 
+def salted(left: DataFrame, key: str, hot: list) -> DataFrame:
+    """``left`` with a column _salt that spreads rows with a hot key or none, and is 0 for all others."""
+    others = [c for c in left.columns if c != key] or [key]
+    spread: Column = F.pmod(F.xxhash64(*others), F.lit(parallelism(left.sparkSession))).cast("int")
+    salt = F.when(F.col(key).isNull(), spread)
+    return left.withColumn("_salt", (salt.when(F.col(key).isin(hot), spread) if hot else salt).otherwise(0))
+
+
+def repeated(right: DataFrame, key: str, hot: list) -> DataFrame:
+    """``right`` (unique by ``key``) with a row for each salt of its hot keys."""
+    if not hot:
+        return right.withColumn("_salt", F.lit(0))
+    salts = F.sequence(F.lit(0), F.lit(parallelism(right.sparkSession) - 1))
+    return right.withColumn("_salt", F.explode(F.when(F.col(key).isin(hot), salts).otherwise(F.array(F.lit(0)))))
+
+
 def unique_join(left: DataFrame, right: DataFrame, key: str, how: str = "left", hot: list | None = None, total: int | None = None) -> DataFrame:
     """``left`` with the columns of ``right`` (unique by ``key``); ``how`` is left (null where there is no match) or inner."""
     hot = heavy(left, key, total=total) if hot is None else hot
     if how == "inner" and not hot:
         return left.join(right, key)
-    salts = parallelism(left.sparkSession)
-    others = [c for c in left.columns if c != key] or [key]
-    spread: Column = F.pmod(F.xxhash64(*others), F.lit(salts)).cast("int")
-    salt = F.when(F.col(key).isNull(), spread)
-    if hot:
-        salt = salt.when(F.col(key).isin(hot), spread)
-        again = right.where(F.col(key).isin(hot)).withColumn("_salt", F.explode(F.sequence(F.lit(1), F.lit(salts - 1)))) if salts > 1 else None
-    plain = right.withColumn("_salt", F.lit(0))
-    salted = plain.unionByName(again) if hot and salts > 1 else plain
-    return left.withColumn("_salt", salt.otherwise(0)).join(salted, [key, "_salt"], how).drop("_salt")
+    return salted(left, key, hot).join(repeated(right, key, hot), [key, "_salt"], how).drop("_salt")
