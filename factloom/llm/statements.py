@@ -2,9 +2,11 @@
 
 A statement is taken apart into pairs of field name and normalised value: attributes of the outer tag, selected
 columns, assignments, inserted columns with their values, conditions joined by AND, and each remaining clause whole.
-Each pair is hashed, the hashes are added up modulo 2^128, so the order of listed fields does not matter and repeats
-count. Rows meet by this fingerprint; each row is then verified field by field against the row with the smallest id of
-its group, and rows that collided are grouped again by their fields themselves.
+Selects and conditions in brackets are taken apart in the same way, from the innermost outwards, and stand in their
+field as one value; CASE ... END is one value in its own order. Each pair is hashed, the hashes are added up modulo
+2^128, so the order of listed fields does not matter and repeats count. Rows meet by this fingerprint alone; the fields
+of groups of two or more are then verified, each row against the row with the smallest id of its group. Rows that
+collided are grouped and verified again among themselves until none is left. Records are never sorted.
 
 White space, comments, closing semicolons, quoting marks around identifiers and attribute values, and letter case
 outside quoted literals, placeholders and attribute values are normalised away; everything else counts.
@@ -15,6 +17,7 @@ normalised text differ; rows with the same id are one row; unreadable markup is
 
 from __future__ import annotations
 
+import hashlib
 import re
 from collections import Counter
 from collections.abc import Iterator
@@ -25,8 +28,8 @@ import regex
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from factloom.operators.skew_join import left_join_unique
-from factloom.session import cut
+from factloom.operators.skew_join import heavy, repeated, salted
+from factloom.session import cut, cut_counted
 
 _GAP = r"[\s\u200b\u200c\u200d\u2060\ufeff]"
 _LEAD = regex.compile(rf"(?:{_GAP}+|<!--.*?-->|/\*.*?\*/|--[^\r\n]*(?:[\r\n]|$)|<\?.*?\?>|;)*", regex.S)
@@ -44,6 +47,8 @@ _SQL = re.compile(
     r"|(?P<number>\d+(?:\.\d+)?(?!\w))|(?P<mixed>[\w$]+)|(?P<other>.)|\Z)",
     re.S,
 )
+#: a value in brackets longer than this stands as its SHA-256
+_LONG = 4096
 #: operators of two signs
 _TWO = {("<", ">"), ("<", "="), (">", "="), ("!", "="), ("|", "|"), (":", ":")}
 _SPACES = regex.compile(rf"{_GAP}+")
@@ -51,15 +56,32 @@ _SPACES = regex.compile(rf"{_GAP}+")
 #: fixed values: words that begin a clause
 _CLAUSES = {"select", "from", "where", "set", "values", "group", "order", "having", "limit", "offset", "union", "intersect", "except", "insert", "update", "delete", "merge", "returning", "fetch", "for"}
 _LIST_TAGS = {"where": "where", "set": "set"}
+#: fixed values: words after which a square bracket quotes a name
+_NO_NAMES = _CLAUSES | {"by", "as", "and", "or", "not", "on", "join", "into", "in", "is", "like", "between", "distinct", "all", "case", "when", "then", "else", "end", "using", "table", "asc", "desc"}
 
-# a token is (kind, text): w word, q quoted identifier, l literal, p placeholder, n number, o operator, < tag opened, > tag closed
-Token = tuple[str, str]
+# a token is (kind, text): w word, q quoted identifier, l literal, p placeholder, n number, o operator, < tag opened, > tag closed;
+# b is a bracket or CASE with what stands in it, (kind, text, tokens)
+Token = tuple
 
 
 def _sql_tokens(text: str) -> Iterator[Token]:
     sign, sign_end = "", -1
+    name_end = -1  # where a name ended: a square bracket that follows it is a subscript
     for m in _SQL.finditer(text):
         kind = m.lastgroup
+        if kind == "sq":
+            if sign:
+                yield "o", sign
+                sign = ""
+            if name_end >= 0 and (m.start("sq") - 1 == name_end or m["sq"].strip().isdecimal()):
+                yield "o", "["
+                yield from _sql_tokens(m["sq"])
+                yield "o", "]"
+            else:
+                yield "q", m["sq"].strip().lower()
+            name_end = m.end()
+            continue
+        name_end = -1
         if kind == "op":
             got = m["op"]
             # two signs that touch are one operator
@@ -74,20 +96,24 @@ def _sql_tokens(text: str) -> Iterator[Token]:
                 sign, sign_end = got, m.end()
             else:
                 yield "o", got
+                name_end = m.end() if got == ")" else -1
             continue
         if sign:
             yield "o", sign
             sign = ""
         if kind == "word" or kind == "mixed":
-            yield "w", m[kind].lower()
+            got = m[kind].lower()
+            yield "w", got
+            name_end = -1 if got in _NO_NAMES else m.end()
         elif kind == "holder":
             got = m["holder"]
             # a placeholder's name may hold blanks, what it is otherwise counts
             yield "p", _SPACES.sub("", got) if not got.isascii() or " " in got or not got.isprintable() else got
         elif kind == "literal" or kind == "number":
             yield kind[0], m[kind]
-        elif kind in ("dq", "bq", "sq"):
+        elif kind in ("dq", "bq"):
             yield "q", m[kind].strip().lower()
+            name_end = m.end()
         elif kind is not None:
             yield "o", m[kind].lower()
     if sign:
@@ -120,97 +146,132 @@ def _xml_tokens(text: str) -> Iterator[Token]:
 
 
 def _render(tokens: list[Token]) -> str:
-    return "\x1f".join(("<" if k == "<" else "</" if k == ">" else "") + t for k, t in tokens)
+    return "\x1f".join([("<" + t[1] if t[0] == "<" else "</" + t[1] if t[0] == ">" else t[1]) for t in tokens])
+
+
+def _bracket(opening: str, tokens: list[Token], clause: str) -> Token:
+    """A bracket with its value: a select by its fields, conditions of a WHERE by branch, all else as it stands."""
+    if tokens and tokens[0] == ("w", "select"):
+        inner = "\x1d".join(sorted(f"{n}\x1c{v}" for n, v in _sql_fields(tokens)))
+    elif clause == "where" and any(t[0] == "w" and t[1] == "and" for t in tokens):
+        inner = "\x1d".join(f"{k}\x1c{v}" for k, v in sorted((k, _render(x)) for k, x in _conditions(tokens)))
+    else:
+        inner = _render(tokens)
+    if len(inner) > _LONG:
+        inner = hashlib.sha256(inner.encode()).hexdigest()
+    return "b", f"{opening}\x1f{inner}\x1f{'end' if opening == 'case' else ')'}", tokens
+
+
+def _unfolded(frames: list[list], last: list[Token]) -> list[Token]:
+    out: list[Token] = []
+    for opening, before, _ in frames:
+        out += before
+        out.append(("o" if opening == "(" else "w", opening))
+    return out + last
+
+
+def _fold(tokens: list[Token]) -> list[Token]:
+    """Brackets and CASE ... END as one token each, from the innermost outwards and without recursion. What isn't closed
+    stays as it is."""
+    stack: list[list] = []  # (opening, tokens before it, clause around it)
+    now: list[Token] = []
+    clause, opened = "", 0
+    for token in tokens:
+        kind, text = token
+        if (kind == "o" and text == "(") or (kind == "w" and text == "case"):
+            stack.append([text, now, clause])
+            now = []
+            opened += text == "("
+            clause = clause if text == "(" else ""
+            continue
+        if kind == "o" and text == ")" and opened:
+            opened -= 1
+            at = next(k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == "(")
+            now = _unfolded(stack[at + 1 :], now)  # a CASE without its END
+            del stack[at + 1 :]
+            opening, before, around = stack.pop()
+            before.append(_bracket(opening, now, around))
+            now, clause = before, around
+            continue
+        if kind == "w":
+            if text == "end" and stack and stack[-1][0] == "case":
+                opening, before, clause = stack.pop()
+                before.append(_bracket(opening, now, ""))
+                now = before
+                continue
+            if text in _CLAUSES:
+                clause = text
+        elif kind == "<" and text == "where":
+            clause = text
+        elif kind == ">" and text == "where":
+            clause = ""
+        now.append(token)
+    return _unfolded(stack, now)
 
 
 def _items(tokens: list[Token], separator: str) -> list[list[Token]]:
-    """Tokens between separators outside brackets. Tags around an item go with it, so it can move with its conditions."""
+    """Tokens between separators. Tags around an item go with it, so it can move with its conditions."""
     out: list[list[Token]] = []
     now: list[Token] = []
     around: list[Token] = []
-    depth, between, used = 0, False, True
-
-    def flush() -> None:
-        nonlocal now, used
-        if now:
-            out.append([*around, *now])
-            used = True
-        now = []
-
-    for kind, text in tokens:
-        if kind == "<" and not depth:
-            flush()
-            around.append((kind, text))
-            used = False
-        elif kind == ">" and not depth:
-            flush()
-            if around:
+    between, used = False, True
+    for token in tokens:
+        kind, text = token[0], token[1]
+        if kind == "<" or kind == ">":
+            if now:
+                out.append([*around, *now])
+                used, now = True, []
+            if kind == "<":
+                around.append(token)
+                used = False
+            elif around:
                 if not used:
                     out.append([*around])
                     used = True
                 around.pop()
-        elif kind in "wo" and text == separator and not depth and not (separator == "and" and between):
-            flush()
+        elif text == separator and kind in "wo" and not (between and separator == "and"):
+            if now:
+                out.append([*around, *now])
+                used, now = True, []
         else:
-            if kind == "o":
-                depth += (text == "(") - (text == ")")
-            elif kind == "w" and text in ("between", "and"):
+            if kind == "w" and text in ("between", "and"):
                 between = text == "between"
-            now.append((kind, text))
-    flush()
+            now.append(token)
+    if now:
+        out.append([*around, *now])
     return out
 
 
 def _conditions(tokens: list[Token]) -> list[tuple[int, list[Token]]]:
     """(branch, condition): branches are parted by OR and keep their order, conditions of one branch don't."""
-    branch, depth, out, now = 0, 0, [], []
-    for kind, text in tokens:
-        if kind == "o":
-            depth += (text == "(") - (text == ")")
-        if kind == "w" and text == "or" and not depth:
+    branch, out, now = 0, [], []
+    for token in tokens:
+        if token[0] == "w" and token[1] == "or":
             out += [(branch, x) for x in _items(now, "and")]
             branch, now = branch + 1, []
         else:
-            now.append((kind, text))
+            now.append(token)
     return out + [(branch, x) for x in _items(now, "and")]
 
 
-def _bracketed(tokens: list[Token]) -> list[list[Token]]:
-    """The contents of the brackets at the outermost level."""
-    out: list[list[Token]] = []
-    depth = 0
-    for kind, text in tokens:
-        if kind == "o" and text == "(":
-            depth += 1
-            if depth == 1:
-                out.append([])
-                continue
-        elif kind == "o" and text == ")":
-            depth -= 1
-        if depth > 0:
-            out[-1].append((kind, text))
-    return out
+def _is_list(token: Token) -> bool:
+    return token[0] == "b" and token[1][0] == "("
 
 
 def _clauses(tokens: list[Token]) -> list[tuple[str, list[Token]]]:
     part: list[Token] = []
     out: list[tuple[str, list[Token]]] = [("", part)]
-    depth, tags = 0, 0
+    tags = 0
     for token in tokens:
-        kind, text = token
+        kind, text = token[0], token[1]
         if kind == "w":
-            if text in _CLAUSES and not depth and not tags:
+            if text in _CLAUSES and not tags:
                 part = []
                 out.append((text, part))
                 continue
-        elif kind == "o":
-            if text == "(":
-                depth += 1
-            elif text == ")":
-                depth -= 1
         elif kind == "<":
             name = text.split("\x1e")[0]
-            if not depth and not tags and name in _LIST_TAGS:
+            if not tags and name in _LIST_TAGS:
                 part = [token]
                 out.append((_LIST_TAGS[name], part))
                 tags = 1
@@ -222,25 +283,49 @@ def _clauses(tokens: list[Token]) -> list[tuple[str, list[Token]]]:
     return [(name, held) for name, held in out if name or held]
 
 
+def _quantifier(part: list[Token]) -> int:
+    """How many tokens before the selected columns say how many rows are meant."""
+    words = [t[1] if t[0] == "w" else "" for t in part[:2]]
+    if words[:1] == ["top"] and part[1:2] and part[1][0] in "nbp":
+        return 2
+    if words[:1] in (["distinct"], ["all"]):
+        return 3 if words[1:] == ["on"] and part[2:3] and _is_list(part[2]) else 1
+    return 0
+
+
 def _sql_fields(tokens: list[Token]) -> list[tuple[str, str]]:
+    """Fields of folded tokens."""
     while tokens and tokens[-1] == ("o", ";"):
         tokens = tokens[:-1]
     fields: list[tuple[str, str]] = []
     clauses = _clauses(tokens)
-    fields.append(("shape", " ".join(name for name, _ in clauses)))
+    fields.append(("shape", " ".join([name for name, _ in clauses])))
     columns: list[list[Token]] | None = None
     for k, (name, part) in enumerate(clauses):
         at = f"{name}{k}"
         following = clauses[k + 1][0] if k + 1 < len(clauses) else ""
         if name == "insert" and following in ("values", "select"):
-            brackets = _bracketed(part)
-            if brackets:
-                columns = _items(brackets[0], ",")
-                head = next(i for i, t in enumerate(part) if t == ("o", "("))
-                fields.append((at, _render(part[:head])))
+            head = next((i for i, t in enumerate(part) if _is_list(t)), -1)
+            if head >= 0:
+                columns = _items(part[head][2], ",")
+                fields.append((at, _render([*part[:head], ("o", "()"), *part[head + 1 :]])))
                 continue
         if name in ("values", "select") and columns is not None:
-            rows = [_items(b, ",") for b in _bracketed(part)] if name == "values" else [_items(part, ",")]
+            if name == "values":
+                # rows, parted by commas; whatever follows them counts as it stands
+                end = 0
+                rows = []
+                while end < len(part) and _is_list(part[end]):
+                    rows.append(_items(part[end][2], ","))
+                    end += 1
+                    if part[end : end + 1] == [("o", ",")] and end + 1 < len(part) and _is_list(part[end + 1]):
+                        end += 1
+                rest = part[end:]
+            else:
+                start = _quantifier(part)
+                rows, rest = [_items(part[start:], ",")], part[:start]
+            if rest:
+                fields.append((f"{at}.rest", _render(rest)))
             for r, row in enumerate(rows):
                 if len(row) == len(columns):
                     fields += [(f"{at}.{r}", f"{_render(c)}\x1d{_render(v)}") for c, v in zip(columns, row)]
@@ -248,9 +333,9 @@ def _sql_fields(tokens: list[Token]) -> list[tuple[str, str]]:
                     fields.append((f"{at}.{r}", "\x1d".join([*map(_render, columns), "", *map(_render, row)])))
             columns = None
         elif name == "select":
-            start = 1 if part[:1] in ([("w", "distinct")], [("w", "all")]) else 0
+            start = _quantifier(part)
             if start:
-                fields.append((f"{at}.quantifier", part[0][1]))
+                fields.append((f"{at}.quantifier", _render(part[:start])))
             fields += [(at, _render(x)) for x in _items(part[start:], ",")]
         elif name == "set":
             fields += [(at, _render(x)) for x in _items(part, ",")]
@@ -269,14 +354,14 @@ def fields_of(text: str | None) -> list[tuple[str, str]]:
     if not rest:
         return []
     if rest[0] != "<" or not rest[1:2].isalpha():
-        return _sql_fields(list(_sql_tokens(rest)))
+        return _sql_fields(_fold(list(_sql_tokens(rest))))
     tokens = list(_xml_tokens(rest))
     while tokens and tokens[-1] == ("o", ";"):
         tokens.pop()
     first, *attributes = tokens[0][1].split("\x1e")
     if tokens[0][0] != "<" or tokens[-1] != (">", first):
         return [("tokens", _render(tokens))]
-    return [("tag", first), *(("attribute", a) for a in attributes), *_sql_fields(tokens[1:-1])]
+    return [("tag", first), *(("attribute", a) for a in attributes), *_sql_fields(_fold(tokens[1:-1]))]
 
 
 def statement_fields(template: str | None, normalised: str | None) -> list[str] | None:
@@ -286,6 +371,8 @@ def statement_fields(template: str | None, normalised: str | None) -> list[str]
         return None
     pairs = [f"t\x1c{n}\x1c{v}" for n, v in mine]
     pairs += ["n\x1cnull"] if normalised is None else [f"n\x1c{n}\x1c{v}" for n, v in fields_of(normalised)]
+    if len(set(pairs)) == len(pairs):
+        return pairs
     seen: Counter[str] = Counter()
     out = []
     for p in pairs:
@@ -328,18 +415,23 @@ def statement_classes(rows: DataFrame, row_id: Column, template: Column, normali
         .mapInArrow(_read(bits), _ROWS)
     )
     read = cut(read)
-    groups = read.groupBy("fp").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id"))
-    several = groups.where("keep_id < last_id").select("fp", "keep_id")
-    first = read.select("fp", F.col("id").alias("keep_id"), F.col("fields").alias("keep_fields"))
-    first = first.join(several, ["fp", "keep_id"]).groupBy("fp", "keep_id").agg(F.first("keep_fields").alias("keep_fields"))
-    members = left_join_unique(read, cut(first), "fp")
-    same = F.col("keep_id").isNull() | (
-        (F.size("fields") == F.size("keep_fields")) & (F.size(F.array_except("fields", "keep_fields")) == 0)
-    )
-    checked = cut(members.select("id", "fp", F.coalesce("keep_id", "id").alias("keep_id"), F.when(~same, F.col("fields")).alias("other")))
-    right = checked.where(F.col("other").isNull()).select("id", "keep_id")
-    wrong = checked.where(F.col("other").isNotNull()).select("id", F.array_join(F.array_sort("other"), "\x1b").alias("whole"))
-    if not wrong.isEmpty():
-        exact = wrong.groupBy("whole").agg(F.min("id").alias("keep_id"))
-        right = right.unionByName(left_join_unique(wrong, exact, "whole").select("id", "keep_id"))
-    return right.distinct()
+    ids = read.select("fp", "id")
+    groups = cut(ids.groupBy("fp").agg(F.min("id").alias("keep_id"), F.max("id").alias("last_id")).where("keep_id < last_id").select("fp", "keep_id"))
+    alone = ids.join(groups.select("fp"), "fp", "left_anti").select("id", F.col("id").alias("keep_id"))
+    # only groups of two or more are compared, each row with the first of its group
+    open_rows = read
+    right = alone
+    while True:
+        hot = heavy(open_rows, "fp")
+        # the fields move once: rows meet the smallest id of their group, and then its fields where they lie
+        rows = salted(open_rows.where("id IS NOT NULL AND fp IS NOT NULL"), "fp", hot).join(repeated(groups.where("keep_id IS NOT NULL"), "fp", hot), ["fp", "_salt"])
+        first = rows.where("id <= keep_id").groupBy("fp", "id").agg(F.collect_set("fields")[0].alias("keep_fields")).drop("id")
+        compared = rows.join(repeated(first, "fp", hot), ["fp", "_salt"])
+        same = (F.size("fields") == F.size("keep_fields")) & (F.size(F.array_except("fields", "keep_fields")) == 0)
+        checked, counts = cut_counted(compared.select("id", "keep_id", "fp", same.alias("same"), F.when(~same, F.col("fields")).alias("fields")), wrong=F.count_if(~F.col("same")))
+        right = right.unionByName(checked.where("same").select("id", "keep_id"))
+        if not counts["wrong"]:
+            return right.distinct()
+        # rows that collided are grouped among themselves; each round settles a statement of every fingerprint
+        open_rows = checked.where("NOT same").select("id", "fp", "fields")
+        groups = cut(open_rows.groupBy("fp").agg(F.min("id").alias("keep_id")))

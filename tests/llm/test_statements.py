@@ -1,6 +1,7 @@
 import itertools
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from factloom.llm import statements as S
@@ -55,9 +56,6 @@ def test_all_else_counts(other):
 
 
 def test_listed_fields_move_with_what_belongs_to_them():
-    def plain(text):
-        return text, text
-
     assert same(plain("INSERT INTO t (a, b) VALUES (#{a}, f(1, 2))"), plain("insert into T(b,a) values(F(1,2),#{a});"))
     assert not same(plain("INSERT INTO t (a, b) VALUES (#{a}, #{b})"), plain("INSERT INTO t (a, b) VALUES (#{b}, #{a})"))
     assert same(plain("UPDATE t SET a = 1, b = #{b} WHERE x BETWEEN 1 AND 2 AND y = 3"), plain("UPDATE t SET b = #{b}, a = 1 WHERE y = 3 AND x BETWEEN 1 AND 2"))
@@ -73,6 +71,70 @@ def test_listed_fields_move_with_what_belongs_to_them():
     assert not same(plain("SELECT (a, b), c FROM t"), plain("SELECT c, (b, a) FROM t"))
 
 
+def plain(text):
+    return text, text
+
+
+PAIRS = [
+    # CASE ... END is one value in its own order
+    ("SELECT a FROM t WHERE CASE WHEN p=1 AND q=2 THEN 1 END=1 AND r=3", "SELECT a FROM t WHERE CASE WHEN p=1 AND r=3 AND q=2 THEN 1 END=1", False),
+    ("SELECT a FROM t WHERE CASE WHEN p=1 AND q=2 THEN 1 END=1 AND r=3", "SELECT a FROM t WHERE r=3 AND CASE WHEN p=1 AND q=2 THEN 1 END=1", True),
+    ("SELECT CASE a WHEN 1 THEN 2 END, b FROM t", "SELECT b, CASE a WHEN 1 THEN 2 END FROM t", True),
+    ("SELECT CASE a WHEN 1 THEN 2 END, b FROM t", "SELECT b, CASE a WHEN 2 THEN 1 END FROM t", False),
+    ("SELECT case, a FROM t WHERE (case = 1)", "SELECT a, case FROM t WHERE (case = 1)", True),
+    # subscripts are no quoted names
+    ("SELECT a[1] FROM t", "SELECT a 1 FROM t", False),
+    ("SELECT a [1] FROM t", "SELECT a[1] FROM t", True),
+    ("SELECT a[1] FROM t", "SELECT a[2] FROM t", False),
+    ("SELECT [a], b FROM [t]", "SELECT b, a FROM t", True),
+    ("SELECT [dbo].[a] FROM [dbo].[t]", "SELECT dbo.a FROM dbo.t", True),
+    ("SELECT f(x)[i] FROM t", "SELECT f(x) i FROM t", False),
+    # selects and conditions in brackets
+    ("SELECT a FROM t WHERE b IN (SELECT c, d FROM u WHERE e = 1 AND f = 2)", "SELECT a FROM t WHERE b IN (select d, c from u where f = 2 and e = 1)", True),
+    ("SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE e = 1 AND f = 2)", "SELECT a FROM t WHERE b IN (SELECT c FROM u WHERE e = 2 AND f = 1)", False),
+    ("SELECT a FROM t WHERE (x = 1 AND y = 2) OR z = 3", "SELECT a FROM t WHERE (y = 2 AND x = 1) OR z = 3", True),
+    ("SELECT a FROM t WHERE (x = 1 OR y = 2) AND z = 3", "SELECT a FROM t WHERE z = 3 AND (y = 2 OR x = 1)", False),
+    ("SELECT a FROM t WHERE (x BETWEEN 1 AND 2 AND y = 3)", "SELECT a FROM t WHERE (y = 3 AND x BETWEEN 1 AND 2)", True),
+    ("SELECT a FROM t WHERE (x BETWEEN 1 AND 2 AND y = 3)", "SELECT a FROM t WHERE (x BETWEEN 1 AND 3 AND y = 2)", False),
+    ("SELECT a FROM t JOIN u ON (x = 1 AND y = 2)", "SELECT a FROM t JOIN u ON (y = 2 AND x = 1)", False),
+    ("SELECT a, f(b, c) FROM t", "SELECT a, f(c, b) FROM t", False),
+    ("SELECT a FROM (SELECT b, c FROM t) x", "SELECT a FROM (SELECT c, b FROM t) x", True),
+    # what follows inserted rows, or stands before selected columns, counts
+    ("INSERT INTO t (a) VALUES (1)", "INSERT INTO t (a) VALUES (1) ON CONFLICT DO NOTHING", False),
+    ("INSERT INTO t (a) VALUES (1), (2)", "INSERT INTO t (a) VALUES (2), (1)", False),
+    ("INSERT INTO t (a, b) SELECT DISTINCT c, d FROM u", "INSERT INTO t (b, a) SELECT DISTINCT d, c FROM u", True),
+    ("INSERT INTO t (a, b) SELECT DISTINCT c, d FROM u", "INSERT INTO t (a, b) SELECT c, d FROM u", False),
+    ("SELECT TOP 5 a, b FROM t", "SELECT TOP 5 b, a FROM t", True),
+    ("SELECT TOP 5 a, b FROM t", "SELECT TOP 6 a, b FROM t", False),
+    ("SELECT DISTINCT ON (a) a, b FROM t", "SELECT DISTINCT ON (b) a, b FROM t", False),
+]
+
+
+@pytest.mark.parametrize(("a", "b", "equal"), PAIRS)
+def test_brackets_and_cases(a, b, equal):
+    assert same(plain(a), plain(b)) is equal
+
+
+@given(st.lists(st.sampled_from(["(", ")", "case", "end", "a", "b", "and", "or", ",", "select", "where", "between", "[", "]", "1", "<if test='x'>", "</if>"]), max_size=24), st.randoms())
+@settings(max_examples=400, deadline=None)
+def test_any_row_of_tokens_is_read_and_swaps_count_in_cases(words, rng):
+    inside = [w for w in words if w not in ("(", ")", "case", "end", "[", "]") and "<" not in w]
+    other = inside[:]
+    rng.shuffle(other)
+    assert S.statement_fields(" ".join(["select", *words]), None)
+    a, b = (f"select x from t where y = case when {' '.join(w)} then 1 end" for w in (inside, other))
+    assert same(plain(a), plain(b)) is (inside == other)
+    a, b = (f"select x from t where y = f[ {' '.join(w)} ]" for w in (inside, other))
+    assert same(plain(a), plain(b)) or inside != other
+
+
+def test_deep_brackets():
+    deep = "(" * 50_000 + "a" + ")" * 50_000
+    assert same(plain(f"SELECT x, {deep} FROM t"), plain(f"SELECT {deep}, x FROM t"))
+    assert not same(plain(f"SELECT {deep} FROM t"), plain(f"SELECT {deep.replace('a', 'b')} FROM t"))
+    assert S.statement_fields("select " + "( case " * 50_000, None) and S.statement_fields("select (" + "case " * 50_000 + ")", None)
+
+
 @pytest.mark.parametrize("text", [None, "", "  ", " ", "-- x", "/* x */ ;"])
 def test_no_content_is_no_statement(text):
     assert S.statement_fields(text, "select 1") is None
