@@ -32,6 +32,13 @@ def p6_ids(spark: SparkSession, root: str) -> DataFrame:
     return tokens.encode_texts(table(spark, root, "documents"), F.col("doc_id"), F.col("text"))
 
 
+def p6_unspaced_ids(spark: SparkSession, root: str) -> DataFrame:
+    """Token ids of every text without its white space: stretches the pattern leaves unsplit are then as long as sentences,
+    and texts of two thousand characters or more are joined across tasks."""
+    docs = table(spark, root, "documents").select("doc_id", F.regexp_replace("text", r"[\s\u00a0\u3000\u200b]+", "").alias("text"))
+    return tokens.encode_texts(docs, F.col("doc_id"), F.col("text"), long_chars=2_048, leaf_chars=512)
+
+
 # 7. test items in the corpus
 def p7_passages(spark: SparkSession, root: str) -> DataFrame:
     """Passages of ten or more words that a text shares with a test item, with their place in the text."""
@@ -69,7 +76,7 @@ SELECT DISTINCT doc_id, item_id FROM ds JOIN isx USING (s)
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (p2_found, p2_statements, p6_ids, p7_found, p7_passages, p7_leaked_items, p8_found, p8_redacted)
+    f.__name__: f for f in (p2_found, p2_statements, p6_ids, p6_unspaced_ids, p7_found, p7_passages, p7_leaked_items, p8_found, p8_redacted)
 }
 SQL: dict[str, str] = {
     "p7_found": P7_FOUND_SQL,

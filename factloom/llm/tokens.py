@@ -1,19 +1,23 @@
 """Token ids of whole texts by a public byte-level BPE vocabulary.
 
-Texts are cut where the splitting pattern always splits, and short pieces are encoded at once. A long piece without
-such a place is encoded as a tree: its halves are encoded on their own, then growing windows of tokens around the join
-are encoded again until the outermost token on either side is the one already there. BPE output is right exactly if
-each adjacent pair of tokens is what the pair's own bytes encode to, so agreement at both ends makes the joined list
-the encoding of the whole.
-
-Texts of ``long_chars`` or more are cut into leaves that are encoded as rows of their own all over the cluster and
-joined per text. Null and empty texts give an empty list. Special tokens are never produced; their spelling in a text
-is ordinary text. Lone surrogates cannot occur in Spark strings.
+Texts are cut where the splitting pattern always splits. What the pattern leaves unsplit and is longer than a leaf (long
+words, scripts without spaces) is encoded as a tree: its halves are encoded on their own, then growing windows of tokens
+around the join are encoded again until the outermost token on either side is the one already there. BPE output is right
+exactly if each adjacent pair of tokens is what the pair's own bytes encode to, so agreement at both ends makes the
+joined list the encoding of the whole. Merging a piece costs more than in proportion to its length, so the leaves are short.
+
+Texts of ``long_chars`` or more are cut into leaves that are encoded as rows of their own all over the cluster; leaves of
+one unsplit piece are joined level by level, ``FAN`` neighbours at a time, each level spread over the cluster. Only the
+finished pieces of a text meet, as they make up one row.
+
+Null and empty texts give an empty list. Special tokens are never produced; their spelling in a text is ordinary text.
+Lone surrogates cannot occur in Spark strings.
 """
 
 from __future__ import annotations
 
 import base64
+import re
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -21,19 +25,23 @@ import pyarrow as pa
 import regex
 from pyspark.sql import Column, DataFrame, functions as F
 
+from factloom.session import cut_counted
+
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 #: fixed value: the splitting pattern published with this vocabulary
 PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: bytes of an unsplit piece that are encoded at once, tokens around a join that are encoded first
-LEAF_BYTES = 4096
+LEAF_BYTES = 64
 FIRST_WINDOW = 8
-#: texts from this length on are cut into leaves of about so many characters, encoded in parallel
-LONG_CHARS = 262_144
-LEAF_CHARS = 32_768
+#: texts from this length on are cut into leaves of about so many characters, encoded in parallel and joined FAN at a time
+LONG_CHARS = 16_384
+LEAF_CHARS = 4_096
+FAN = 16
 
 _PIECE = regex.compile(PATTERN)
 #: a character that is no white space before one that is: the pattern splits there, whatever else stands around
 _SPLIT = regex.compile(r"(?<=\S)(?=\s)")
+_SPLIT_BEFORE = regex.compile(r"(?r)(?<=\S)(?=\s)")
 
 
 @lru_cache(maxsize=4)
@@ -49,6 +57,10 @@ class Encoder:
     def __init__(self, path: str = VOCABULARY, leaf_bytes: int = LEAF_BYTES) -> None:
         self.enc = encoding(path)
         self.leaf = max(1, leaf_bytes)
+        # a piece longer than a leaf has so many characters of one kind at least
+        n = max(1, self.leaf // 4)
+        self.dense = re.compile(rf"\S{{{n}}}|\s{{{n}}}")
+        self.runs = regex.compile(rf"\p{{L}}{{{n},}}|\p{{N}}{{{n},}}|[^\s\p{{L}}\p{{N}}]{{{n},}}|\s{{{n},}}")
 
     def _bytes(self, tokens: list[int]) -> bytes:
         return b"".join(map(self.enc.decode_single_token_bytes, tokens))
@@ -82,16 +94,24 @@ class Encoder:
     def text(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if len(text) <= self.leaf // 4:
+        if not self.dense.search(text):
             return self.enc.encode_ordinary(text)
         out: list[int] = []
-        for start, end, whole in stretches(text, self.leaf // 4):
-            if whole:
-                out += self.enc.encode_ordinary(text[start:end])
-            else:
-                for m in _PIECE.finditer(text, start, end):
-                    out += self.piece(m[0].encode())
-        return out
+        at = 0
+        for run in self.runs.finditer(text):
+            start, end = run.span()
+            # the space before a run and what stands beside it without a space may belong to the same piece
+            if start < at or len(text[start:end].encode()) + 1 <= self.leaf:
+                continue
+            before = _SPLIT_BEFORE.search(text, at, start + 1)
+            left = before.start() if before and before.start() > at else at
+            after = _SPLIT.search(text, end)
+            right = after.start() if after else len(text)
+            out += self.enc.encode_ordinary(text[at:left])
+            for m in _PIECE.finditer(text, left, right):
+                out += self.piece(m[0].encode())
+            at = right
+        return out + self.enc.encode_ordinary(text[at:] if at else text)
 
 
 def stretches(text: str, most: int) -> Iterator[tuple[int, int, bool]]:
@@ -116,10 +136,10 @@ def stretches(text: str, most: int) -> Iterator[tuple[int, int, bool]]:
 
 
 _IDS = pa.schema([("doc_id", pa.int64()), ("ids", pa.list_(pa.int32()))])
-_LEAVES = "doc_id bigint, text_hash string, copies bigint, piece int, leaf int, data binary, whole boolean"
-_LEAVES_ARROW = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.string()), ("copies", pa.int64()), ("piece", pa.int32()), ("leaf", pa.int32()), ("data", pa.binary()), ("whole", pa.bool_())])
-_DONE = "doc_id bigint, text_hash string, copies bigint, piece int, leaf int, ids array<int>"
-_DONE_ARROW = pa.schema([*list(_LEAVES_ARROW)[:5], ("ids", pa.list_(pa.int32()))])
+_PLACE = "doc_id bigint, text_hash string, copies bigint, piece int, block int"
+_PLACE_ARROW = [("doc_id", pa.int64()), ("text_hash", pa.string()), ("copies", pa.int64()), ("piece", pa.int32()), ("block", pa.int32())]
+_LEAVES, _LEAVES_ARROW = f"{_PLACE}, data binary, whole boolean", pa.schema([*_PLACE_ARROW, ("data", pa.binary()), ("whole", pa.bool_())])
+_DONE, _DONE_ARROW = f"{_PLACE}, whole boolean, ids array<int>", pa.schema([*_PLACE_ARROW, ("whole", pa.bool_()), ("ids", pa.list_(pa.int32()))])
 
 
 def _encode(path: str, leaf_bytes: int):
@@ -133,8 +153,8 @@ def _encode(path: str, leaf_bytes: int):
 
 
 def leaves(text: str, leaf_chars: int) -> Iterator[tuple[int, int, bytes, bool]]:
-    """(piece, leaf, bytes, whole): stretches that split for sure are leaves of their own; unsplit pieces are cut into
-    several leaves of one piece, which have to be joined."""
+    """(piece, block, bytes, whole): stretches that split for sure are pieces of their own; unsplit pieces are cut into
+    several blocks of one piece, which have to be joined."""
     piece = 0
     for start, end, whole in stretches(text, leaf_chars):
         if whole:
@@ -143,8 +163,8 @@ def leaves(text: str, leaf_chars: int) -> Iterator[tuple[int, int, bytes, bool]]
             continue
         for m in _PIECE.finditer(text, start, end):
             data = m[0].encode()
-            for leaf, at in enumerate(range(0, len(data), leaf_chars)):
-                yield piece, leaf, data[at : at + leaf_chars], False
+            for block, at in enumerate(range(0, len(data), leaf_chars)):
+                yield piece, block, data[at : at + leaf_chars], False
             piece += 1
 
 
@@ -169,36 +189,29 @@ def _encode_leaves(path: str, leaf_bytes: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder(path, leaf_bytes)
         for b in batches:
-            ids = [
-                encoder.text(data.decode()) if whole else encoder.piece(data)
-                for data, whole in zip(b.column("data").to_pylist(), b.column("whole").to_pylist())
-            ]
-            yield pa.RecordBatch.from_arrays([*b.columns[:5], pa.array(ids, pa.list_(pa.int32()))], schema=_DONE_ARROW)
+            wholes = b.column("whole")
+            ids = [encoder.text(data.decode()) if whole else encoder.piece(data) for data, whole in zip(b.column("data").to_pylist(), wholes.to_pylist())]
+            yield pa.RecordBatch.from_arrays([*b.columns[:5], wholes, pa.array(ids, pa.list_(pa.int32()))], schema=_DONE_ARROW)
 
     return run
 
 
-def _concatenate(path: str, leaf_bytes: int):
+def _join_neighbours(path: str, fan: int):
     def run(table: pa.Table) -> pa.Table:
-        """All leaves of one text."""
-        encoder = Encoder(path, leaf_bytes)
-        rows = table.select(["piece", "leaf", "ids"]).sort_by([("piece", "ascending"), ("leaf", "ascending")]).to_pydict()
-        out: list[int] = []
-        level: list[list[int]] = []
-        for k, (piece, ids) in enumerate(zip(rows["piece"], rows["ids"])):
-            if k and piece != rows["piece"][k - 1]:
-                out += encoder.tree(level)
-                level = []
-            level.append(ids)
-        out += encoder.tree(level)
-        copies = table.column("copies")[0].as_py()
-        return pa.Table.from_arrays([pa.array([table.column("doc_id")[0].as_py()] * copies, pa.int64()), pa.array([out] * copies, pa.list_(pa.int32()))], schema=_IDS)
+        """At most ``fan`` neighbouring blocks of one piece become one."""
+        encoder = Encoder(path)
+        table = table.sort_by("block")
+        first = table.slice(0, 1)
+        ids = encoder.tree(table.column("ids").to_pylist())
+        block = pa.array([first.column("block")[0].as_py() // fan], pa.int32())
+        place = [first.column(c).combine_chunks() for c in ("doc_id", "text_hash", "copies", "piece")]
+        return pa.Table.from_arrays([*place, block, pa.array([False]), pa.array([ids], pa.list_(pa.int32()))], schema=_DONE_ARROW)
 
     return run
 
 
 def encode_texts(
-    docs: DataFrame, doc_id: Column, text: Column, path: str = VOCABULARY, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES
+    docs: DataFrame, doc_id: Column, text: Column, path: str = VOCABULARY, long_chars: int = LONG_CHARS, leaf_chars: int = LEAF_CHARS, leaf_bytes: int = LEAF_BYTES, fan: int = FAN
 ) -> DataFrame:
     """doc_id, ids: one row for each row."""
     corpus = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text"))
@@ -209,6 +222,16 @@ def encode_texts(
         .groupBy("doc_id", F.sha2("text", 256).alias("text_hash"))
         .agg(F.count(F.lit(1)).alias("copies"), F.first("text").alias("text"))
     )
-    done = long.mapInArrow(_cut(leaf_chars), _LEAVES).repartition("doc_id", "piece", "leaf").mapInArrow(_encode_leaves(path, leaf_bytes), _DONE)
-    joined = done.groupBy("doc_id", "text_hash").applyInArrow(_concatenate(path, leaf_bytes), "doc_id bigint, ids array<int>")
-    return short.unionByName(joined)
+    encoded = long.mapInArrow(_cut(leaf_chars), _LEAVES).repartition("doc_id", "piece", "block").mapInArrow(_encode_leaves(path, leaf_bytes), _DONE)
+    blocks, counts = cut_counted(encoded, rows=F.count(F.lit(1)), last=F.max("block"))
+    if not counts["rows"]:
+        return short
+    pieces = blocks.where("whole")
+    level, last = blocks.where("NOT whole"), counts["last"]
+    while last:
+        joined = level.groupBy("doc_id", "text_hash", "piece", F.floor(F.col("block") / fan)).applyInArrow(_join_neighbours(path, fan), _DONE)
+        level, counts = cut_counted(joined, last=F.max("block"))
+        last = counts["last"]
+    whole = pieces.unionByName(level).groupBy("doc_id", "text_hash", "copies").agg(F.array_sort(F.collect_list(F.struct("piece", "ids"))).alias("p"))
+    ids = F.flatten(F.transform("p", lambda x: x["ids"])).alias("ids")
+    return short.unionByName(whole.select("doc_id", ids, F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "ids"))

@@ -2,6 +2,7 @@ import os
 import random
 
 import pytest
+from hypothesis import given, settings, strategies as st
 from pyspark.sql import functions as F
 
 from factloom.llm import tokens as T
@@ -33,13 +34,19 @@ def test_long_unsplit_text():
         assert T.Encoder(leaf_bytes=256).text(text) == T.encoding().encode_ordinary(text)
 
 
+@given(st.lists(st.sampled_from([*PARTS, "ab" * 40, "中" * 30, " " * 70, "1" * 65, "?!" * 40, "'s" + "x" * 70]), max_size=12).map("".join))
+@settings(max_examples=300, deadline=None)
+def test_production_sizes(text):
+    assert T.Encoder().text(text) == T.encoding().encode_ordinary(text)
+
+
 def test_rows(spark):
     rng = random.Random(7)
     texts = [None, "", " ", "Hello world", "x" * 3000, *(random_text(rng) * 3 for _ in range(40)), "dup", "dup"]
     data = [(i, t, "clash") for i, t in enumerate(texts)] + [(500, texts[4], "c"), (500, texts[4], "c"), (None, None, "c")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, ids string")
-    for long_chars, leaf in ((10**6, 1000), (50, 16)):
-        out = T.encode_texts(df, F.col("doc_id"), F.col("text"), long_chars=long_chars, leaf_chars=leaf, leaf_bytes=32).collect()
+    for long_chars, leaf, fan in ((10**6, 1000, 16), (50, 16, 16), (20, 5, 2)):
+        out = T.encode_texts(df, F.col("doc_id"), F.col("text"), long_chars=long_chars, leaf_chars=leaf, leaf_bytes=32, fan=fan).collect()
         expect = [(i, T.encoding().encode_ordinary(t) if t else []) for i, t, _ in data]
         assert sorted(map(repr, ((r.doc_id, r.ids) for r in out))) == sorted(map(repr, expect))
 
