@@ -1,10 +1,14 @@
 """Held-out test passages inside a corpus.
 
-All word windows of the test items form one Aho-Corasick automaton over normalised words; each text is scanned once and
-hits are mapped back to offsets of the original text. Words are the maximal runs of letters and digits (Unicode L*
-and N*), lower-cased after they are cut; whatever stands between them doesn't matter. The automaton reads word
-numbers rather than characters, so it stays small: its size follows the test set alone. Test sets whose text exceeds
-``BLOCK_CHARS`` are scanned in blocks of items, each with its own automaton.
+Stretches of the test items form one Aho-Corasick automaton over normalised words; each text is scanned once, what is
+found is extended to both sides word by word, and passages of ten words or more are mapped back to offsets of the
+original text. A passage of ``window`` words always holds a stretch of window - STEP + 1 words that begins at a multiple
+of STEP in its item, so only these are kept. Words are the maximal runs of letters and digits (Unicode L* and N*),
+lower-cased after they are cut; whatever stands between them doesn't matter. The automaton reads word numbers rather
+than characters: its size follows the test set alone.
+
+The items are broadcast once, in blocks of at most ``BLOCK_CHARS`` characters, whose automaton takes about 40 bytes a
+character; a worker builds it once and keeps it for all its tasks. Larger test sets take a scan for each block.
 
 Defined cases: null, empty and blank texts hold nothing; items with fewer words than the window are never found; equal
 items are all reported; repeated rows are reported each.
@@ -17,10 +21,12 @@ from collections.abc import Iterator
 import ahocorasick
 import pyarrow as pa
 import regex
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame, functions as F
 
 WINDOW = 10
-#: characters of test items that go into one automaton
+STEP = 3
+#: characters of test items that go into one automaton and one broadcast
 BLOCK_CHARS = 8_000_000
 
 _WORD = regex.compile(r"[\p{L}\p{N}]+")
@@ -34,21 +40,27 @@ class PassageFinder:
 
     def __init__(self, items: list[tuple[int, str | None]], window: int = WINDOW) -> None:
         self.window = window
+        step = min(STEP, window)
+        self.length = window - step + 1
         self.numbers: dict[str, int] = {}
-        windows: dict[tuple[int, ...], list[tuple[int, int]]] = {}
+        self.items: list[tuple[int, list[int]]] = []
+        stretches: dict[tuple[int, ...], list[tuple[int, int]]] = {}
         for item, text in items:
             words = [self.numbers.setdefault(w.lower(), len(self.numbers) + 1) for w in _WORD.findall(text or "")]
-            for at in range(len(words) - window + 1):
-                windows.setdefault(tuple(words[at : at + window]), []).append((item, at))
+            if len(words) < window:
+                continue
+            for at in range(0, len(words) - self.length + 1, step):
+                stretches.setdefault(tuple(words[at : at + self.length]), []).append((len(self.items), at))
+            self.items.append((item, words))
         self.automaton = ahocorasick.Automaton(ahocorasick.STORE_ANY, ahocorasick.KEY_SEQUENCE)
-        for key, places in windows.items():
+        for key, places in stretches.items():
             self.automaton.add_word(key, places)
-        self.empty = not windows
-        if windows:
+        self.empty = not stretches
+        if stretches:
             self.automaton.make_automaton()
 
     def _hits(self, numbers: list[int]) -> Iterator[tuple[int, list[tuple[int, int]]]]:
-        """(index of the last word, places) of each window; stretches of unknown words can hold none and are passed over."""
+        """(index of the first word, places) of each stretch; runs of unknown words can hold none and are passed over."""
         at, size = 0, len(numbers)
         while at < size:
             if not numbers[at]:
@@ -59,7 +71,7 @@ class PassageFinder:
                 end += 1
             if end - at >= self.window:
                 for last, places in self.automaton.iter(tuple(numbers[at:end])):
-                    yield at + last, places
+                    yield at + last - self.length + 1, places
             at = end
 
     def passages(self, text: str | None) -> list[tuple[int, int, int, int]]:
@@ -67,24 +79,43 @@ class PassageFinder:
         if not text or self.empty:
             return []
         numbers = [self.numbers.get(w.lower(), 0) for w in _WORD.findall(text)]
-        runs: dict[tuple[int, int], list[list[int]]] = {}
-        for last, places in self._hits(numbers):
-            first = last - self.window + 1
-            for item, at in places:
-                mine = runs.setdefault((item, first - at), [])
-                if mine and mine[-1][1] == last - 1:
-                    mine[-1][1] = last
-                else:
-                    mine.append([first, last])
-        if not runs:
+        found: set[tuple[int, int, int]] = set()
+        reached: dict[tuple[int, int], int] = {}  # how far an item laid along the text has been followed
+        for first, places in self._hits(numbers):
+            for k, at in places:
+                if reached.get((k, first - at), -1) > first:
+                    continue
+                item, words = self.items[k]
+                a, p = first, at
+                while a and p and numbers[a - 1] == words[p - 1]:
+                    a, p = a - 1, p - 1
+                b, p = first + self.length, at + self.length
+                while b < len(numbers) and p < len(words) and numbers[b] == words[p]:
+                    b, p = b + 1, p + 1
+                reached[k, first - at] = b
+                if b - a >= self.window:
+                    found.add((item, a, b))
+        if not found:
             return []
         spans = [m.span() for m in _WORD.finditer(text)]
-        return sorted({(item, spans[a][0], spans[b][1], b - a + 1) for (item, _), found in runs.items() for a, b in found})
+        return sorted({(item, spans[a][0], spans[b - 1][1], b - a) for item, a, b in found})
+
+
+#: the automaton a worker last built, by broadcast
+_built: dict[tuple, PassageFinder] = {}
+
 
+def _finder(items: Broadcast, window: int) -> PassageFinder:
+    key = (items._path or id(items), window)
+    if key not in _built:
+        _built.clear()
+        _built[key] = PassageFinder(items.value, window)
+    return _built[key]
 
-def _scan(items: list[tuple[int, str | None]], window: int):
+
+def _scan(items: Broadcast, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        finder = PassageFinder(items, window)
+        finder = _finder(items, window)
         for b in batches:
             rows = [(doc, *hit) for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text")) for hit in finder.passages(text.as_py())]
             if rows:
@@ -97,11 +128,11 @@ def item_blocks(items: DataFrame, item_id: Column, text: Column, block_chars: in
     """The test items, streamed to the driver in blocks of bounded size."""
     block, size = [], 0
     for row in items.select(item_id.cast("bigint").alias("i"), text.alias("t")).where(F.col("t").isNotNull() & F.col("i").isNotNull()).toLocalIterator():
-        block.append((row.i, row.t))
-        size += len(row.t)
-        if size >= block_chars:
+        if block and size + len(row.t) > block_chars:
             yield block
             block, size = [], 0
+        block.append((row.i, row.t))
+        size += len(row.t)
     if block:
         yield block
 
@@ -113,6 +144,6 @@ def shared_passages(
     corpus = docs.select(doc_id.cast("bigint").alias("doc_id"), text.alias("text")).where(F.col("text").isNotNull())
     found = None
     for block in item_blocks(items, item_id, item_text, block_chars):
-        part = corpus.mapInArrow(_scan(block, window), _FOUND)
+        part = corpus.mapInArrow(_scan(docs.sparkSession.sparkContext.broadcast(block), window), _FOUND)
         found = part if found is None else found.unionByName(part)
     return found if found is not None else docs.sparkSession.createDataFrame([], _FOUND)

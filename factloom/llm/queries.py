@@ -75,10 +75,27 @@ isx AS (SELECT DISTINCT item_id, array_to_string(w[k:k + 9], ' ') AS s FROM (SEL
 SELECT DISTINCT doc_id, item_id FROM ds JOIN isx USING (s)
 """
 
+#: runs of matching windows along one placement of an item are one passage; offsets add up words with what stands before them
+P7_PASSAGES_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(text, '[^\p{L}\p{N}]*[\p{L}\p{N}]+') AS parts FROM documents WHERE text IS NOT NULL),
+i AS (SELECT item_id, list_transform(regexp_extract_all(text, '[\p{L}\p{N}]+'), lambda w: lower(w)) AS w FROM eval_items WHERE text IS NOT NULL),
+dw AS (SELECT doc_id, k, w, sum(n) OVER (PARTITION BY doc_id ORDER BY k) AS stop, length(w) AS len FROM (
+  SELECT doc_id, k, regexp_extract(parts[k], '[\p{L}\p{N}]+$') AS w, length(parts[k]) AS n FROM (SELECT doc_id, parts, unnest(range(1, len(parts) + 1)) AS k FROM d))),
+ds AS (SELECT doc_id, k, array_to_string(w[k:k + 9], ' ') AS s FROM (SELECT doc_id, w, unnest(range(1, len(w) - 8)) AS k
+  FROM (SELECT doc_id, list_transform(parts, lambda x: lower(regexp_extract(x, '[\p{L}\p{N}]+$'))) AS w FROM d))),
+isx AS (SELECT item_id, k, array_to_string(w[k:k + 9], ' ') AS s FROM (SELECT item_id, w, unnest(range(1, len(w) - 8)) AS k FROM i)),
+hits AS (SELECT doc_id, item_id, ds.k AS pos, ds.k - isx.k AS placed FROM ds JOIN isx USING (s)),
+runs AS (SELECT doc_id, item_id, placed, min(pos) AS a, max(pos) + 9 AS b FROM (
+  SELECT *, pos - row_number() OVER (PARTITION BY doc_id, item_id, placed ORDER BY pos) AS run FROM hits) GROUP BY doc_id, item_id, placed, run)
+SELECT DISTINCT r.doc_id, r.item_id, CAST(x.stop - x.len AS INTEGER) AS start_char, CAST(y.stop AS INTEGER) AS end_char, CAST(r.b - r.a + 1 AS INTEGER) AS n_words
+FROM runs r JOIN dw x ON x.doc_id = r.doc_id AND x.k = r.a JOIN dw y ON y.doc_id = r.doc_id AND y.k = r.b
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (p2_found, p2_statements, p6_ids, p6_unspaced_ids, p7_found, p7_passages, p7_leaked_items, p8_found, p8_redacted)
 }
 SQL: dict[str, str] = {
     "p7_found": P7_FOUND_SQL,
+    "p7_passages": P7_PASSAGES_SQL,
     "p7_leaked_items": f"SELECT item_id, count(*) AS n_docs FROM ({P7_FOUND_SQL}) GROUP BY 1",
 }
