@@ -1,9 +1,12 @@
 """Per-key results when a few keys hold most rows.
 
 Every split of the input is reduced on its own, whatever keys it holds: keys are dictionary-encoded, the codes
-counted with ``numpy.bincount`` into a dense array, and the array cut into blocks by a hash of the key. Blocks of
-all splits meet at their block number and are summed by scatter-adds into one dense accumulator per block. A key
-that holds a third of all rows costs each split one array slot, so no task is longer than the others.
+counted with ``numpy.bincount`` into a dense array, and the array cut into blocks by a hash of the key. There are as many
+blocks as keep one at about ``BLOCK_KEYS`` keys, by an estimate of the number of keys. Blocks of all splits meet at their
+block number, sorted (Spark's sort spills), and are summed by scatter-adds into the dense accumulator of one block, which
+is given out before the next begins; so memory follows the block, not the number of keys. A key that holds a third of all
+rows costs each split one array slot, so no task is longer than the others. Distinct values are counted on pairs made
+unique before; pairs travel whole rather than as hashes, so that counts are exact.
 
 Defined cases: null or empty keys give no row; rows with a null ``distinct`` value count as rows only; repeated rows
 count each time; an empty input gives an empty result.
@@ -21,6 +24,8 @@ from factloom.session import parallelism
 
 #: keys a split keeps before it hands its arrays on; bounds a worker's memory, never the result
 SPLIT_KEYS = 400_000
+#: keys of a block, about
+BLOCK_KEYS = 50_000
 
 _BLOCKS = "block int, keys array<string>, n_rows array<bigint>, n_distinct array<bigint>"
 _BLOCKS_ARROW = pa.schema(
@@ -101,32 +106,41 @@ def _count_split(what: str):
 
 
 def _sum_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    acc = DenseAccumulator()
+    """Rows come sorted by block."""
+    acc, now = DenseAccumulator(), None
+
+    def given() -> Iterator[pa.RecordBatch]:
+        for b in acc.blocks():
+            yield pa.RecordBatch.from_arrays([b.column(name).flatten() for name in ("keys", "n_rows", "n_distinct")], names=["key", "n_rows", "n_distinct"])
+
     for b in batches:
-        lists = [b.column(name) for name in ("keys", "n_rows", "n_distinct")]
-        lengths = np.diff(lists[0].offsets.to_numpy())
-        keys, rows, distinct = (x.flatten() for x in lists)
-        acc.add(keys, np.repeat(b.column("block").to_numpy(), lengths), rows.to_numpy(), distinct.to_numpy())
-    for b in acc.blocks():
-        yield pa.RecordBatch.from_arrays(
-            [b.column("keys").flatten(), b.column("n_rows").flatten(), b.column("n_distinct").flatten()],
-            names=["key", "n_rows", "n_distinct"],
-        )
+        blocks = b.column("block").to_numpy()
+        cuts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]]) if len(blocks) else []
+        for start, stop in zip(cuts, np.r_[cuts[1:], len(blocks)]):
+            if now is not None and blocks[start] != now:
+                yield from given()
+            now = blocks[start]
+            part = b.slice(start, stop - start)
+            keys, rows, distinct = (part.column(name).flatten() for name in ("keys", "n_rows", "n_distinct"))
+            acc.add(keys, np.full(len(keys), now, np.int32), rows.to_numpy(), distinct.to_numpy())
+    yield from given()
 
 
 def skewed_counts(df: DataFrame, first: Column, second: Column, distinct: Column, names: tuple[str, str]) -> DataFrame:
     """Rows and distinct values of ``distinct`` for each key (first, second): names[0], names[1], n_rows, n_distinct."""
-    n_blocks = max(64, 4 * parallelism(df.sparkSession))
     facts = df.select(first.alias("a"), second.alias("b"), distinct.alias("d")).where(
         F.col("a").isNotNull() & F.col("b").isNotNull() & (F.col("a") != "") & (F.col("b") != "")
     )
     # the length of the first part keeps the joined key unambiguous
     key = F.concat(F.length("a").cast("string"), F.lit(":"), F.col("a"), F.col("b"))
-    facts = facts.select(key.alias("key"), "d").withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
+    facts = facts.select(key.alias("key"), "d")
+    n_keys = facts.agg(F.approx_count_distinct("key")).first()[0]
+    n_blocks = max(4 * parallelism(df.sparkSession), n_keys // BLOCK_KEYS)
+    facts = facts.withColumn("block", F.pmod(F.xxhash64("key"), F.lit(n_blocks)).cast("int"))
     rows = facts.select("key", "block").mapInArrow(_count_split("rows"), _BLOCKS)
     # a pair of key and value lives in one task after distinct(), and heavy keys are spread over all of them
     pairs = facts.where(F.col("d").isNotNull()).distinct().select("key", "block").mapInArrow(_count_split("distinct"), _BLOCKS)
-    summed = rows.unionByName(pairs).repartition("block").mapInArrow(_sum_blocks, "key string, n_rows bigint, n_distinct bigint")
+    summed = rows.unionByName(pairs).repartition("block").sortWithinPartitions("block").mapInArrow(_sum_blocks, "key string, n_rows bigint, n_distinct bigint")
     length = F.substring_index("key", ":", 1)
     start = F.length(length) + 2
     return summed.select(
