@@ -2,8 +2,9 @@
 
 A depth-first visitor walks each JSON text once and emits rows tagged with their table: record id, own path, parent
 path, position, name, the columns of all schemas and the object's other own fields as JSON. ``split_tables`` applies a
-schema to each tag; ``sources.store.write_tagged`` writes them partitioned by tag. The visitor keeps its own stack, and texts nested too deep for the
-platform's parser are read by an iterative one, so depth is bounded by memory only.
+schema to each tag; ``sources.store.write_tagged`` writes all of them in one pass, a folder for each tag. The visitor keeps
+its own stack, and texts nested too deep for the platform's parser are read and written iteratively, so depth is bounded
+by memory only.
 
 Defined cases: null, empty, unreadable and truncated payloads give no rows; a lone object counts as position 0; nulls
 and scalars in a list keep their position and give no row; a field holding JSON text stands for what it holds; a field
@@ -15,7 +16,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from json.decoder import scanstring
 from typing import Any
 
@@ -289,11 +290,15 @@ def emit_tagged(records: DataFrame, record_id: Column, payload: Column, with_col
     )
 
 
-def split_tables(tagged: DataFrame) -> dict[str, DataFrame]:
-    """A flat table for each tag, linked by (record_id, parent_path); own_fields has the node's
-    fields that went into no column as JSON."""
+#: the columns of written rows but for the tag, which is their folder
+TAGGED = "record_id bigint, node_path string, parent_path string, position int, node_name string" + "".join(f", {c} string" for c in (*_COLUMNS, "own_fields"))
+
+
+def split_tables(rows_of: Callable[[str], DataFrame]) -> dict[str, DataFrame]:
+    """The flat table of each tag, linked by (record_id, parent_path), from what ``rows_of`` gives for it; own_fields has the
+    node's fields that went into no column as JSON."""
     link = ["record_id", "node_path", F.nullif("parent_path", F.lit("")).alias("parent_path"), "position", "node_name"]
-    return {tag: tagged.where(F.col("tag") == tag).select(*link, *SCHEMAS[tag], "own_fields") for tag in TABLES}
+    return {tag: rows_of(tag).select(*link, *SCHEMAS[tag], "own_fields") for tag in TABLES}
 
 
 def child_counts(tagged: DataFrame) -> DataFrame:

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.names import class_ref, class_ref_sql
 from factloom.operators import dangling, hierarchy as H, nested, skewed_counts as S
 from factloom.session import cut, table
+from factloom.sources.store import read_tagged, write_tagged
 
 
 # 1. a few keys hold most rows
@@ -132,8 +134,24 @@ FROM trees LEFT JOIN n ON n.ancestor = fqn WHERE fqn IN (SELECT fqn FROM classes
 
 
 # 4. nested records
-def _tagged(spark: SparkSession, root: str, with_payload: bool) -> DataFrame:
-    return nested.emit_tagged(table(spark, root, "raw_configs"), F.col("record_id"), F.col("payload"), with_payload)
+def _tagged(spark: SparkSession, root: str, with_columns: bool) -> DataFrame:
+    return nested.emit_tagged(table(spark, root, "raw_configs"), F.col("record_id"), F.col("payload"), with_columns)
+
+
+#: tagged rows already written: (application, place, bytes, time of change) to path
+_written: dict[tuple, str] = {}
+
+
+def _flat_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
+    """The flat tables of all configurations: one pass writes them partitioned by tag, whichever is asked for first; as long
+    as the configurations stay the same all queries of a session read what it wrote."""
+    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
+    place = jvm.org.apache.hadoop.fs.Path(f"{root}/raw_configs.parquet")
+    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
+    key = (sc.applicationId, f"{root}", fs.getContentSummary(place).getLength(), fs.getFileStatus(place).getModificationTime())
+    if key not in _written:
+        _written[key] = write_tagged(_tagged(spark, root, True))
+    return nested.split_tables(lambda tag: read_tagged(spark, _written[key], tag, nested.TAGGED))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:
@@ -143,32 +161,39 @@ def p4_found(spark: SparkSession, root: str) -> DataFrame:
 
 def p4_result_maps(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of result maps with what they extend."""
-    return nested.split_tables(_tagged(spark, root, True))["result_maps"]
+    return _flat_tables(spark, root)["result_maps"].drop("own_fields")
 
 
 def p4_associations(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of associations, linked to their parents."""
-    return nested.split_tables(_tagged(spark, root, True))["associations"]
+    return _flat_tables(spark, root)["associations"].drop("own_fields")
 
 
 def p4_collections(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of collections, linked to their parents."""
-    return nested.split_tables(_tagged(spark, root, True))["collections"]
+    return _flat_tables(spark, root)["collections"].drop("own_fields")
 
 
 def p4_cases(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of discriminator cases, linked to their parents."""
-    return nested.split_tables(_tagged(spark, root, True))["cases"]
+    return _flat_tables(spark, root)["cases"].drop("own_fields")
 
 
 def p4_fallbacks(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of fallback registries, linked to their parents."""
-    return nested.split_tables(_tagged(spark, root, True))["fallbacks"]
+    return _flat_tables(spark, root)["fallbacks"].drop("own_fields")
 
 
 def p4_registries(spark: SparkSession, root: str) -> DataFrame:
     """Flat table of registries."""
-    return nested.split_tables(_tagged(spark, root, True))["registries"]
+    return _flat_tables(spark, root)["registries"].drop("own_fields")
+
+
+def p4_own_fields(spark: SparkSession, root: str) -> DataFrame:
+    """What every object of the six tables holds beside their columns, as JSON."""
+    tables = _flat_tables(spark, root)
+    every = [df.select("record_id", "node_path", F.lit(tag).alias("tag"), "own_fields") for tag, df in tables.items()]
+    return reduce(DataFrame.unionByName, every)
 
 
 def p4_child_counts(spark: SparkSession, root: str) -> DataFrame:
@@ -196,6 +221,29 @@ SELECT record_id, array_to_string(steps, '/') AS node_path, coalesce(CASE split_
   WHEN 'registries' THEN coalesce(v ->> 'registry_id', v ->> 'registryId') WHEN 'fallbacks' THEN coalesce(v ->> 'registry_id', v ->> 'registryId')
   ELSE v ->> 'property' END, '') AS node_name FROM steps
 """
+_REGISTRY_COLUMNS = {"registry_id": ("registry_id", "registryId"), "address": ("address",), "protocol": ("protocol",), "port": ("port",), "parameters": ("parameters",), "source_file": ()}
+_P4_NODES_SQL = P4_FOUND_SQL[: P4_FOUND_SQL.index("SELECT record_id, array_to_string(steps, '/')")]
+
+
+def _flat_sql(tag: str, columns: dict[str, tuple[str, ...]], name: tuple[str, ...]) -> str:
+    """A flat table; the source file is that of the nearest object on the way up that names one."""
+    value = lambda names: "coalesce(" + ", ".join(f"v ->> '{n}'" for n in names) + ", NULL)"
+    picked = "".join(f", sources.source AS source_file" if c == "source_file" else f", {value(n)} AS {c}" for c, n in columns.items())
+    nodes = _P4_NODES_SQL.replace("x.value AS v FROM", "x.value AS v, t.prefix || substr(x.fullkey, 2) AS place FROM").replace("SELECT record_id, v, list_transform", "SELECT record_id, v, place, list_transform")
+    return f"""
+{nodes}, named AS (
+  SELECT record_id, place, coalesce(v ->> 'source_file', v ->> 'sourceFile') AS source FROM nodes WHERE coalesce(v ->> 'source_file', v ->> 'sourceFile') IS NOT NULL
+), mine AS (SELECT DISTINCT record_id, place FROM steps WHERE split_part(steps[-1], '[', 1) = '{tag}'
+), sources AS (
+  SELECT m.record_id, m.place, arg_max(n.source, length(n.place)) AS source FROM mine m JOIN named n ON n.record_id = m.record_id
+    AND (n.place = m.place OR n.place = '' OR starts_with(m.place, n.place || '.') OR starts_with(m.place, n.place || '[')) GROUP BY 1, 2
+)
+SELECT s.record_id, array_to_string(steps, '/') AS node_path, nullif(array_to_string(steps[:-2], '/'), '') AS parent_path,
+  CAST(regexp_extract(steps[-1], '\\[(\\d+)\\]', 1) AS INTEGER) AS position, coalesce({value(name)}, '') AS node_name{picked}
+FROM steps s LEFT JOIN sources ON sources.record_id = s.record_id AND sources.place = s.place WHERE split_part(steps[-1], '[', 1) = '{tag}'
+"""
+
+
 P4_CHILD_COUNTS_SQL = rf"""
 SELECT record_id, map_path AS node_path, max(CASE WHEN node_path = map_path THEN node_name END) AS node_name,
   count(*) FILTER (WHERE last = 'associations') AS n_associations, count(*) FILTER (WHERE last = 'collections') AS n_collections, count(*) FILTER (WHERE last = 'cases') AS n_cases
@@ -273,7 +321,7 @@ P5_REPORT_SQL = f"SELECT ref_table, ref_field, period, cause, count(*) AS n_orph
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
-    for f in (p1_found, p1_callees, p3_found, p3_hierarchy, p3_closure, p4_found, p4_result_maps, p4_associations, p4_collections, p4_cases, p4_registries, p4_fallbacks, p4_child_counts, p5_found, p5_report)
+    for f in (p1_found, p1_callees, p3_found, p3_hierarchy, p3_closure, p4_found, p4_result_maps, p4_associations, p4_collections, p4_cases, p4_registries, p4_fallbacks, p4_own_fields, p4_child_counts, p5_found, p5_report)
 }
 SQL: dict[str, str] = {
     "p1_found": P1_FOUND_SQL,
@@ -283,6 +331,12 @@ SQL: dict[str, str] = {
     "p3_closure": P3_CLOSURE_SQL,
     "p4_found": P4_FOUND_SQL,
     "p4_child_counts": P4_CHILD_COUNTS_SQL,
+    "p4_result_maps": _flat_sql("result_maps", {"map_id": ("map_id", "mapId"), "namespace": ("namespace",), "type_fqn": ("type_fqn", "typeFqn"), "extends_": ("extends_", "extends"), "auto_mapping": ("auto_mapping", "autoMapping"), "association_count": ("association_count", "associationCount")}, ("map_id", "mapId")),
+    "p4_associations": _flat_sql("associations", {"property": ("property",), "java_type": ("java_type", "javaType"), "extends_": ("extends_", "extends")}, ("property",)),
+    "p4_collections": _flat_sql("collections", {"property": ("property",), "of_type": ("of_type", "ofType"), "extends_": ("extends_", "extends")}, ("property",)),
+    "p4_cases": _flat_sql("cases", {"value": ("value",), "result_type": ("result_type", "resultType")}, ("value",)),
+    "p4_registries": _flat_sql("registries", _REGISTRY_COLUMNS, ("registry_id", "registryId")),
+    "p4_fallbacks": _flat_sql("fallbacks", _REGISTRY_COLUMNS, ("registry_id", "registryId")),
     "p5_found": P5_FOUND_SQL,
     "p5_report": P5_REPORT_SQL,
 }

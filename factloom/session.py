@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -38,15 +38,15 @@ def _remove(spark: SparkSession, path: str, on_exit: bool = False) -> None:
     fs.deleteOnExit(p) if on_exit else fs.delete(p, True)
 
 
-def write_shared(df: DataFrame, **counted: Column) -> tuple[str, dict]:
+def write_shared(df: DataFrame, parts: Sequence[str] = (), **counted: Column) -> tuple[str, dict]:
     """Writes the rows once as a table in the shared folder: its path and the ``counted`` aggregates, taken while writing.
-    The table goes with the ``scratch`` block it is written in, else with the session."""
+    ``parts`` are columns with a directory for each value. The table goes with the ``scratch`` block it is written in, else with the session."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}"
     seen = Observation() if counted else None
     if seen is not None:
         df = df.observe(seen, *(c.alias(name) for name, c in counted.items()))
-    df.write.parquet(path)
+    df.write.partitionBy(*parts).parquet(path)
     _remove(spark, path, on_exit=True)
     if _open:
         _open[-1].append(path)

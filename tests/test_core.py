@@ -301,8 +301,65 @@ def test_fetch_and_external(spark, rows):
 
 def test_tagged_rows_and_database(spark, rows, tmp_path):
     tagged = spark.createDataFrame([("a", 1), ("b", 2), ("a", 3)], "tag string, n int")
-    St.write_tagged(tagged, str(tmp_path / "t"))
-    assert rows(St.read_tagged(spark, str(tmp_path / "t"), "a").select("n")) == [(1,), (3,)]
+    path = St.write_tagged(tagged)
+    assert rows(St.read_tagged(spark, path, "a", "n int")) == [(1,), (3,)] and St.read_tagged(spark, path, "none", "n int").columns == ["n"]
     url = f"jdbc:derby:{tmp_path}/db;create=true"
     St.write_jdbc(spark.createDataFrame([(k, f"v{k}") for k in range(20)], "id bigint, v string"), url, "facts")
     assert St.read_jdbc(spark, url, "facts", "ID", (0, 20, 3)).count() == 20 and St.read_jdbc(spark, url, "facts").where("ID = 3").count() == 1
+
+
+def test_store_never_loses_a_table(spark, tmp_path, monkeypatch):
+    store = St.Store(spark, str(tmp_path))
+    rows_of = lambda k: spark.createDataFrame([(k, f"r{k}")], "id bigint, name string")
+    names = lambda: [r.name for r in store.read("repos").collect()]
+    assert names() == []
+    store.write("repos", rows_of(1))
+    held = store.read("repos")
+    # a writer that dies before its pointer, or while it writes the pointer, leaves the table as it was
+    for step in ("_point", "_sweep"):
+        with monkeypatch.context() as m:
+            m.setattr(St.Store, step, lambda *a: (_ for _ in ()).throw(KeyboardInterrupt()))
+            with pytest.raises(KeyboardInterrupt):
+                store.write("repos", rows_of(2))
+        assert names() == (["r1"] if step == "_point" else ["r2"])
+    (tmp_path / "repos" / "v0000000009.tmp").write_text("half")
+    assert names() == ["r2"]
+    store.write("repos", rows_of(3))
+    assert names() == ["r3"]
+    # a reader that has begun on the version before still ends
+    assert held.schema == store.read("repos").schema
+    # data without any pointer is damage, not an empty table
+    for f in (tmp_path / "repos").glob("v*"):
+        f.unlink()
+    with pytest.raises(RuntimeError):
+        store.read("repos")
+
+
+def test_two_writers_do_not_overwrite_each_other(spark, tmp_path):
+    a, b = St.Store(spark, str(tmp_path)), St.Store(spark, str(tmp_path))
+    one = spark.createDataFrame([(1, "r1")], "id bigint, name string")
+    a.write("repos", one)
+    before = b.version("repos")
+    a.write("repos", one)
+    with pytest.raises(RuntimeError):
+        b.write("repos", one, expected=before)
+
+
+def test_readers_see_a_whole_table_while_it_is_replaced(spark, tmp_path):
+    import threading
+
+    store = St.Store(spark, str(tmp_path))
+    store.write("repos", spark.createDataFrame([(k, f"r{k}") for k in range(4)], "id bigint, name string"))
+    seen, stop = [], threading.Event()
+
+    def read():
+        while not stop.is_set():
+            seen.append(store.read("repos").count())
+
+    reader = threading.Thread(target=read)
+    reader.start()
+    for _ in range(3):
+        store.write("repos", spark.createDataFrame([(k, f"r{k}") for k in range(4)], "id bigint, name string"))
+    stop.set()
+    reader.join()
+    assert set(seen) == {4}

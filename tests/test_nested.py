@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import nested as N
+from factloom.sources.store import read_tagged, write_tagged
 
 
 def brute(payload):
@@ -85,7 +86,7 @@ def test_tables_keep_their_links(spark, rows):
     payload = '{"result_maps": [{"map_id": "m", "extends": "base", "associations": {"property": "p", "javaType": "a.B", "collections": [{"property": "q"}]}}]}'
     records = spark.createDataFrame([(1, payload, "z"), (1, payload, "z"), (2, None, "z")], "record_id bigint, payload string, tag string")
     tagged = N.emit_tagged(records, F.col("record_id"), F.col("payload"))
-    tables = N.split_tables(tagged)
+    tables = N.split_tables(lambda tag: tagged.where(F.col("tag") == tag))
     assert rows(tables["result_maps"].select("record_id", "node_path", "parent_path", "map_id", "extends_")) == [(1, "result_maps[0]", None, "m", "base")] * 2
     assert rows(tables["associations"].select("parent_path", "property", "java_type")) == [("result_maps[0]", "p", "a.B")] * 2
     assert rows(tables["collections"].select("parent_path", "property")) == [("result_maps[0]/associations[0]", "q")] * 2
@@ -105,7 +106,8 @@ def test_dealt_fields_reach_the_tables(spark, rows):
         '{"sourceFile": "camel.xml", "part": {"source_file": "part.xml", "registries": {"registry_id": "r"}}}',
         '{"registries": [{"registry_id": "r"}]}',
     ]
-    tables = N.split_tables(N.emit_tagged(spark.createDataFrame(list(enumerate(payloads)), "record_id bigint, payload string"), F.col("record_id"), F.col("payload")))
+    tagged = N.emit_tagged(spark.createDataFrame(list(enumerate(payloads)), "record_id bigint, payload string"), F.col("record_id"), F.col("payload"))
+    tables = N.split_tables(lambda tag: tagged.where(F.col("tag") == tag))
     assert rows(tables["result_maps"].select("map_id", "association_count", F.get_json_object("own_fields", "$.note"))) == [("m", "7", "kept"), ("n", "2", None), ("o", None, None)]
     assert rows(tables["registries"].select("record_id", "source_file")) == [(0, "top.xml"), (1, "part.xml"), (2, None)]
     assert rows(tables["fallbacks"].select("registry_id", "source_file")) == [("s", "top.xml"), ("t", "own.xml")]
@@ -115,7 +117,8 @@ def test_columns_below_any_depth(spark, rows):
     deep = 1_500
     text = '{"result_maps":{"map_id":"m","extends":"b","note":' + '{"a":' * deep + '{"b":[1,"x"]}' + "}" * deep + ',' + '"discriminator":{"column":"c","cases":{"value":"v",' * deep + '"last":null' + "}}" * deep + "}}"
     records = spark.createDataFrame([(1, text)], "record_id bigint, payload string")
-    tables = N.split_tables(N.emit_tagged(records, F.col("record_id"), F.col("payload")))
+    path = write_tagged(N.emit_tagged(records, F.col("record_id"), F.col("payload")))
+    tables = N.split_tables(lambda tag: read_tagged(spark, path, tag, N.TAGGED))
     assert rows(tables["result_maps"].select("map_id", "extends_")) == [("m", "b")]
     own = tables["result_maps"].first()["own_fields"]
     assert own == '{"note":' + '{"a":' * deep + '{"b":[1,"x"]}' + "}" * deep + ',"discriminator":{"column":"c"}}'
