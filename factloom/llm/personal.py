@@ -1,9 +1,9 @@
 """Personal information in free text: found by anchors, bounded by local parsers, replaced by typed placeholders.
 
 One Aho-Corasick automaton finds anchors in the lower-cased text: at-signs and their disguises, schemes, labels of
-identity numbers, words for streets, titles and phrases that introduce a person. Runs of digits are the anchors of
-numbers. At each anchor a deterministic parser expands to both sides and accepts or rejects; nothing else of the text
-is looked at. Names are also taken from cells of contact records, beside a cell with other personal information.
+identity numbers, words for streets, titles, common given names, words for what one person is to another, sign-offs and
+phrases that introduce a person. Runs of digits are the anchors of numbers; identity numbers with a check digit count
+without a label. At each anchor a deterministic parser expands to both sides and accepts or rejects. Names are also taken from cells of contact records, beside a cell with other personal information.
 
 Types: ``email`` the whole mailbox, disguised ones too; ``phone`` from the leading plus, bracket or first digit to the
 last digit; ``id_number`` without label; ``address`` street and house number with flat, floor or rear building;
@@ -16,7 +16,7 @@ are distinct, repeated rows are found each; offsets count characters of the orig
 from __future__ import annotations
 
 import bisect
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import ahocorasick
@@ -59,19 +59,51 @@ STREET_EN = ["street", "st", "road", "rd", "avenue", "ave", "lane", "ln", "close
 SHORTENED = {"st", "ave", "ln", "blvd", "dr", "ct", "sq", "pl", "hwy", "pkwy"}
 STREET_FR = ["rue", "avenue", "av.", "place", "bd", "boulevard", "quai", "allée", "chemin", "impasse", "route", "cours", "square", "passage"]
 STREET_ES = ["calle", "c/", "plaza", "pza.", "avda.", "avda", "avenida", "av.", "paseo", "pº", "camino", "carretera", "ronda", "travesía"]
+STREET_IT = ["via", "viale", "corso", "piazza", "rua", "largo", "travessa", "vicolo"]
 STREET_DE = ["straße", "strasse", "str.", "weg", "allee", "platz", "gasse", "ring", "damm", "ufer", "steig", "chaussee"]
 STREET_RU = ["ул.", "улица", "пр-т", "проспект", "пр.", "пер.", "переулок", "площадь", "пл.", "бульвар", "б-р", "шоссе", "набережная", "наб.", "проезд"]
 
-#: phrases before a name, with what has to follow it ("" for anything)
-NAME_CUES: list[tuple[str, str]] = [
-    ("tenant, ", r",\s*moved\b"), ("signed by ", ""), ("yesterday ", r"\s+(?:called|came|phoned|wrote|visited|left)\b"), ("contact: ", ""), ("contact person: ", ""), ("regards, ", ""), ("sincerely, ", ""), ("yours, ", ""), ("attn: ", ""), ("attn. ", ""), ("name: ", ""), ("my name is ", ""),
-    ("grüßen, ", ""), ("grüße, ", ""), ("gestern kam ", r"\s+vorbei\b"), ("gestern rief ", r"\s+(?:zweimal|an)\b"), ("ansprechpartner: ", ""), ("kontakt: ", ""),
-    ("ayer llamó ", r"\s+dos\b"), ("ayer vino ", ""), ("atentamente, ", ""), ("saludos, ", ""), ("contacto: ", ""), ("firmado por ", ""),
-    ("hier, ", r"\s+(?:est|a)\b"), ("cordialement, ", ""), ("salutations, ", ""), ("contact : ", ""), ("signé par ", ""),
-    ("вчера звонил ", ""), ("вчера звонила ", ""), ("вчера приходил ", ""), ("с уважением, ", ""), ("контакт: ", ""), ("контактное лицо: ", ""), ("подписал ", ""), ("подписала ", ""),
-    ("联系人：", ""), ("联系人: ", ""), ("昨天 ", r"\s*(?:来过|打来|来电)"), ("昨天", r"\s*(?:来过|打来|来电)"), ("签名：", ""), ("此致，", ""),
+#: common given names of several languages, anchors of names that no other word introduces
+GIVEN = set(
+    """james john robert michael william david richard joseph thomas charles christopher daniel matthew anthony paul steven andrew george edward brian kevin peter simon martin
+    mary patricia jennifer linda elizabeth barbara susan jessica sarah karen nancy lisa margaret sandra emily laura anna emma olivia sophia julia alice helen claire jane kate rachel hannah
+    hans klaus jürgen wolfgang stefan andreas heinz karl lukas felix jonas sabine ursula petra monika heike katrin ingrid greta lena
+    jean pierre michel philippe jacques françois louis antoine luc marie nathalie isabelle catherine sophie camille élodie chloé émile
+    josé juan carlos luis miguel francisco antonio pedro manuel jorge diego pablo maría maria carmen ana lucía sofía rosa elena isabel
+    giovanni marco matteo luca giuseppe giulia chiara francesca joão paulo pavel tomasz piotr jan lars sven erik astrid ivan dmitri sergei olga natalia irina
+    mohammed ahmed ali fatima omar hassan ibrahim yusuf aisha mehmet priya raj amit wei ming yuki hiroshi kwame
+    grace rose sophie svetlana tatiana nina laila samuel benjamin henry oliver jack lucy amelia иван дмитрий сергей алексей андрей александр михаил николай владимир олег павел юрий анна мария ольга наталья ирина елена светлана татьяна марина""".split()
+)
+#: words for what one person is to another, after which or before which a name stands
+ROLES = set(
+    """landlord landlady tenant lodger owner neighbour neighbor wife husband partner son daughter brother sister mother father uncle aunt cousin friend colleague boss manager supervisor doctor dentist nurse lawyer solicitor teacher
+    agent assistant secretary client customer patient caretaker plumber driver applicant witness guest
+    mieter mieterin vermieter vermieterin nachbar nachbarin kollege kollegin chef chefin arzt ärztin freund freundin
+    locataire propriétaire voisin voisine mari collègue médecin inquilino inquilina dueño dueña vecino vecina marido esposa jefe jefa médico
+    жилец жилица сосед соседка жена муж коллега врач""".split()
+)
+#: words a person is the object of
+VERBS = set("ask asked call called meet met contact tell told thank thanked invite invited visit visited married hired know knew remember phone phoned with".split())
+SIGN_OFFS = ["best,", "best wishes,", "kind regards,", "best regards,", "warm regards,", "regards,", "thanks,", "many thanks,", "cheers,", "sincerely,", "yours sincerely,", "yours,", "love,", "grüßen,", "grüße,", "gruß,", "atentamente,", "saludos,", "cordialement,", "salutations,", "bien à vous,", "с уважением,", "此致，"]
+#: labels and phrases right before a name
+LABELS = [
+    "signed by ", "contact: ", "contact person: ", "attn: ", "attn. ", "name: ", "my name is ", "i am ", "i'm ", "ansprechpartner: ", "kontakt: ", "mein name ist ", "ich heiße ", "contacto: ", "firmado por ", "me llamo ",
+    "contact : ", "signé par ", "je m'appelle ", "контакт: ", "контактное лицо: ", "подписал ", "подписала ", "меня зовут ", "联系人：", "联系人: ", "签名：", "我叫",
 ]
-TITLES = ["dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "miss ", "prof. ", "sir ", "herr ", "herrn ", "frau ", "sr. ", "sra. ", "srta. ", "don ", "doña ", "mme ", "mlle ", "monsieur ", "madame ", "г-н ", "г-жа ", "господин ", "госпожа "]
+_DID = r"\s+(?:\p{Ll}{3,}ed|came|wrote|left|went|said|told|brought|paid|rang|spoke)\b"
+#: (word that opens a report about somebody, what stands between it and the name, what has to follow the name)
+REPORTS: list[tuple[str, str, str]] = [
+    *((w, r",?\s+", _DID) for w in ("yesterday", "today", "tonight", "this morning", "last night", "last week")),
+    *((w, r"\s+(?:kam|rief|war|schrieb|ging|fuhr)\s+", r"\s+(?:vorbei|an|zurück|hier|da|weg|uns|mich|zweimal|noch|um|mit)\b") for w in ("gestern", "heute", "vorgestern")),
+    *((w, r"\s+(?:\p{Ll}+ó|vino|estuvo|dijo)\s+", r"\s+(?:dos|tres|otra|varias|al|a|por|para|en|con)\b") for w in ("ayer", "anoche", "hoy")),
+    *((w, r",?\s+", r"\s+(?:est|a|était|avait|nous)\b") for w in ("hier", "ce matin", "aujourd'hui")),
+    *((w, r"\s+\p{Ll}+л[аи]?\s+", r"") for w in ("вчера", "сегодня", "утром")),
+    *((w, r"\s*", r"\s*(?:来|打|说|去了|到|走|给|在|把)") for w in ("昨天", "今天", "前天", "刚才")),
+]
+#: fixed values: common Chinese surnames
+SURNAMES_ZH = "王李张刘陈杨赵黄周吴徐孙胡朱高林何郭马罗梁宋郑谢韩唐冯于董萧程曹袁邓许傅沈曾彭吕苏卢蒋蔡贾丁魏薛叶阎余潘杜戴夏钟汪田任姜范方石姚谭廖邹熊金陆郝孔白崔康毛邱秦江史顾侯邵孟龙万段钱汤尹黎易常武乔贺赖龚文"
+PLACES = set("san santa são saint sankt st mount lake port fort new rue calle via plaza piazza avenida avenue camp cape sierra villa los las el la le ciudad boulevard".split())
+TITLES = ["dr. ", "dr ", "mr. ", "mr ", "mrs. ", "mrs ", "ms. ", "ms ", "mister ", "sig. ", "sig.ra ", "dott. ", "miss ", "prof. ", "sir ", "herr ", "herrn ", "frau ", "sr. ", "sra. ", "srta. ", "don ", "doña ", "señor ", "señora ", "señorita ", "senhor ", "senhora ", "mme ", "mlle ", "monsieur ", "madame ", "г-н ", "г-жа ", "господин ", "госпожа "]
 
 ORGANISATION = set(
     "institute press council railways works cooperative observatory museum university college company corporation corp inc ltd llc gmbh ag sa bank group society association foundation agency office committee department ministry school church hospital club union library theatre theater market hotel airlines authority board bureau centre center laboratory labs services systems team street road avenue lane close terrace square bridge station harbor harbour".split()
@@ -95,7 +127,7 @@ PARTICLES = r"(?:van der|van den|van de|van|von der|von|de la|de los|del|della|d
 @lru_cache(maxsize=1)
 def _anchors() -> ahocorasick.Automaton:
     auto = ahocorasick.Automaton()
-    kinds: dict[str, list[tuple[str, str]]] = {}
+    kinds: dict[str, list[tuple[str, object]]] = {}
 
     def add(word: str, kind: str, more: str = "") -> None:
         kinds.setdefault(word.lower(), []).append((kind, more))
@@ -110,14 +142,26 @@ def _anchors() -> ahocorasick.Automaton:
         add(" " + w + " ", "fr")
     for w in STREET_ES:
         add(w + " ", "es")
+    for w in STREET_IT:
+        add(w + " ", "it")
     for w in STREET_DE:
         add(w + " ", "de")
     for w in STREET_RU:
         add(w, "ru")
-    for w, after in NAME_CUES:
-        add(w, "name", after)
+    for w in LABELS:
+        add(w, "name")
+    for w in SIGN_OFFS:
+        add(w, "sign")
+    for w, lead, after in REPORTS:
+        kinds.setdefault(w, []).append(("report", (lead, after)))
     for w in TITLES:
         add(w, "title")
+    for w in GIVEN:
+        add(w, "given")
+    for w in ROLES:
+        add(w, "role")
+    for w in VERBS:
+        add(w + " ", "verb")
     for word, found in kinds.items():
         auto.add_word(word, (len(word), found))
     auto.make_automaton()
@@ -132,9 +176,12 @@ def lowered(text: str) -> str:
 
 # ---- mail ---------------------------------------------------------------------------------------------------------
 
-_LOCAL = regex.compile(r"[A-Za-z0-9._%+\-]*[A-Za-z0-9_+]$")
+_LATIN = r"\p{Latin}\p{M}\p{Greek}\p{Cyrillic}0-9"
+_LOCAL = regex.compile(rf"(?:[{_LATIN}._%+\-]|(?<=\p{{L}})['’](?=\p{{L}}))*[{_LATIN}_+]$")
 _DOT = r"(?:\.|\s*\[dot\]\s*|\s*\(dot\)\s*|\s*\{dot\}\s*|\s+dot\s+)"
-_DOMAIN = regex.compile(rf"[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?(?:{_DOT}[A-Za-z0-9](?:[A-Za-z0-9\-]*[A-Za-z0-9])?)*", regex.I)
+#: parts of a local part before a spelled dot; a bare "dot" only counts where the at-sign is spelled, too
+_LOCAL_DOTS = regex.compile(rf"[{_LATIN}._%+\-]*[{_LATIN}_](?:\s*(?:\[dot\]|\(dot\)|\{{dot\}})\s*[{_LATIN}_\-]+|\s+dot\s+[{_LATIN}_\-]+)+$", regex.I)
+_DOMAIN = regex.compile(rf"[{_LATIN}](?:[{_LATIN}\-]*[{_LATIN}])?(?:{_DOT}[{_LATIN}](?:[{_LATIN}\-]*[{_LATIN}])?)*", regex.I)
 _SPELLED = regex.compile(r"\s+dot(?:\s|$)", regex.I)
 _PIECE_DOT = regex.compile(_DOT, regex.I)
 
@@ -145,8 +192,8 @@ def _mail(text: str, start: int, end: int, sign: str) -> Span | None:
     if not wordy:
         while left and text[left - 1] in " \t" and start - left < 2:
             left -= 1
-    m = _LOCAL.search(text, max(0, left - 80), left)
-    if not m or not (local := m[0].lstrip(".%-")):
+    m = sign not in ("@", "＠") and _LOCAL_DOTS.search(text, max(0, left - 80), left) or _LOCAL.search(text, max(0, left - 80), left)
+    if not m or not (local := m[0].lstrip(".%-'’")):
         return None
     begin = left - len(local)
     right = end
@@ -163,7 +210,7 @@ def _mail(text: str, start: int, end: int, sign: str) -> Span | None:
         at, dot = cuts[k - 1]
         top = text[at + len(dot) : stop]
         spelled = any(x.strip().lower() == "dot" for _, x in cuts[:k])
-        if not top.isalpha() or not top.isascii() or len(top) < 2:
+        if not top.isalpha() or len(top) < 2:
             continue
         if spelled and (top.lower() not in SPELLED_TOPS or _SPELLED.match(text, stop)):
             continue
@@ -177,7 +224,7 @@ def _mail(text: str, start: int, end: int, sign: str) -> Span | None:
 
 _ID_GAP = regex.compile(r"(?:\s*(?:card|number|no\.?|nr\.?|n°|nº|№|num\.?|is|ist|es|est|:|：|#|=|-|–))*\s*", regex.I)
 _ID_VALUE = regex.compile(
-    r"(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}-?\d{4}-?\d{3,5}|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{8}-?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}"
+    r"(?:[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-Z]|[A-Z]{1,3}-?\d{4}-?\d{3,5}|[A-Z]{1,2}\d{6,9}[A-Z]?|\d{2}[A-Z]{2}\d{5}|\d{4} \d{6}|\d{8}-?[A-Z]|\d{3}[- ]\d{2}[- ]\d{4}|\d{2} \d{3} \d{3} \d{3}"
     r"|\d{2} \d{2} \d{6}|\d{3}-\d{3}-\d{3} \d{2}|[A-Z]\d{7,8}|\d \d{2} \d{2} \d{2} \d{3} \d{3}(?: \d{2})?|\d{17}[\dX]|\d{6,15})(?![\w]|-\d)",
     regex.I,
 )
@@ -195,6 +242,43 @@ def _identity(text: str, low: str, start: int, end: int) -> Span | None:
     return m.start(), m.end(), "id_number"
 
 
+def _dni(v: str) -> bool:
+    digits = v.replace("-", "").translate(str.maketrans("XYZ", "012"))
+    return digits[-1] == "TRWAGMYFPDXBNJZSQVHLCKE"[int(digits[:-1]) % 23]
+
+
+def _cpf(v: str) -> bool:
+    d = [int(c) for c in v if c.isdigit()]
+    return len(set(d)) > 1 and all(sum(d[k] * (n + 1 - k) for k in range(n)) * 10 % 11 % 10 == d[n] for n in (9, 10))
+
+
+def _cn(v: str) -> bool:
+    weights = (7, 9, 10, 5, 8, 4, 2, 1, 6, 3, 7, 9, 10, 5, 8, 4, 2)
+    return "10X98765432"[sum(int(c) * w for c, w in zip(v, weights)) % 11] == v[-1].upper()
+
+
+def _nir(v: str) -> bool:
+    d = v.replace(" ", "")
+    return 97 - int(d[:13]) % 97 == int(d[13:])
+
+
+#: numbers whose form and check digit say what they are, wherever they stand
+_CHECKED: list[tuple[regex.Pattern, Callable[[str], bool]]] = [
+    (regex.compile(r"(?<![\w.\-])(?!000|666|9)\d{3}-(?!00)\d{2}-(?!0000)\d{4}(?![\w\-])"), lambda v: True),
+    (regex.compile(r"(?<![\w.\-])\d{3}\.\d{3}\.\d{3}-\d{2}(?![\w\-])"), _cpf),
+    (regex.compile(r"(?<![\w.\-])(?:\d{8}|[XYZ]-?\d{7})-?[A-Z](?![\w\-])"), _dni),
+    (regex.compile(r"(?<![\w.\-])[1-9]\d{5}(?:19|20)\d{2}(?:0[1-9]|1[0-2])(?:0[1-9]|[12]\d|3[01])\d{3}[\dXx](?![\w\-])"), _cn),
+    (regex.compile(r"(?<![\w.\-])[12] \d{2} (?:0[1-9]|1[0-2]) \d{2} \d{3} \d{3} \d{2}(?![\w\-])"), _nir),
+]
+
+
+def _checked(text: str) -> Iterator[Span]:
+    for pattern, right in _CHECKED:
+        for m in pattern.finditer(text):
+            if right(m[0]) and not _OTHER_LABEL.search(text[max(0, m.start() - 24) : m.start()]):
+                yield m.start(), m.end(), "id_number"
+
+
 # ---- phones -------------------------------------------------------------------------------------------------------
 
 _NUMBERS = regex.compile(r"(?<![\w.,])(?:\+\s?|\(\+?)?\d(?:(?:[\d\u00a0\-–()]|\.(?! )| (?![/ ])|/(?! ))*\d)?(?![\w])")
@@ -243,19 +327,22 @@ _EN = regex.compile(
     rf"(?P<type>(?i:{'|'.join(STREET_EN)}))(?![\p{{L}}\d])(?P<dot>\.)?(?P<flat>,? (?i:Flat|Apt\.?|Apartment|Unit|Suite|Floor|#) ?\d+\w?|, \d+(?:st|nd|rd|th) floor)?",
 )
 _FR = regex.compile(
-    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?i:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?i:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?P<flat>,? (?i:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
+    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?i:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?i:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?:[ \-]{_WORD}(?=[.;!?]|, \d|\s*$|\s*\n))?(?P<flat>,? (?i:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
 )
 _ES = regex.compile(
     rf"(?<![\p{{L}}\d])(?i:{'|'.join(map(regex.escape, STREET_ES))}) (?:(?i:de la|de los|de las|del|de|la|el|los) )?{_WORD}(?: {_WORD}){{0,2}},? (?i:n[ºo°]\.? ?|núm\. ?)?\d{{1,4}}(?: ?[A-Za-z](?![\p{{L}}\d]))?(?P<flat>, \d{{1,2}}[ºª°](?: ?[A-Z](?!\p{{L}})| (?i:izq|dcha|izda|derecha|izquierda)\.?)?|, (?:bajo|piso|portal|esc\.) ?\w*)?",
 )
+_IT = regex.compile(
+    rf"(?<![\p{{L}}\d])(?i:{'|'.join(STREET_IT)}) (?:(?i:della|delle|dei|degli|del|dello|di|da|das|do|dos|de) )?{_WORD}(?: {_WORD}){{0,2}},? (?i:n[º°]\.? ?)?\d{{1,4}}(?:/?[A-Za-z](?![\p{{L}}\d]))?(?P<flat>,? (?i:interno|int\.|scala|piano|apto\.?) ?\w+)?",
+)
 _DE = regex.compile(
-    rf"(?<![\p{{L}}\d])(?:(?i:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte|Neue|Obere|Untere) )?(?:\p{{Lu}}[\p{{L}}\-]*(?i:{'|'.join(map(regex.escape, STREET_DE))})|{_WORD} (?i:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)) \d{{1,4}}(?: ?[a-z](?![\p{{L}}\d]))?(?: ?[-–] ?\d{{1,4}}[a-z]?)?(?P<flat>,? (?i:Hinterhaus|Vorderhaus|Seitenflügel|Rückgebäude|\d+\. (?:OG|Stock|Etage)|EG|Whg\.? \d+|Wohnung \d+))?",
+    rf"(?<![\p{{L}}\d])(?:(?:Am|An der|Im|In der|Zum|Zur|Auf dem|Alte|Neue|Obere|Untere) )?(?:\p{{Lu}}[\p{{L}}\-]*(?i:{'|'.join(map(regex.escape, STREET_DE))})|{_WORD} (?i:Straße|Strasse|Str\.|Weg|Allee|Platz|Gasse)) \d{{1,4}}(?: ?[a-z](?![\p{{L}}\d]))?(?: ?[-–] ?\d{{1,4}}[a-z]?)?(?P<flat>,? (?i:Hinterhaus|Vorderhaus|Seitenflügel|Rückgebäude|\d+\. (?:OG|Stock|Etage)|EG|Whg\.? \d+|Wohnung \d+))?",
 )
 _RU = regex.compile(
     rf"(?<![\p{{L}}\d])(?:(?i:{'|'.join(map(regex.escape, STREET_RU))}) {_WORD}(?: {_WORD})?|{_WORD}(?:[ \-]{_WORD})? (?i:{'|'.join(map(regex.escape, STREET_RU))})),? (?:(?i:д\.|дом) ?)?\d{{1,4}}(?: ?[а-я](?![\p{{L}}\d]))?(?:/\d+)?(?P<flat>(?:,? (?:корп\.|корпус|к\.|стр\.) ?\d+)?(?:,? (?:кв\.|квартира|оф\.) ?\d+)?)",
 )
 _AFTER_EN = regex.compile(r" (?:Market|Station|Bridge|Festival|Fair|signs?)\b", regex.I)
-_ADDRESS = {"en": _EN, "fr": _FR, "es": _ES, "de": _DE, "ru": _RU}
+_ADDRESS = {"en": _EN, "fr": _FR, "es": _ES, "de": _DE, "ru": _RU, "it": _IT}
 
 
 def _address(text: str, kind: str, start: int, end: int) -> Span | None:
@@ -321,6 +408,52 @@ def _name_at(text: str, at: int, lower: bool, after: regex.Pattern | None = None
     return None
 
 
+_NEXT = regex.compile(r"[ \u00a0](\p{Lu}[\p{L}'’\-]*)")
+_BEFORE = regex.compile(r"(\p{L}[\p{L}'’.\-]*)[ \u00a0]\Z")
+_WORD_AT = regex.compile(r"\p{L}[\p{L}'’\-]*")
+_AFTER_ROLE = regex.compile(r"(?: (?:is|was|are|named|called|ist|war|heißt|est|s'appelle|es|era|se llama)|,|:)? ", regex.I)
+_ENDED = regex.compile(r"\s*[,.;!?]|\s*$")
+_BREAK = regex.compile(r"[ \t]*(?:\r?\n[ \t]*)*|[ \u00a0]+")
+
+
+def _known(text: str, at: int) -> tuple[int, int] | None:
+    """A name that begins with a common given name, of which there may be several. What belongs to the name of a place or an
+    organisation is none: a word for places before it, a word for organisations or streets after it."""
+    got = _name_at(text, at, False)
+    if not got:
+        return None
+    stop = got[1]
+    while (last := text[at:stop].rsplit(" ", 1)[-1].lower()) in GIVEN and (more := _NEXT.match(text, stop)) and more[1].lower() not in NO_GIVEN | ORGANISATION:
+        stop = more.end()
+    if (more := _NEXT.match(text, stop)) and more[1].lower().rstrip("'’") in ORGANISATION:
+        return None
+    before = _BEFORE.search(text, max(0, at - 24), at)
+    if before and before[1].lower() in PLACES | ORGANISATION:
+        return None
+    # within a heading or shouted text capitals say nothing
+    if text[at:stop].isupper() and (before and before[1].isupper() or more and more[1].isupper()):
+        return None
+    if before and more and before[1][0].isupper() and before[1].lower() not in NO_GIVEN:
+        return None
+    return at, stop
+
+
+def _presented(text: str, at: int) -> tuple[int, int] | None:
+    """A capitalised name after a word for a person; the next word is no part of a longer name."""
+    first = _WORD_AT.match(text, at)
+    got = _name_at(text, at, False) or (_name_at(text, at, True, _ENDED) if first and first[0].lower() in GIVEN else None)
+    if not got or text[at:got[1]].isupper():
+        return None
+    more = _NEXT.match(text, got[1])
+    words = [w.lower() for w in regex.split(r"[ \u00a0]", text[at : got[1]])]
+    return None if more or words[0] in PLACES or words[-1] in PLACES else got
+
+
+_TWO_INITIALS = regex.compile(rf"(?<![\p{{L}}.])\p{{Lu}}\.(?:[ \-]?\p{{Lu}}\.)+ ((?:[DO]['’])?\p{{Lu}}\p{{Ll}}+(?:-\p{{Lu}}\p{{Ll}}+)?)(?![\p{{L}}])")
+_ZH_VERB = regex.compile(rf"(?:见到了?|见过|遇到了?|联系|采访|认识|感谢|告诉|询问|邀请|名叫|我叫|叫做|我是|他是|她是)([{SURNAMES_ZH}]\p{{Han}}{{1,2}})(?=[，。！？、；,.!?\s]|$|的|说|先生|女士)")
+_ZH_TITLE = regex.compile(rf"(?<![\p{{Han}}])([{SURNAMES_ZH}]\p{{Han}}{{1,2}})(?=先生|女士|小姐|老师|医生|经理)")
+
+
 @lru_cache(maxsize=64)
 def _following(after: str) -> regex.Pattern:
     return regex.compile(after, regex.I)
@@ -361,6 +494,31 @@ def _cell_names(text: str, spans: list[Span]) -> Iterator[Span]:
                 yield *at, "name"
 
 
+def _introduced(text: str, kind: str, more: object, start: int, end: int) -> tuple[int, int] | None:
+    """The name that an anchor introduces or begins."""
+    if kind == "given":
+        inside = start and text[start - 1] in "-'’@._"
+        return None if inside else _known(text, start)
+    if kind == "name":
+        return _name_at(text, end, False) or _name_at(text, end, True, _END)
+    if kind == "sign":
+        at = _BREAK.match(text, end).end()
+        return None if at == end and text[end - 1] < "\u2e80" else _name_at(text, at, False) or _name_at(text, at, True, _END)
+    if kind == "report":
+        lead, after = more
+        between = _following(lead).match(text, end)
+        if not between:
+            return None
+        at = between.end()
+        if after:
+            return _name_at(text, at, True, _following(after))
+        return _name_at(text, at, False) or _name_at(text, at, True, _END)
+    if kind == "role":
+        between = _AFTER_ROLE.match(text, end)
+        return _presented(text, between.end()) if between else None
+    return _presented(text, end)
+
+
 # ---- all together -------------------------------------------------------------------------------------------------
 
 
@@ -382,10 +540,13 @@ def find(text: str | None) -> list[Span]:
                 keep(_mail(text, start, end, low[start:end]))
             elif kind == "id":
                 keep(_identity(text, low, start, end))
-            elif kind == "name":
+            elif kind in ("name", "sign", "report", "given", "role", "verb"):
+                # whole words only, where there are words
                 if start and low[start - 1].isalpha() and low[start].isascii():
                     continue
-                got = _name_at(text, end, True if more else False, _following(more) if more else None) or (None if more else _name_at(text, end, True, _following(_END.pattern)))
+                if kind in ("given", "role", "report") and end < len(low) and low[end].isalpha() and low[end - 1] < "\u2e80":
+                    continue
+                got = _introduced(text, kind, more, start, end)
                 keep(got and (*got, "name"))
             elif kind == "title":
                 if start and low[start - 1].isalpha():
@@ -394,6 +555,10 @@ def find(text: str | None) -> list[Span]:
                 keep(got and (*got, "name"))
             else:
                 keep(_address(text, kind, start, end))
+    found["id_number"] += _checked(text)
+    found["name"] += [(*m.span(), "name") for m in _TWO_INITIALS.finditer(text) if (m[1].lower() not in ORGANISATION) and not ((n := _NEXT.match(text, m.end())) and n[1].lower() in ORGANISATION)]
+    if not text.isascii():
+        found["name"] += [(*m.span(1), "name") for p in (_ZH_VERB, _ZH_TITLE) for m in p.finditer(text)]
     for m in _NUMBERS.finditer(text):
         if m.end() - m.start() >= 8:
             keep(_phone(text, m))

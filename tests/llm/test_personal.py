@@ -3,6 +3,8 @@ from pyspark.sql import functions as F
 
 from factloom.llm import personal as P
 
+from personal_held_out import HELD_OUT, SECOND
+
 
 def of(text, kind=None):
     return [text[s:e] for s, e, k in P.find(text) if kind in (None, k)]
@@ -76,3 +78,37 @@ def test_rows(spark):
 def test_offsets_survive_letters_that_change_length():
     text = "İİİ Write to a@b.test"
     assert of(text) == ["a@b.test"]
+
+
+def counts(sentences):
+    right = missed = false = 0
+    for text, wanted in sentences:
+        got = {text[a:b] for a, b, _ in P.find(text)}
+        right, missed, false = right + len(got & set(wanted)), missed + len(set(wanted) - got), false + len(got - set(wanted))
+    return right, missed, false
+
+
+def test_sentences_outside_the_tables():
+    right, missed, false = counts(HELD_OUT + SECOND)
+    assert right / (right + missed) >= 0.9 and right / (right + false) >= 0.9
+
+
+@pytest.mark.parametrize(
+    ("text", "wanted"),
+    [
+        ("jöhn.doe@example.org wrote", ["jöhn.doe@example.org"]),
+        ("mail o'brien@example.com now", ["o'brien@example.com"]),
+        ("Write to 'kim@example.com' soon", ["kim@example.com"]),
+        ("jane (dot) doe (at) example (dot) com", ["jane (dot) doe (at) example (dot) com"]),
+        ("Send it to max@bücher.example please", ["max@bücher.example"]),
+        ("John Smith and his wife Anna Brown", ["Anna Brown", "John Smith"]),
+        ("Anna Maria Gonzalez paid", ["Anna Maria Gonzalez"]),
+        ("Maria Gonzalez Street is closed. San Pedro de Atacama is dry.", []),
+        ("CPF 529.982.247-25, not 529.982.247-26", ["529.982.247-25"]),
+        ("999-12-3456 and 123-00-4567", []),
+        ("昨天我见到了王小明", ["王小明"]),
+        ("THE OVEN IN PIERRE NEEDS WORK", []),
+    ],
+)
+def test_boundaries(text, wanted):
+    assert sorted(text[a:b] for a, b, _ in P.find(text)) == wanted
