@@ -327,7 +327,7 @@ _EN = regex.compile(
     rf"(?P<type>(?i:{'|'.join(STREET_EN)}))(?![\p{{L}}\d])(?P<dot>\.)?(?P<flat>,? (?i:Flat|Apt\.?|Apartment|Unit|Suite|Floor|#) ?\d+\w?|, \d+(?:st|nd|rd|th) floor)?",
 )
 _FR = regex.compile(
-    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?i:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?i:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?:[ \-]{_WORD}(?=[.;!?]|, \d|\s*$|\s*\n))?(?P<flat>,? (?i:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
+    rf"(?<![\p{{L}}\d.,\-])\d{{1,4}}(?: ?(?i:bis|ter|quater)\b| ?[A-D](?![\p{{L}}]))?,? (?i:{'|'.join(map(regex.escape, STREET_FR))}) (?:(?i:de la|de l['’]|des|de|du|d['’]|la|le|les) ?)?{_WORD}(?:[ \-](?!(?i:t[ée]l|fax|mail|mob)\b){_WORD}(?=[.;!?]|, \d|\s*$|\s*\n))?(?P<flat>,? (?i:appartement|appt\.?|apt\.?|bât\.?|bâtiment|étage) \w+|, \d+(?:er|e|ème) étage)?",
 )
 _ES = regex.compile(
     rf"(?<![\p{{L}}\d])(?i:{'|'.join(map(regex.escape, STREET_ES))}) (?:(?i:de la|de los|de las|del|de|la|el|los) )?{_WORD}(?: {_WORD}){{0,2}},? (?i:n[ºo°]\.? ?|núm\. ?)?\d{{1,4}}(?: ?[A-Za-z](?![\p{{L}}\d]))?(?P<flat>, \d{{1,2}}[ºª°](?: ?[A-Z](?!\p{{L}})| (?i:izq|dcha|izda|derecha|izquierda)\.?)?|, (?:bajo|piso|portal|esc\.) ?\w*)?",
@@ -413,7 +413,7 @@ _BEFORE = regex.compile(r"(\p{L}[\p{L}'’.\-]*)[ \u00a0]\Z")
 _WORD_AT = regex.compile(r"\p{L}[\p{L}'’\-]*")
 _AFTER_ROLE = regex.compile(r"(?: (?:is|was|are|named|called|ist|war|heißt|est|s'appelle|es|era|se llama)|,|:)? ", regex.I)
 _ENDED = regex.compile(r"\s*[,.;!?]|\s*$")
-_BREAK = regex.compile(r"[ \t]*(?:\r?\n[ \t]*)*|[ \u00a0]+")
+_BREAK = regex.compile(r"[ \t\u00a0\u200b]*(?:\r?\n[ \t]*)*")
 
 
 def _known(text: str, at: int) -> tuple[int, int] | None:
@@ -494,16 +494,20 @@ def _cell_names(text: str, spans: list[Span]) -> Iterator[Span]:
                 yield *at, "name"
 
 
+#: the same, or any other word
+_WORD_END = regex.compile(_END.pattern, regex.I)
+
+
 def _introduced(text: str, kind: str, more: object, start: int, end: int) -> tuple[int, int] | None:
     """The name that an anchor introduces or begins."""
     if kind == "given":
         inside = start and text[start - 1] in "-'’@._"
         return None if inside else _known(text, start)
     if kind == "name":
-        return _name_at(text, end, False) or _name_at(text, end, True, _END)
+        return _name_at(text, end, False) or _name_at(text, end, True, _WORD_END)
     if kind == "sign":
         at = _BREAK.match(text, end).end()
-        return None if at == end and text[end - 1] < "\u2e80" else _name_at(text, at, False) or _name_at(text, at, True, _END)
+        return None if at == end and text[end - 1] < "\u2e80" else _name_at(text, at, False) or _name_at(text, at, True, _WORD_END)
     if kind == "report":
         lead, after = more
         between = _following(lead).match(text, end)
@@ -515,6 +519,8 @@ def _introduced(text: str, kind: str, more: object, start: int, end: int) -> tup
         return _name_at(text, at, False) or _name_at(text, at, True, _END)
     if kind == "role":
         between = _AFTER_ROLE.match(text, end)
+        if between and between[0][0] == "," and (got := _name_at(text, between.end(), True, _following(","))):
+            return got  # between commas, in whatever letters
         return _presented(text, between.end()) if between else None
     return _presented(text, end)
 
