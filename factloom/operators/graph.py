@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.symbols import dashed
-from factloom.operators.skew_join import unique_join
+from factloom.operators.skew_join import heavy, repeated, salted, unique_join
 from factloom.session import cut
 
 
@@ -24,11 +24,14 @@ def subtype_edges(classes: DataFrame, interfaces: bool = False) -> DataFrame:
 def subtype_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     """O1, O3: root, subtype, distance for every root of ``roots(root)``; a root holds itself at 0, cycles are walked once."""
     edges = cut(edges.select(F.col("parent").alias("subtype"), "child"))
+    # children of parents that hold many are spread
+    hot = heavy(edges, "subtype")
+    spread = salted(edges, "subtype", hot)
     frontier = cut(roots.select("root", F.col("root").alias("subtype"), F.lit(0).alias("distance")).distinct())
     found, level = frontier, 0
     while True:
         level += 1
-        step = frontier.join(edges, "subtype").select("root", F.col("child").alias("subtype")).distinct()
+        step = spread.join(repeated(frontier, "subtype", hot), ["subtype", "_salt"]).select("root", F.col("child").alias("subtype")).distinct()
         frontier = cut(step.join(found, ["root", "subtype"], "left_anti").withColumn("distance", F.lit(level)))
         if frontier.isEmpty():
             return found
@@ -36,6 +39,14 @@ def subtype_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
         found = found.unionByName(frontier)
 
 
+def class_kinds(names: DataFrame, classes: DataFrame) -> DataFrame:
+    """O3: fqn, is_interface, is_abstract of each name of ``names(fqn)`` by the access flags of ``classes(fqn, access)``; a name
+    that is unknown is neither."""
+    flags = classes.groupBy("fqn").agg(F.bit_or("access").alias("_a"))
+    bit = lambda n: F.coalesce(F.col("_a").bitwiseAND(F.lit(n)) != 0, F.lit(False))
+    return names.select("fqn").distinct().join(flags, "fqn", "left").select("fqn", bit(0x200).alias("is_interface"), bit(0x400).alias("is_abstract"))
+
+
 def parents(classes: DataFrame, external: DataFrame) -> DataFrame:
     """O2: fqn, parent, origin: the own super class, else that of the external classes."""
     own = classes.where(F.col("super_fqn") != "").groupBy("fqn").agg(F.min("super_fqn").alias("own"))
@@ -50,12 +61,14 @@ def declaring_types(calls: DataFrame, parent: DataFrame, declared: DataFrame) ->
     their way go up one step a round; a call that meets its own owner again is on a cycle and ends.
     """
     key = ["owner", "name", "desc"]
-    known = declared.select(F.col("fqn").alias("at"), "name", "desc", F.lit(True).alias("_d")).distinct()
+    place = F.when(F.col("name").isNotNull() & F.col("desc").isNotNull(), F.to_json(F.struct("at", "name", "desc"))).alias("_place")
+    known = declared.select(F.col("fqn").alias("at"), "name", "desc").select(place).where("_place IS NOT NULL").distinct().withColumn("_d", F.lit(True))
     up = parent.select(F.col("fqn").alias("at"), F.col("parent").alias("_up")).where("_up IS NOT NULL")
     walking = cut(calls.select(*key).distinct().withColumn("at", F.col("owner")).withColumn("seen", F.array("owner")))
     done = None
     while True:
-        joined = cut(walking.join(known, ["at", "name", "desc"], "left"))
+        # many calls meet at the types above all others
+        joined = cut(unique_join(walking.withColumn("_place", place), known, "_place").drop("_place"))
         hit = joined.where("_d").select(*key, F.col("at").alias("declaring"))
         rest = unique_join(joined.where("_d IS NULL").drop("_d"), up, "at")
         dead = F.col("_up").isNull() | F.array_contains("seen", F.col("_up"))
@@ -77,7 +90,9 @@ def expand_edges(calls: DataFrame, closure: DataFrame, expand_interfaces: bool =
     single = calls.where(~virtual & F.col("kind").isin("STATIC", "SPECIAL", "INTERFACE", "DYNAMIC")).select(
         "caller", F.col("owner").alias("target"), "name", "desc", "kind", "confidence", "line", F.when(F.col("kind") == "DYNAMIC", "dynamic").alias("note")
     )
-    fan = calls.where(virtual).join(closure.select(F.col("root").alias("owner"), "subtype"), "owner", "left")
+    wide = calls.where(virtual)
+    hot = heavy(wide, "owner")
+    fan = salted(wide, "owner", hot).join(repeated(closure.select(F.col("root").alias("owner"), "subtype"), "owner", hot), ["owner", "_salt"], "left").drop("_salt")
     many = fan.select(
         "caller", F.coalesce("subtype", "owner").alias("target"), "name", "desc", "kind", F.when(F.col("confidence") == "CERTAIN", "PROBABLE").otherwise(F.col("confidence")).alias("confidence"), "line", F.lit("CHA").alias("note")
     )
@@ -86,14 +101,18 @@ def expand_edges(calls: DataFrame, closure: DataFrame, expand_interfaces: bool =
 
 def call_graph(invokes: DataFrame, methods: DataFrame, classes: DataFrame, expand_interfaces: bool = False) -> DataFrame:
     """Src, dst (dashed methods), kind, confidence, line, note; calls of unknown methods are dropped."""
-    owners = methods.join(classes.select(F.col("id").alias("class_id"), "fqn"), "class_id")
-    callers = owners.select(F.col("id").alias("caller_method_id"), dashed(F.col("fqn"), F.col("name"), F.col("desc")).alias("caller"))
+    callers = method_index(methods, classes).toDF("caller_method_id", "caller")
     calls = invokes.join(callers, "caller_method_id").select("caller", F.col("callee_owner").alias("owner"), F.col("callee_name").alias("name"), F.col("callee_desc").alias("desc"), "kind", "confidence", "line")
     roots = calls.where(F.col("kind").isin("VIRTUAL", *(["INTERFACE"] if expand_interfaces else []))).select(F.col("owner").alias("root")).distinct()
     closure = subtype_closure(subtype_edges(classes, expand_interfaces), roots)
     return expand_edges(calls, closure, expand_interfaces).select(F.col("caller").alias("src"), dashed(F.col("target"), F.col("name"), F.col("desc")).alias("dst"), "kind", "confidence", "line", "note")
 
 
+def method_index(methods: DataFrame, classes: DataFrame) -> DataFrame:
+    """Method id with its dashed name."""
+    return methods.join(classes.select(F.col("id").alias("class_id"), "fqn"), "class_id").select("id", dashed(F.col("fqn"), F.col("name"), F.col("desc")).alias("method"))
+
+
 def out_edges(edges: DataFrame, vertex: str) -> DataFrame:
     """Parallel edges are kept."""
     return edges.where(F.col("src") == vertex)

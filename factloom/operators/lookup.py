@@ -7,6 +7,7 @@ scan, and precedence of arguments is resolved before a plan exists.
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
@@ -106,6 +107,30 @@ def method_configs_of(configs: DataFrame, service_id: int = 0, reference_id: int
     return configs.where(F.col("service_id") == service_id) if service_id else configs.where(F.col("reference_id") == reference_id)
 
 
+def bean_of(beans: DataFrame, name: str, type_name: str) -> DataFrame:
+    """both together, the first by id."""
+    return by_name(beans.where(F.col("name") == name), "type_fqn", type_name).orderBy("id").limit(1)
+
+
+def method_config_of(configs: DataFrame, service_id: int, method: str) -> DataFrame:
+    """F8: both together, the first by id."""
+    return configs.where((F.col("service_id") == service_id) & (F.col("method_name") == method)).orderBy("id").limit(1)
+
+
+def equal_to(df: DataFrame, **wanted: object) -> DataFrame:
+    """rows whose columns equal all that is given: a file by path or id, an artifact by coordinate, a repository by
+    name, a cached archive by path or content, an external class by name and archive, its methods, calls that come in."""
+    for column, value in wanted.items():
+        df = df.where(F.col(column).eqNullSafe(F.lit(value)))
+    return df
+
+
+def outgoing(invokes: DataFrame, methods: DataFrame, class_id: int | None = None) -> DataFrame:
+    """Calls of external methods with the class and name of the method that makes them."""
+    mine = methods if class_id is None else methods.where(F.col("m2_class_id") == class_id)
+    return invokes.join(mine.select(F.col("id").alias("caller_m2_method_id"), "m2_class_id", F.col("name").alias("caller_name")), "caller_m2_method_id")
+
+
 def statements_of(statements: DataFrame, namespace: str | None, statement_id: str | None) -> DataFrame:
     """a statement id alone is ignored."""
     if not namespace:
@@ -166,6 +191,12 @@ STATS: list[tuple[str, str, str]] = [
 ]
 
 
+def last_indexed(tables: Mapping[str, DataFrame], column: str = "indexed_at") -> DataFrame:
+    """A3: table_name, last_indexed of each table that says when its rows were indexed, null without rows."""
+    parts = [df.agg(F.max(column).alias("last_indexed")).select(F.lit(name).alias("table_name"), "last_indexed") for name, df in tables.items() if column in df.columns]
+    return reduce(DataFrame.unionByName, parts)
+
+
 def stats(tables: Mapping[str, DataFrame], conditions: list[tuple[str, str, str]] | None = None) -> DataFrame:
     """A3: name, value; one pass over each table for its total and all its conditional counts."""
     wanted: dict[str, list[tuple[str, Column]]] = {t: [(t, F.lit(True))] for t in tables}

@@ -36,7 +36,7 @@ def salted(left: DataFrame, key: str, hot: list) -> DataFrame:
 
 
 def repeated(right: DataFrame, key: str, hot: list) -> DataFrame:
-    """``right`` (unique by ``key``) with a row for each salt of its hot keys."""
+    """``right`` with each row once for every salt where its key is hot."""
     if not hot:
         return right.withColumn("_salt", F.lit(0))
     salts = F.sequence(F.lit(0), F.lit(parallelism(right.sparkSession) - 1))

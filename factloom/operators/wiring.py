@@ -6,29 +6,35 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom.functions.symbols import from_dotted
 from factloom.operators.graph import subtype_edges
+from factloom.operators.skew_join import heavy, repeated, salted, unique_join
 
 
-def resolve_injects(sites: DataFrame, beans: DataFrame, classes: DataFrame) -> DataFrame:
-    """sites(site_id, type_fqn, qualifier) with by_axis, confidence, candidate_bean_ids (ascending).
+def inject_candidates(sites: DataFrame, beans: DataFrame, classes: DataFrame) -> DataFrame:
+    """A row for each site(site_id, type_fqn, qualifier) and candidate bean: the site's columns, by_axis, confidence,
+    bean_id (null where there is none).
 
     A qualifier decides alone: the first bean of that name is CERTAIN, none is UNCERTAIN. Else beans of exactly the
-    type: one is CERTAIN, several PROBABLE. Else beans of direct subtypes, always PROBABLE. Else UNCERTAIN and empty.
+    type: one is CERTAIN, several PROBABLE. Else beans of direct subtypes, always PROBABLE. Else UNCERTAIN and none.
     """
-    by_name = beans.groupBy(F.col("name").alias("qualifier")).agg(F.array(F.min("id")).alias("_q"))
-    by_type = beans.groupBy("type_fqn").agg(F.array_sort(F.collect_set("id")).alias("_t"))
-    subtypes = subtype_edges(classes, interfaces=True)
-    by_sub = subtypes.join(beans.select(F.col("type_fqn").alias("child"), "id"), "child").groupBy(F.col("parent").alias("type_fqn")).agg(F.array_sort(F.collect_set("id")).alias("_s"))
-    none = F.array().cast("array<bigint>")
-    joined = sites.join(by_name, "qualifier", "left").join(by_type, "type_fqn", "left").join(by_sub, "type_fqn", "left")
     qualified = F.col("qualifier").isNotNull()
-    confidence = (
-        F.when(qualified, F.when(F.col("_q").isNotNull(), "CERTAIN").otherwise("UNCERTAIN"))
-        .when(F.size("_t") == 1, "CERTAIN")
-        .when(F.col("_t").isNotNull() | F.col("_s").isNotNull(), "PROBABLE")
-        .otherwise("UNCERTAIN")
-    )
-    found = F.when(qualified, F.coalesce("_q", none)).otherwise(F.coalesce("_t", "_s", none))
-    return joined.select(*sites.columns, F.when(qualified, "QUALIFIER").otherwise("TYPE").alias("by_axis"), confidence.alias("confidence"), found.alias("candidate_bean_ids"))
+    by_name = beans.groupBy(F.col("name").alias("qualifier")).agg(F.min("id").alias("bean_id"))
+    named = unique_join(sites.where(qualified), by_name, "qualifier").select(*sites.columns, F.lit("QUALIFIER").alias("by_axis"), F.when(F.col("bean_id").isNull(), "UNCERTAIN").otherwise("CERTAIN").alias("confidence"), "bean_id")
+    own = beans.select("type_fqn", F.col("id").alias("bean_id")).distinct()
+    below = subtype_edges(classes, interfaces=True).join(own.withColumnRenamed("type_fqn", "child"), "child").select(F.col("parent").alias("type_fqn"), "bean_id").distinct()
+    counts = own.groupBy("type_fqn").agg(F.count(F.lit(1)).alias("_n")).withColumn("_exact", F.lit(True))
+    # subtypes count only where no bean is of the type itself
+    below = below.join(counts.select("type_fqn"), "type_fqn", "left_anti")
+    pool = own.join(counts, "type_fqn").select("type_fqn", "bean_id", F.when(F.col("_n") == 1, "CERTAIN").otherwise("PROBABLE").alias("confidence")).unionByName(below.withColumn("confidence", F.lit("PROBABLE")))
+    typed = sites.where(~qualified)
+    hot = heavy(typed, "type_fqn")
+    found = salted(typed, "type_fqn", hot).join(repeated(pool, "type_fqn", hot), ["type_fqn", "_salt"], "left")
+    return named.unionByName(found.select(*sites.columns, F.lit("TYPE").alias("by_axis"), F.coalesce("confidence", F.lit("UNCERTAIN")).alias("confidence"), "bean_id"))
+
+
+def resolve_injects(sites: DataFrame, beans: DataFrame, classes: DataFrame) -> DataFrame:
+    """The same as one row for each site with candidate_bean_ids, ascending."""
+    rows = inject_candidates(sites, beans, classes)
+    return rows.groupBy(*sites.columns, "by_axis", "confidence").agg(F.array_sort(F.collect_list("bean_id")).alias("candidate_bean_ids"))
 
 
 def resolve_implementations(services: DataFrame, beans: DataFrame, classes: DataFrame) -> DataFrame:

@@ -13,21 +13,24 @@ from factloom.functions.names import class_ref, class_ref_sql
 from factloom.operators import graph, lookup, maintain, resolve, search, wiring
 from factloom.session import table
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-SQL: dict[str, str] = {}
+def _catalogue():
+    """Queries and SQL of a module, and the decorator that registers a query with the SQL it is checked against."""
+    queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+    sqls: dict[str, str] = {}
 
+    def query(sql: str | None = None):
+        def register(f: Callable[[SparkSession, str], DataFrame]):
+            queries[f.__name__] = f
+            if sql is not None:
+                sqls[f.__name__] = sql
+            return f
 
-def query(sql: str | None = None):
-    """Registers a query with the SQL it is checked against."""
+        return register
 
-    def register(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql is not None:
-            SQL[f.__name__] = sql
-        return f
+    return queries, sqls, query
 
-    return register
 
+QUERIES, SQL, query = _catalogue()
 
 CALLEE, CALLER, SUPER = class_ref_sql("callee_class_fqn"), class_ref_sql("caller_class_fqn"), class_ref_sql("super_fqn")
 
@@ -84,14 +87,14 @@ def callees_of(spark, root):
 
 @query("SELECT s.id, s.interface_fqn, c.fqn AS impl_fqn, s.impl_class_id = 0 AS unknown_impl FROM dubbo_services s LEFT JOIN classes c ON c.id = s.impl_class_id")
 def services_with_implementations(spark, root):
-    """F5, J2."""
+    """Services with the class that implements them, by a plain join."""
     c = table(spark, root, "classes").select(F.col("id").alias("impl_class_id"), F.col("fqn").alias("impl_fqn"))
     return table(spark, root, "dubbo_services").join(c, "impl_class_id", "left").select("id", "interface_fqn", "impl_fqn", (F.col("impl_class_id") == 0).alias("unknown_impl"))
 
 
 @query(f"SELECT r.id AS reference_id, s.id AS service_id FROM (SELECT *, {class_ref_sql('interface_fqn')} AS i FROM dubbo_references) r JOIN (SELECT *, {class_ref_sql('interface_fqn')} AS i FROM dubbo_services) s ON r.i = s.i AND coalesce(r.group_name, '') = coalesce(s.group_name, '') AND coalesce(r.service_version, '') = coalesce(s.service_version, '')")
 def references_to_services(spark, root):
-    """Consumers with the providers of the same interface, group and version."""
+    """Consumers with the providers of the same interface, group and version."""
     def keyed(name: str, as_: str) -> DataFrame:
         return table(spark, root, name).select(F.col("id").alias(as_), class_ref(F.col("interface_fqn")).alias("i"), F.coalesce("group_name", F.lit("")).alias("g"), F.coalesce("service_version", F.lit("")).alias("v"))
 
@@ -100,7 +103,7 @@ def references_to_services(spark, root):
 
 @query("SELECT m.id, m.service_id, s.interface_fqn, m.method_name, CAST(m.timeout_ms AS DOUBLE) AS timeout_ms, CAST(m.retries AS DOUBLE) AS retries, m.loadbalance FROM dubbo_method_configs m JOIN dubbo_services s ON s.id = m.service_id")
 def method_configs_of_services(spark, root):
-    """F7, F8."""
+    """Method settings with the interface of their service, by a plain join."""
     s = table(spark, root, "dubbo_services").select(F.col("id").alias("service_id"), "interface_fqn")
     return table(spark, root, "dubbo_method_configs").join(s, "service_id").select("id", "service_id", "interface_fqn", "method_name", F.col("timeout_ms").cast("double").alias("timeout_ms"), F.col("retries").cast("double").alias("retries"), "loadbalance")
 
@@ -115,7 +118,8 @@ def statements_of_mapper(spark, root):
 @query("SELECT id, rel_path, sha256 FROM files WHERE lower(lang) = 'kotlin' AND deleted_at IS NULL")
 def files_by_language(spark, root):
     """F17."""
-    return table(spark, root, "files").where((F.lower("lang") == "kotlin") & F.col("deleted_at").isNull()).select("id", "rel_path", "sha256")
+    f = table(spark, root, "files").withColumn("lang", F.lower("lang"))
+    return lookup.equal_to(f, lang="kotlin", deleted_at=None).select("id", "rel_path", "sha256")
 
 
 @query("SELECT event_id, TRY_CAST(json_extract_string(props, '$.k') AS BIGINT) AS k FROM events")
@@ -150,7 +154,7 @@ def stats(spark, root):
 
 @query("SELECT artifact_id, count(*) AS n_files, count(*) FILTER (WHERE deleted_at IS NOT NULL) AS n_deleted, max(indexed_at) AS last_indexed FROM files GROUP BY 1")
 def artifact_report(spark, root):
-    """A7."""
+    """Files of each artifact, by a plain aggregate."""
     return table(spark, root, "files").groupBy("artifact_id").agg(F.count(F.lit(1)).alias("n_files"), F.count_if(F.col("deleted_at").isNotNull()).alias("n_deleted"), F.max("indexed_at").alias("last_indexed"))
 
 
@@ -170,7 +174,7 @@ SELECT fqn, min_by(id, (indexed_at, id)) AS id, (max_by([super_fqn], (indexed_at
 FROM classes GROUP BY fqn
 """)
 def upsert_classes(spark, root):
-    """K1, K2, K3: rows in the order they were indexed, nulls never overwriting file and signature."""
+    """K1: rows in the order they were indexed, nulls never overwriting file and signature."""
     rows = table(spark, root, "classes").select("id", "fqn", "super_fqn", F.col("file_id").cast("double").alias("file_id"), "signature_raw", F.struct("indexed_at", "id").alias("at"))
     old = rows.where("false").drop("at")
     return maintain.merge(old, rows, ["fqn"], keep=["file_id", "signature_raw"], order="at")
@@ -178,14 +182,14 @@ def upsert_classes(spark, root):
 
 @query("SELECT artifact_id, rel_path, min_by(id, (indexed_at, id)) AS id, (max_by([sha256], (indexed_at, id)))[1] AS sha256, (max_by([mtime], (indexed_at, id)))[1] AS mtime FROM files GROUP BY 1, 2")
 def upsert_files(spark, root):
-    """K4, K5: last write wins, the id of the first stays."""
+    """K4: last write wins, the id of the first stays."""
     rows = table(spark, root, "files").select("id", "artifact_id", "rel_path", "sha256", "mtime", F.struct("indexed_at", "id").alias("at"))
     return maintain.merge(rows.where("false").drop("at"), rows, ["artifact_id", "rel_path"], order="at")
 
 
 @query("SELECT coalesce(service_id, 0) AS service_id, coalesce(reference_id, 0) AS reference_id, method_name, CAST((max_by([timeout_ms], (recorded_at, id)))[1] AS DOUBLE) AS timeout_ms, CAST((max_by([retries], (recorded_at, id)))[1] AS DOUBLE) AS retries, (max_by([loadbalance], (recorded_at, id)))[1] AS loadbalance FROM dubbo_method_configs GROUP BY 1, 2, 3")
 def upsert_method_configs(spark, root):
-    """K10, K6 to K9, K12."""
+    """K10."""
     zero = lambda c: F.coalesce(c, F.lit(0)).alias(c)
     rows = table(spark, root, "dubbo_method_configs").select(zero("service_id"), zero("reference_id"), "method_name", F.col("timeout_ms").cast("double").alias("timeout_ms"), F.col("retries").cast("double").alias("retries"), "loadbalance", F.struct("recorded_at", "id").alias("at"))
     return maintain.merge(rows.where("false").drop("at"), rows, ["service_id", "reference_id", "method_name"], stable=[], order="at")
@@ -215,8 +219,8 @@ _INVOKE_KEY = ["caller_class_fqn", "caller_method_id", "callee_class_fqn", "call
 
 @query(f"SELECT min(id) AS id, {', '.join(_INVOKE_KEY)} FROM m2_invokes GROUP BY ALL")
 def deduplicate_invokes(spark, root):
-    """The smallest id of each natural key; a plain aggregate, so hot keys combine before the shuffle."""
-    return table(spark, root, "m2_invokes").groupBy(*_INVOKE_KEY).agg(F.min("id").alias("id")).select("id", *_INVOKE_KEY)
+    """The smallest id of each natural key."""
+    return maintain.keep_first(table(spark, root, "m2_invokes").select("id", *_INVOKE_KEY), _INVOKE_KEY)
 
 
 @query("""
@@ -247,7 +251,7 @@ def lru_oldest(spark, root):
 
 @query("SELECT c.id, c.fqn FROM classes c WHERE c.file_id IS NULL OR c.file_id NOT IN (SELECT id FROM files WHERE deleted_at IS NOT NULL)")
 def classes_after_deletes(spark, root):
-    """Classes that stay once deleted files and all that hangs on them are gone."""
+    """Classes that stay once deleted files and all that hangs on them are gone."""
     gone = table(spark, root, "files").where("deleted_at IS NOT NULL").select(F.col("id").alias("file_id"))
     return table(spark, root, "classes").join(gone, "file_id", "left_anti").select("id", "fqn")
 
@@ -271,7 +275,7 @@ FROM (SELECT DISTINCT regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?
 WHERE v <> '' GROUP BY 1
 """)
 def latest_versions(spark, root):
-    """The highest version of each artifact, by number."""
+    """The highest version of each artifact, by number."""
     gav = C.coordinate(C.coordinate_from_path(F.col("jar_path")))
     jars = table(spark, root, "m2_classes").select("jar_path").distinct().select(gav.alias("g")).select("g.artifact", "g.version").where("version <> '0.0.0'").distinct()
     return jars.groupBy("artifact").agg(F.max_by("version", C.version_key(F.col("version"))).alias("version"))
@@ -307,23 +311,21 @@ def parents(spark, root):
     return graph.parents(own, _classes(spark, root))
 
 
-_SPLIT = "2024-07-01"
-
-
 @query(f"""
 WITH RECURSIVE p AS (SELECT fqn, min({SUPER}) AS parent FROM m2_classes WHERE {SUPER} IS NOT NULL GROUP BY 1),
-d AS (SELECT DISTINCT callee_owner, callee_name, callee_desc FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL AND extracted_at < TIMESTAMP '{_SPLIT}'),
-q AS (SELECT DISTINCT callee_owner AS owner, callee_name AS name, callee_desc AS "desc" FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL AND extracted_at >= TIMESTAMP '{_SPLIT}'),
+d AS (SELECT DISTINCT callee_owner, callee_name, callee_desc FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL AND length(callee_owner) % 3 <> 0),
+q AS (SELECT DISTINCT callee_owner AS owner, callee_name AS name, callee_desc AS "desc" FROM {CALLS_SQL} WHERE callee_owner IS NOT NULL),
 walk AS (SELECT owner, name, "desc", owner AS cur, [owner] AS seen FROM q
   UNION ALL SELECT w.owner, w.name, w."desc", p.parent, list_append(w.seen, p.parent) FROM walk w JOIN p ON p.fqn = w.cur WHERE NOT list_contains(w.seen, p.parent)),
 hits AS (SELECT w.owner, w.name, w."desc", arg_min(w.cur, len(w.seen)) AS declaring FROM walk w JOIN d ON d.callee_owner = w.cur AND d.callee_name = w.name AND d.callee_desc = w."desc" GROUP BY 1, 2, 3)
 SELECT q.owner, q.name, q."desc", declaring FROM q LEFT JOIN hits USING (owner, name, "desc")
 """)
 def declaring_types(spark, root):
-    """For later calls the nearest type on the way up whose method was seen before."""
-    every = calls(spark, root).where("callee_owner IS NOT NULL").select(F.col("callee_owner").alias("owner"), F.col("callee_name").alias("name"), F.col("callee_desc").alias("desc"), (F.col("extracted_at") < F.lit(_SPLIT).cast("timestamp_ntz")).alias("before"))
+    """For all calls the nearest type on the way up that declares the method. There is no table of declarations: those
+    methods count as declared whose type has a name of certain lengths, so that some are and some aren't."""
+    every = calls(spark, root).where("callee_owner IS NOT NULL").select(F.col("callee_owner").alias("owner"), F.col("callee_name").alias("name"), F.col("callee_desc").alias("desc"), (F.length("callee_owner") % 3 != 0).alias("declares"))
     parent = _classes(spark, root).where("super_fqn IS NOT NULL").groupBy("fqn").agg(F.min("super_fqn").alias("parent"))
-    return graph.declaring_types(every.where("NOT before"), parent, every.where("before").withColumnRenamed("owner", "fqn"))
+    return graph.declaring_types(every, parent, every.where("declares").withColumnRenamed("owner", "fqn"))
 
 
 _GAV_SQL = f"CASE WHEN regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 2) <> '' THEN regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 1) || ':' || regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 1) || ':' || regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)?)$', 2) END"
@@ -332,17 +334,17 @@ _GAV_SQL = f"CASE WHEN regexp_extract({_JAR}, '^(.*)-(\\d+(?:\\.\\d+)*(?:[.-].*)
 @query(f"""
 WITH RECURSIVE c AS (SELECT fqn, {SUPER} AS super, {_GAV_SQL} AS gav FROM m2_classes),
 e AS (SELECT DISTINCT a.gav AS src, b.gav AS dst FROM c a JOIN c b ON b.fqn = a.super WHERE a.gav IS NOT NULL AND b.gav IS NOT NULL AND a.gav <> b.gav),
-walk AS (SELECT min(src) AS gav, 0 AS depth FROM e UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.gav WHERE w.depth < 3)
+walk AS (SELECT min(src) AS gav, 0 AS depth FROM e UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.gav WHERE w.depth < 12)
 SELECT gav, min(depth) AS depth FROM walk GROUP BY 1 HAVING min(depth) > 0
 """)
 def artifact_dependencies(spark, root):
-    """Artifacts that hold super classes of one artifact's classes, to three steps."""
+    """Artifacts that hold super classes of one artifact's classes, and of these in turn."""
     c = table(spark, root, "m2_classes").select("fqn", class_ref(F.col("super_fqn")).alias("super"), C.coordinate_from_path(F.col("jar_path")).alias("gav")).where("NOT startswith(gav, 'local:')")
     above = c.select(F.col("fqn").alias("super"), F.col("gav").alias("dep"))
     links = c.select("super", F.col("gav").alias("pom")).join(above, "super").where("pom <> dep").select("pom", C.coordinate(F.col("dep")).alias("g")).distinct()
     edges = links.select("pom", "g.*", F.lit("compile").alias("scope"), F.lit("jar").alias("type"))
     first = edges.agg(F.min("pom").alias("pom"))
-    return resolve.resolve_dependencies(edges, first, 3).select(C.coordinate_text(F.col("group"), F.col("artifact"), F.col("version")).alias("gav"), "depth")
+    return resolve.resolve_dependencies(edges, first, 12).select(C.coordinate_text(F.col("group"), F.col("artifact"), F.col("version")).alias("gav"), "depth")
 
 
 def call_edges(spark: SparkSession, root: str) -> DataFrame:
@@ -351,13 +353,13 @@ def call_edges(spark: SparkSession, root: str) -> DataFrame:
 
 @query(f"""
 WITH RECURSIVE e AS (SELECT DISTINCT caller AS src, callee_owner AS dst FROM {CALLS_SQL} WHERE caller IS NOT NULL AND callee_owner IS NOT NULL),
-walk AS (SELECT min(src) AS vertex, 0 AS depth FROM e UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.vertex WHERE w.depth < 4)
+walk AS (SELECT min(src) AS vertex, 0 AS depth FROM e UNION SELECT e.dst, w.depth + 1 FROM walk w JOIN e ON e.src = w.vertex WHERE w.depth < 8)
 SELECT vertex, min(depth) AS depth FROM walk GROUP BY 1
 """)
 def reachable(spark, root):
-    """Classes within four calls of one class."""
+    """Classes within eight calls of one class, the depth find_path has unless asked."""
     edges = call_edges(spark, root)
-    return graph.reach(edges, edges.agg(F.min("src")).first()[0], 4).select("vertex", "depth")
+    return graph.reach(edges, edges.agg(F.min("src")).first()[0], 8).select("vertex", "depth")
 
 
 @query(f"""
@@ -371,7 +373,7 @@ SELECT target, note, count(*) AS n_edges FROM (
   UNION ALL SELECT callee_owner, 'dynamic' FROM c WHERE call_kind = 'invoke_dynamic') GROUP BY 1, 2
 """)
 def expanded_edges(spark, root):
-    """Edges after class hierarchy analysis, counted by target."""
+    """Edges after class hierarchy analysis, counted by target; ``call_graph`` has them one by one."""
     kind = F.when(F.col("call_kind") == "invoke", "VIRTUAL").when(F.col("call_kind") == "invoke_dynamic", "DYNAMIC").otherwise("REFLECT")
     edges = calls(spark, root).where("callee_owner IS NOT NULL AND caller IS NOT NULL").select(
         "caller", F.col("callee_owner").alias("owner"), F.col("callee_name").alias("name"), F.col("callee_desc").alias("desc"), kind.alias("kind"), F.lit("CERTAIN").alias("confidence"), F.lit(0).alias("line")
@@ -384,7 +386,7 @@ def expanded_edges(spark, root):
 
 @query(f"SELECT src, count(*) AS n_out, count(DISTINCT dst) AS n_targets FROM (SELECT caller AS src, callee_owner AS dst FROM {CALLS_SQL} WHERE caller IS NOT NULL AND callee_owner IS NOT NULL) GROUP BY 1")
 def out_degrees(spark, root):
-    """O8."""
+    """Calls that go out of each class, by a plain aggregate."""
     return call_edges(spark, root).groupBy("src").agg(F.count(F.lit(1)).alias("n_out"), F.countDistinct("dst").alias("n_targets"))
 
 
@@ -420,7 +422,9 @@ def implemented_interfaces(spark, root):
     return table(spark, root, "classes").select("id", F.explode(S.decode_interfaces(F.col("interfaces"))).alias("interface"))
 
 
-@query()
+@query("""
+SELECT id, CASE WHEN signature_raw LIKE '<T:%' THEN 'T,' ELSE '' END || 'super=' || replace(regexp_extract(signature_raw, 'L([^;<>]*);$', 1), '/', '.') AS decoded FROM classes WHERE signature_raw IS NOT NULL
+""")
 def decoded_signatures(spark, root):
     """C11."""
     return table(spark, root, "classes").where("signature_raw IS NOT NULL").select("id", S.signature_decoder("class")(F.col("signature_raw")).alias("decoded"))

@@ -12,7 +12,6 @@ from typing import Any
 from pyspark.sql import DataFrame, functions as F
 
 from factloom import schema
-from factloom.functions.symbols import dashed
 from factloom.operators import graph, lookup
 
 PAGE = 10_000
@@ -146,8 +145,3 @@ class Tools:
     def _find_mybatis_result_maps(self, t, a):
         found = lookup.result_maps_of(t["mybatis_result_maps"], a.get("namespace"), a.get("typeFqn"))
         return self._rows(found, "resultMaps", a) if found is not None else {"resultMaps": [], "count": 0, "error": "namespace or typeFqn is required"}
-
-
-def method_index(methods: DataFrame, classes: DataFrame) -> DataFrame:
-    """Method id with its dashed name."""
-    return methods.join(classes.select(F.col("id").alias("class_id"), "fqn"), "class_id").select("id", dashed(F.col("fqn"), F.col("name"), F.col("desc")).alias("method"))

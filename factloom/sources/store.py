@@ -124,6 +124,10 @@ class Store:
             self._fs.delete(self._path(f"{self.root}/{name}"), True)
         self.migrate()
 
+    def drop(self) -> None:
+        """Everything goes."""
+        self._fs.delete(self._path(self.root), True)
+
 
 def read_jdbc(spark: SparkSession, url: str, name: str, partition_column: str | None = None, bounds: tuple[int, int, int] | None = None, properties: Mapping[str, str] | None = None) -> DataFrame:
     """A table of a database, whole; read in parallel by ranges of a numeric column (lower, upper, parts)."""

@@ -7,10 +7,11 @@ from collections import Counter
 import duckdb
 import pytest
 
-from factloom.plans import catalog, problems
+from factloom.plans import built, catalog, facts, problems, served
 
 ROOT = "/root/testdata/sf0.001"
-QUERIES, SQL = catalog.QUERIES | problems.QUERIES, catalog.SQL | problems.SQL
+MODULES = (catalog, problems, facts, built, served)
+QUERIES, SQL = ({k: v for m in MODULES for k, v in getattr(m, what).items()} for what in ("QUERIES", "SQL"))
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(ROOT), reason="no tables here")
 
