@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from factloom.functions.symbols import dashed
 from factloom.operators.skew_join import heavy, repeated, salted, unique_join
-from factloom.session import cut
+from factloom.session import cut, read_shared, write_shared
 
 
 def subtype_edges(classes: DataFrame, interfaces: bool = False) -> DataFrame:
@@ -64,19 +64,20 @@ def declaring_types(calls: DataFrame, parent: DataFrame, declared: DataFrame) ->
     place = F.when(F.col("name").isNotNull() & F.col("desc").isNotNull(), F.to_json(F.struct("at", "name", "desc"))).alias("_place")
     known = declared.select(F.col("fqn").alias("at"), "name", "desc").select(place).where("_place IS NOT NULL").distinct().withColumn("_d", F.lit(True))
     up = parent.select(F.col("fqn").alias("at"), F.col("parent").alias("_up")).where("_up IS NOT NULL")
-    walking = cut(calls.select(*key).distinct().withColumn("at", F.col("owner")).withColumn("seen", F.array("owner")))
-    done = None
-    while True:
-        # many calls meet at the types above all others
-        joined = cut(unique_join(walking.withColumn("_place", place), known, "_place").drop("_place"))
-        hit = joined.where("_d").select(*key, F.col("at").alias("declaring"))
-        rest = unique_join(joined.where("_d IS NULL").drop("_d"), up, "at")
-        dead = F.col("_up").isNull() | F.array_contains("seen", F.col("_up"))
-        ended = rest.where(dead).select(*key, F.lit(None).cast("string").alias("declaring"))
-        done = cut((hit if done is None else done.unionByName(hit)).unionByName(ended))
-        walking = cut(rest.where(~dead).select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen")))
-        if walking.isEmpty():
-            return done
+    up = cut(up)
+    start = calls.select(*key).distinct().select(*key, F.col("owner").alias("at"), F.array("owner").alias("seen"))
+    walking, left, written = start, None, []
+    while left is None or left:
+        # many calls meet at the types above all others; each round is written once, with what it settled
+        met = unique_join(walking.withColumn("_place", place), known, "_place", total=left).drop("_place")
+        moved = unique_join(met, up, "at", total=left).withColumn("_d", F.coalesce("_d", F.lit(False)))
+        dead = ~F.col("_d") & (F.col("_up").isNull() | F.array_contains("seen", F.col("_up")))
+        path, counts = write_shared(moved.withColumn("_end", dead), left=F.count_if(~F.col("_d") & ~F.col("_end")))
+        state = read_shared(moved.withColumn("_end", dead), path)
+        written.append(path)
+        left = counts["left"]
+        walking = state.where("NOT _d AND NOT _end").select(*key, F.col("_up").alias("at"), F.concat("seen", F.array("_up")).alias("seen"))
+    return read_shared(state, *written).where("_d OR _end").select(*key, F.when(F.col("_d"), F.col("at")).alias("declaring"))
 
 
 def expand_edges(calls: DataFrame, closure: DataFrame, expand_interfaces: bool = False) -> DataFrame:
