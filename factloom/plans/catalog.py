@@ -11,7 +11,7 @@ from factloom.functions import symbols as S
 from factloom.functions import text as X
 from factloom.functions.names import class_ref, class_ref_sql
 from factloom.operators import graph, lookup, maintain, resolve, search, wiring
-from factloom.session import table
+from factloom.session import loaded, parallelism, read_shared, table, write_shared
 
 def _catalogue():
     """Queries and SQL of a module, and the decorator that registers a query with the SQL it is checked against."""
@@ -45,6 +45,15 @@ def calls(spark: SparkSession, root: str) -> DataFrame:
     )
 
 
+def stored_calls(spark: SparkSession, root: str) -> DataFrame:
+    """The same, stored once with plain names and in the order of what is called, so that filters on names reach the scan and
+    row groups are skipped."""
+    every = calls(spark, root)
+    parts = parallelism(spark)
+    path = loaded(spark, root, "m2_invokes", "calls", lambda: write_shared(every.repartitionByRange(parts, "callee_owner", "callee_name", "id").sortWithinPartitions("callee_owner", "callee_name"))[0])
+    return read_shared(every, path)
+
+
 CALLS_SQL = f"(SELECT id, caller_method_id, {CALLER} AS caller, {CALLEE} AS callee_owner, callee_method_name AS callee_name, callee_method_desc AS callee_desc, call_kind, extracted_at FROM m2_invokes)"
 
 
@@ -65,17 +74,23 @@ def direct_subtypes(spark, root):
     return lookup.direct_subtypes(table(spark, root, "m2_classes"), "java.lang.Object").select("fqn", "super_fqn", "interfaces")
 
 
+@query(f"SELECT count(*) AS n_calls, count(DISTINCT callee_owner) AS n_owners FROM {CALLS_SQL}")
+def load_calls(spark, root):
+    """Stores the calls of a session with plain names; what it costs is what later lookups save."""
+    return stored_calls(spark, root).agg(F.count(F.lit(1)).alias("n_calls"), F.countDistinct("callee_owner").alias("n_owners"))
+
+
 @query(f"SELECT * EXCLUDE (extracted_at) FROM {CALLS_SQL} WHERE callee_owner = '{OWNER.replace('.', '/')}' AND callee_name = '{METHOD}'")
 def callers_of(spark, root):
     """J1."""
-    return lookup.callers(calls(spark, root), OWNER, METHOD).drop("extracted_at")
+    return lookup.callers(stored_calls(spark, root), OWNER, METHOD).drop("extracted_at")
 
 
 @query(f"SELECT id, caller, callee_owner, callee_name FROM {CALLS_SQL} c WHERE EXISTS (SELECT 1 FROM classes k WHERE k.fqn = c.callee_owner)")
 def callers_of_known(spark, root):
     """Calls whose target is an indexed class."""
     known = table(spark, root, "classes").select(F.col("fqn").alias("callee_owner"))
-    return calls(spark, root).join(known, "callee_owner", "left_semi").select("id", "caller", "callee_owner", "callee_name")
+    return stored_calls(spark, root).join(known, "callee_owner", "left_semi").select("id", "caller", "callee_owner", "callee_name")
 
 
 @query("SELECT id, caller_class_fqn, callee_class_fqn, callee_method_name FROM m2_invokes WHERE caller_method_id = (SELECT min(caller_method_id) FROM m2_invokes)")

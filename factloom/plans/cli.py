@@ -4,10 +4,9 @@ from __future__ import annotations
 
 import argparse
 import json
-import os
 import sys
 
-from pyspark.sql import SparkSession, functions as F
+from pyspark.sql import SparkSession
 
 from factloom.operators import lookup
 from factloom.plans import index
@@ -33,9 +32,11 @@ def parser() -> argparse.ArgumentParser:
     c.add_argument("--sources", action="append", default=[])
     c = sub.add_parser("serve")
     c.add_argument("--http", type=int)
+    c.add_argument("--root", action="append", default=[], help="archives in which missing classes are looked for")
     c = sub.add_parser("query", help="one tool; arguments as name=value")
     c.add_argument("tool", choices=list(CATALOGUE))
     c.add_argument("arguments", nargs="*")
+    c.add_argument("--root", action="append", default=[])
     sub.add_parser("rebuild")
     sub.add_parser("doctor")
     c = sub.add_parser("stats")
@@ -53,8 +54,15 @@ def dependencies(spark: SparkSession, pom: str, depth: int, repository: str) ->
     rows = maven.extract(poms.unionByName(own).dropDuplicates(["path"]))
     root = maven.extract(own).where("tag = 'project'").select("pom")
     wanted = maven.resolved_graph(rows, root, depth).where("scope <> 'test' AND NOT startswith(version, '${')")
-    paths = wanted.select(F.concat_ws("/", F.lit(repository.rstrip("/")), F.translate("group", ".", "/"), "artifact", "version", F.concat("artifact", F.lit("-"), "version", F.lit(".jar"))).alias("p"))
-    return [r.p for r in paths.distinct().collect() if os.path.exists(r.p)]  # a project's dependencies, a few hundred
+    there = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.jar").load(repository).select("path")
+    plan = maven.plan_fetch(wanted.select("group", "artifact", "version").distinct(), there)
+    return [r.jar for r in plan.where("status = 'local'").select("jar").collect()]  # a project's dependencies, a few hundred
+
+
+def tools(store: Store, roots: list[str]) -> Tools:
+    """The tools over a store; with ``roots`` classes that are asked for and not indexed are looked for in their archives."""
+    on_miss = (lambda fqn: index.index_missing(store, fqn, *roots)) if roots else None
+    return Tools(store.tables, on_miss=on_miss, version=lambda: tuple(store.version(n) for n in ("classes", "methods", "invokes")))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=None) -> int:
@@ -77,14 +85,14 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=N
     elif a.command == "index":
         say(vars(index.index_archives(store, *a.archives, sources=tuple(a.sources))))
     elif a.command == "serve":
-        server = Server(Tools(store.tables), Bus())
+        server = Server(tools(store, a.root), Bus())
         if a.http:
             serve_http(server, a.http).serve_forever()
         else:
             serve_stdio(server)
     elif a.command == "query":
         arguments = dict(x.split("=", 1) for x in a.arguments)
-        say(Tools(store.tables).call(a.tool, {k: json.loads(v) if v in ("true", "false") or v.lstrip("-").isdigit() else v for k, v in arguments.items()}))
+        say(tools(store, a.root).call(a.tool, {k: json.loads(v) if v in ("true", "false") or v.lstrip("-").isdigit() else v for k, v in arguments.items()}))
     elif a.command in ("doctor", "stats"):
         counts = {r["name"]: r["value"] for r in lookup.stats(store.tables()).collect()}  # a few dozen names
         version = lookup.schema_version(store.read("schema_history")).first().version

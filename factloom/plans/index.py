@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom import schema
 from factloom.functions import coordinates as C
+from factloom.functions import symbols as S
 from factloom.operators import maintain, wiring
 from factloom.session import cut
 from factloom.sources import archives as A
@@ -62,6 +63,14 @@ def index_archives(store: Store, *paths: str, sources: tuple[str, ...] = (), rep
         _store_facts(store, cut(classfile.extract(read.join(fresh.select("archive", "fqn"), ["archive", "fqn"], "left_semi"))), fresh)
     report.by_artifact = {r.gav: r.n for r in fresh.join(artifact.withColumnRenamed("archive", "_a"), "artifact_id").groupBy(F.col("_a").alias("gav")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row an archive
     _store_frameworks(store, files, sources)
+    unread = A.missing_bytes(listed, read)
+    if sources:
+        texts = A.sources(A.archives(spark, *sources)).select("fqn")
+        without = fresh.select("fqn").where("NOT contains(fqn, '$')").join(texts, "fqn", "left_anti").select(F.lit("missing_source").alias("kind"), F.col("fqn").alias("target"), F.lit("no source text").alias("message"), F.lit("INFO").alias("severity"))
+        unread = unread.unionByName(without)
+    # issues of other kinds with the same target stay
+    old = store.read("issues").join(unread.select("kind", "target"), ["kind", "target"], "left_anti")
+    store.write("issues", cut(schema.conform(old.unionByName(unread, allowMissingColumns=True), "issues")))
     report.issues = store.read("issues").count()
     return report
 
@@ -104,6 +113,8 @@ def _store_frameworks(store: Store, files: DataFrame, sources: tuple[str, ...])
     store.upsert("spring_beans", cut(beans.join(ids, "type_fqn", "left").groupBy("name", "type_fqn").agg(F.max_by(F.struct("source", "scope", "primary_b", "class_id"), "rank").alias("b")).select("name", "type_fqn", "b.*")))
     stored = store.read("spring_beans")
     if j:
+        named = store.read("methods").join(classes.select(F.col("id").alias("class_id"), "fqn"), "class_id").withColumn("parameter_types", S.parameter_types(F.col("desc")))
+        store.write("methods", cut(java.attribute_lines(named, j["method_lines"])))
         found = wiring.resolve_injects(j["sites"].withColumn("site_id", F.xxhash64("owner", "field_or_param")), stored, classes)
         owned = found.join(classes.select(F.col("fqn").alias("owner"), F.col("id").alias("owner_class_id")), "owner")
         store.replace("spring_injects", cut(owned), "owner_class_id")
@@ -137,12 +148,41 @@ def _store_frameworks(store: Store, files: DataFrame, sources: tuple[str, ...])
     store.replace("issues", x["issues"], "target")
 
 
+def index_missing(store: Store, fqn: str, *roots: str) -> bool:
+    """Indexes the first archive below ``roots`` that holds a class; false if none does."""
+    listed = A.archives(store.spark, *(f"{r.rstrip('/')}/*.jar" if not r.endswith(".jar") else r for r in roots))
+    hit = A.class_list(listed).where(F.col("fqn") == fqn).agg(F.min("archive")).first()[0]
+    if hit is None:
+        return False
+    index_archives(store, hit)
+    return True
+
+
 def warm(store: Store, *paths: str, cap: int = 50) -> DataFrame:
-    """Archives read ahead into the cache table, least recently used ones leaving; returns the cache."""
+    """Archives read ahead into the cache tables with their classes, methods and calls, least recently used ones leaving;
+    unchanged ones are not read again. Returns the cache."""
     files = A.archives(store.spark, *paths)
     counts = A.class_list(files).groupBy(F.col("archive").alias("jar_path")).agg(F.count(F.lit(1)).cast("int").alias("classes_count"))
     now = F.date_format(F.current_timestamp(), "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'")
-    seen = files.select(F.col("path").alias("jar_path"), F.sha2("content", 256).alias("jar_sha256"), F.unix_millis("modificationTime").alias("jar_mtime_ms"))
-    fresh = schema.conform(seen.join(counts, "jar_path", "left").withColumn("extracted_at", now).withColumn("last_access_at", now), "m2_caches").withColumn("id", schema.stable_id(F.col("jar_path")))
-    store.write("m2_caches", cut(maintain.evict(maintain.cache_touch(maintain.cache_upsert(store.read("m2_caches"), fresh), fresh.select("jar_path", F.col("last_access_at").alias("at"))), cap)))
+    seen = cut(files.select(F.col("path").alias("jar_path"), F.sha2("content", 256).alias("jar_sha256"), F.unix_millis("modificationTime").alias("jar_mtime_ms")))
+    cached = store.read("m2_caches")
+    # what is cached and unchanged is only touched; what is new or changed is read anew
+    kept = seen.join(cached.select("jar_path", "jar_sha256"), ["jar_path", "jar_sha256"], "left_semi").select("jar_path")
+    wanted = cut(seen.join(kept, "jar_path", "left_anti").select("jar_path"))
+    t = classfile.fact_tables(cut(classfile.extract(A.class_bytes(files.join(wanted.withColumnRenamed("jar_path", "path"), "path", "left_semi")))))
+    jar = F.col("archive").alias("jar_path")
+    class_id, method_id = schema.stable_id(F.col("fqn"), F.col("archive")), schema.stable_id(F.col("fqn"), F.col("archive"), F.col("name"), F.col("desc"))
+    store.replace("m2_classes", cut(t["classes"].select(class_id.alias("id"), "fqn", "super_fqn", "access", "interfaces", jar)), "jar_path")
+    store.replace("m2_methods", cut(t["methods"].select(method_id.alias("id"), class_id.alias("m2_class_id"), "name", "desc", "access")), "m2_class_id")
+    store.replace("m2_invokes", cut(t["invokes"].select(method_id.alias("caller_m2_method_id"), F.col("callee_owner").alias("callee_class_fqn"), F.col("callee_name").alias("callee_method_name"), F.col("callee_desc").alias("callee_method_desc"), F.col("kind").alias("call_kind"))), "caller_m2_method_id")
+    n = lambda name, as_: t[name].groupBy(F.col("archive").alias("jar_path")).agg(F.count(F.lit(1)).cast("int").alias(as_))
+    fresh = seen.join(wanted, "jar_path", "left_semi").join(counts, "jar_path", "left").join(n("methods", "methods_count"), "jar_path", "left").join(n("invokes", "invokes_count"), "jar_path", "left")
+    rows = schema.conform(fresh.withColumn("extracted_at", now).withColumn("last_access_at", now), "m2_caches").withColumn("id", schema.stable_id(F.col("jar_path")))
+    touched = seen.select("jar_path", now.alias("at"))
+    store.write("m2_caches", cut(maintain.evict(maintain.cache_touch(maintain.cache_upsert(cached, rows), touched), cap)))
+    # archives that had to leave take their facts along
+    left = store.read("m2_caches").select("jar_path")
+    store.write("m2_classes", cut(store.read("m2_classes").join(left, "jar_path", "left_semi")))
+    store.write("m2_methods", cut(store.read("m2_methods").join(store.read("m2_classes").select(F.col("id").alias("m2_class_id")), "m2_class_id", "left_semi")))
+    store.write("m2_invokes", cut(store.read("m2_invokes").join(store.read("m2_methods").select(F.col("id").alias("caller_m2_method_id")), "caller_m2_method_id", "left_semi")))
     return store.read("m2_caches")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom.functions.names import class_ref, class_ref_sql
 from factloom.operators import dangling, hierarchy as H, nested, skewed_counts as S
-from factloom.session import cut, table
+from factloom.session import cut, loaded, table
 from factloom.sources.store import read_tagged, write_tagged
 
 
@@ -138,20 +138,11 @@ def _tagged(spark: SparkSession, root: str, with_columns: bool) -> DataFrame:
     return nested.emit_tagged(table(spark, root, "raw_configs"), F.col("record_id"), F.col("payload"), with_columns)
 
 
-#: tagged rows already written: (application, place, bytes, time of change) to path
-_written: dict[tuple, str] = {}
-
-
 def _flat_tables(spark: SparkSession, root: str) -> dict[str, DataFrame]:
     """The flat tables of all configurations: one pass writes them partitioned by tag, whichever is asked for first; as long
     as the configurations stay the same all queries of a session read what it wrote."""
-    jvm, sc = spark.sparkContext._jvm, spark.sparkContext
-    place = jvm.org.apache.hadoop.fs.Path(f"{root}/raw_configs.parquet")
-    fs = place.getFileSystem(sc._jsc.hadoopConfiguration())
-    key = (sc.applicationId, f"{root}", fs.getContentSummary(place).getLength(), fs.getFileStatus(place).getModificationTime())
-    if key not in _written:
-        _written[key] = write_tagged(_tagged(spark, root, True))
-    return nested.split_tables(lambda tag: read_tagged(spark, _written[key], tag, nested.TAGGED))
+    path = loaded(spark, root, "raw_configs", "flat", lambda: write_tagged(_tagged(spark, root, True)))
+    return nested.split_tables(lambda tag: read_tagged(spark, path, tag, nested.TAGGED))
 
 
 def p4_found(spark: SparkSession, root: str) -> DataFrame:

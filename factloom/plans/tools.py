@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom import schema
 from factloom.operators import graph, lookup
+from factloom.session import cut
 
 PAGE = 10_000
 
@@ -43,9 +44,16 @@ CATALOGUE: dict[str, tuple[str, dict[str, dict], list[str]]] = {
 class Tools:
     """``tables`` maps names of the schema to DataFrames, read anew for each question."""
 
-    def __init__(self, tables: Callable[[], Mapping[str, DataFrame]], dialect: str = "spark", on_miss: Callable[[str], None] | None = None, page: int = PAGE) -> None:
-        self.tables, self.dialect, self.on_miss, self.page = tables, dialect, on_miss, page
-        self._graph: tuple[int, DataFrame] | None = None
+    def __init__(self, tables: Callable[[], Mapping[str, DataFrame]], dialect: str = "spark", on_miss: Callable[[str], None] | None = None, page: int = PAGE, version: Callable[[], object] | None = None) -> None:
+        self.tables, self.dialect, self.on_miss, self.page, self.version = tables, dialect, on_miss, page, version
+        self._graph: tuple[object, DataFrame] | None = None
+
+    def _call_graph(self, t: Mapping[str, DataFrame]) -> DataFrame:
+        """The call graph, stored once for each version of the tables; without a version it is made for each question."""
+        now = self.version() if self.version else None
+        if now is None or self._graph is None or self._graph[0] != now:
+            self._graph = now, cut(graph.call_graph(t["invokes"], t["methods"], t["classes"]))
+        return self._graph[1]
 
     def call(self, name: str, arguments: Mapping[str, Any] | None) -> dict[str, Any]:
         if name not in CATALOGUE:
@@ -99,7 +107,7 @@ class Tools:
         if any(self._method(t, *e) is None for e in ends):
             return {"found": False, "reason": "method not found in DB"}
         start, end = (f"{o}#{n}{d}" for o, n, d in ends)
-        path = graph.find_path(graph.call_graph(t["invokes"], t["methods"], t["classes"]), start, end, int(a.get("maxDepth", 8)))
+        path = graph.find_path(self._call_graph(t), start, end, int(a.get("maxDepth", 8)))
         return {"found": True, "path": path} if path else {"found": False}
 
     def _list_issues(self, t, a):

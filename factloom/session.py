@@ -5,7 +5,7 @@ from __future__ import annotations
 import contextlib
 import os
 import uuid
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
@@ -69,6 +69,25 @@ def cut_counted(df: DataFrame, **counted: Column) -> tuple[DataFrame, dict]:
     return read_shared(df, path), counts
 
 
+#: tables made once in a session: (application, name, place, bytes, time of change) to path
+_loaded: dict[tuple, str] = {}
+
+
+def loaded(spark: SparkSession, root: str, source: str, name: str, make: Callable[[], str]) -> str:
+    """The path ``make`` gives, made anew only when the source table has changed since. For tables that many queries of a
+    session read, such as names brought into one form at load."""
+    place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{root}/{source}.parquet")
+    fs = place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    key = (spark.sparkContext.applicationId, name, root, fs.getContentSummary(place).getLength(), fs.getFileStatus(place).getModificationTime())
+    if key not in _loaded:
+        held, _open[:] = _open[:], []  # not part of any scratch block
+        try:
+            _loaded[key] = make()
+        finally:
+            _open[:] = held
+    return _loaded[key]
+
+
 @contextlib.contextmanager
 def scratch(spark: SparkSession) -> Iterator[None]:
     """Tables cut within are removed at the end; for work whose results are stored or collected inside."""

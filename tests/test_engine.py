@@ -2,6 +2,7 @@
 
 import io
 import json
+import os
 import shutil
 import subprocess
 import zipfile
@@ -93,7 +94,7 @@ def test_status_and_symbols(server):
     assert ask(server, "find_symbol", prefix="clinic.Owner")["class"]["fqn"] == "clinic/Owner"
     assert ask(server, "find_symbol", prefix="clinic.Own") == {"matched": False, "prefix": "clinic.Own"}
     found = ask(server, "describe_method", owner="clinic.OwnerController", name="show", desc="(Lclinic/Owner;)V")
-    assert found["method"]["start_line"] == 5 and found["method"]["virtual_lines"] is False
+    assert found["method"]["start_line"] == 4 and found["method"]["virtual_lines"] is False
     assert ask(server, "describe_method", owner="clinic.OwnerController", name="show", desc="()V") == {"found": False}
 
 
@@ -152,6 +153,23 @@ def test_commands(spark, store, tmp_path):
     assert json.loads(run("doctor")[1])["ok"]
 
 
+def test_missing_classes_are_looked_for_and_archives_read_ahead(spark, tmp_path):
+    if not shutil.which("javac"):
+        pytest.skip("no compiler")
+    jar, _ = build(tmp_path)
+    s = Store(spark, str(tmp_path / "facts"))
+    s.migrate()
+    t = cli.tools(s, [os.path.dirname(jar)])
+    assert t.call("find_symbol", {"prefix": "clinic.Owner"})["matched"] is False
+    assert t.call("callers_of", {"owner": "clinic.OwnerService", "name": "save", "desc": "(Lclinic/Owner;)V"})["count"] == 1
+    assert not index.index_missing(s, "no/Such", jar)
+    (cached,) = index.warm(s, jar).collect()
+    assert cached.classes_count == 7 and cached.methods_count == s.read("m2_methods").count() and cached.invokes_count == s.read("m2_invokes").count() > 0
+    (again,) = index.warm(s, jar).collect()
+    assert (again.id, again.extracted_at) == (cached.id, cached.extracted_at) and s.read("m2_classes").count() == 7
+    assert index.warm(s, jar, cap=0).count() == 0 and s.read("m2_invokes").count() == 0
+
+
 def test_rebuild_leaves_nothing(spark, tmp_path):
     s = Store(spark, str(tmp_path / "facts"))
     s.migrate()
