@@ -75,16 +75,16 @@ def _cycles(edges: DataFrame, size: int) -> DataFrame:
     return landed.join(on.select("node", F.lit(True).alias("on")), "node", "left").select("node", "root", F.coalesce("on", F.lit(False)).alias("on"))
 
 
-def hierarchy(edges: DataFrame, paths: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+def hierarchy(edges: DataFrame, paths: bool = True, keep: Sequence[str] = (), unique: bool = False) -> DataFrame:
     """node, root, depth, path and the columns ``keep`` of ``edges`` (of repeated nodes the greatest value): the path runs
     from the root (or the node where a cycle is entered) down to the node.
 
     depth is the number of steps to the root, -1 on a cycle, -2 for a node that leads into one. ``paths=False`` carries
-    no segments and gives a null path.
+    no segments and gives a null path. ``unique`` says that no node is repeated, which spares an aggregate.
     """
     kept = ["_own", *keep]
     rows = edges.where(F.col("node").isNotNull()).withColumn("_own", F.lit(True))
-    one = cut(rows.groupBy("node").agg(F.min("parent").alias("parent"), *(F.max(c).alias(c) for c in kept)))
+    one = cut(rows.select("node", "parent", *kept) if unique else rows.groupBy("node").agg(F.min("parent").alias("parent"), *(F.max(c).alias(c) for c in kept)))
     above = one.where("parent IS NOT NULL").select(F.col("parent").alias("node"), F.lit(True).alias("_inner")).distinct()
     nodes = cut(one.join(above, "node", "full").withColumn("_inner", F.coalesce("_inner", F.lit(False))))
     inner, leaves = nodes.where("_inner").drop("_inner"), nodes.where("NOT _inner").drop("_inner")

@@ -65,14 +65,14 @@ def class_edges(spark: SparkSession, root: str) -> DataFrame:
 
 def p3_found(spark: SparkSession, root: str) -> DataFrame:
     """Root and depth of every class; -1 on a cycle, -2 below one."""
-    tree = H.hierarchy(class_edges(spark, root), False, ["named"]).where("named")
+    tree = H.hierarchy(class_edges(spark, root), False, ["named"], unique=True).where("named")
     return tree.select(F.col("node").alias("fqn"), F.col("root").alias("root_fqn"), F.col("depth").cast("int").alias("depth"))
 
 
 def p3_hierarchy(spark: SparkSession, root: str) -> DataFrame:
     """Root, depth, path from the root and number of descendants of every class. Paths are cut where a cycle is entered, so
     a class on a cycle counts only what enters at itself, not the rest of its cycle nor what hangs there."""
-    tree = cut(H.hierarchy(class_edges(spark, root), True, ["named"]))
+    tree = cut(H.hierarchy(class_edges(spark, root), True, ["named"], unique=True))
     counts = H.descendant_counts(tree)
     return (
         tree.where("named")
@@ -91,7 +91,7 @@ def p3_hierarchy(spark: SparkSession, root: str) -> DataFrame:
 def p3_closure(spark: SparkSession, root: str) -> DataFrame:
     """Every class with each of its descendants and the distance between them; as in p3_hierarchy, paths are cut where a
     cycle is entered: the other classes of a cycle and what hangs on them are left out."""
-    return H.closure(H.hierarchy(class_edges(spark, root), True))
+    return H.closure(H.hierarchy(class_edges(spark, root), True, unique=True))
 
 
 _EDGES_SQL = f"""
