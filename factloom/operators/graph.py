@@ -27,16 +27,23 @@ def subtype_closure(edges: DataFrame, roots: DataFrame) -> DataFrame:
     # children of parents that hold many are spread
     hot = heavy(edges, "subtype")
     spread = salted(edges, "subtype", hot)
-    frontier = cut(roots.select("root", F.col("root").alias("subtype"), F.lit(0).alias("distance")).distinct())
-    found, level = frontier, 0
+    start = roots.select("root", F.col("root").alias("subtype"), F.lit(0).alias("distance")).distinct()
+    written, level = [write_shared(start)[0]], 0
     while True:
         level += 1
-        step = spread.join(repeated(frontier, "subtype", hot), ["subtype", "_salt"]).select("root", F.col("child").alias("subtype")).distinct()
-        frontier = cut(step.join(found, ["root", "subtype"], "left_anti").withColumn("distance", F.lit(level)))
-        if frontier.isEmpty():
-            return found
-        # levels are cut each on its own, so what was found is written once
-        found = found.unionByName(frontier)
+        frontier = read_shared(start, written[-1])
+        step = spread.join(repeated(frontier.drop("distance"), "subtype", hot), ["subtype", "_salt"]).select("root", F.col("child").alias("subtype")).distinct()
+        path, counts = write_shared(_unseen(step, read_shared(start, *written), ["root", "subtype"]).select("root", "subtype", F.lit(level).alias("distance")), n=F.count(F.lit(1)))
+        if not counts["n"]:
+            return read_shared(start, *written)
+        written.append(path)
+
+
+def _unseen(step: DataFrame, found: DataFrame, key: list[str]) -> DataFrame:
+    """Rows of ``step`` whose key was not found before. What was found is narrowed to the keys of the step first, so that late
+    levels, which are small, don't move all of it."""
+    again = found.select(*key).join(step.select(*key), key, "left_semi")
+    return step.join(again, key, "left_anti")
 
 
 def class_kinds(names: DataFrame, classes: DataFrame) -> DataFrame:
@@ -138,23 +145,22 @@ def reach(edges: DataFrame, start: Column | str, max_depth: int, target: str | N
     spark = edges.sparkSession
     order = F.col("edge_ord").cast("bigint") if "edge_ord" in edges.columns else F.xxhash64("src", "dst")
     unique = cut(edges.groupBy("src", "dst").agg(F.min(order).alias("ord")))
-    found = cut(
-        spark.range(1).select(
-            (F.lit(start) if isinstance(start, str) else start).alias("vertex"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("prev"), F.array().cast("array<bigint>").alias("rank")
-        )
+    first = spark.range(1).select(
+        (F.lit(start) if isinstance(start, str) else start).alias("vertex"), F.lit(0).alias("depth"), F.lit(None).cast("string").alias("prev"), F.array().cast("array<bigint>").alias("rank")
     )
-    frontier = found
+    written = [write_shared(first)[0]]
     for level in range(1, max_depth + 1):
-        step = frontier.select(F.col("vertex").alias("src"), "rank").join(unique, "src")
+        step = read_shared(first, written[-1]).select(F.col("vertex").alias("src"), "rank").join(unique, "src")
         chosen = step.groupBy(F.col("dst").alias("vertex")).agg(F.min(F.struct(F.concat("rank", F.array("ord")).alias("rank"), "src")).alias("by"))
-        new = chosen.join(found.select("vertex"), "vertex", "left_anti")
-        frontier = cut(new.select("vertex", F.lit(level).alias("depth"), F.col("by.src").alias("prev"), F.col("by.rank").alias("rank")))
-        if frontier.isEmpty():
+        new = chosen.join(read_shared(first, *written).select("vertex"), "vertex", "left_anti")
+        here = F.col("vertex") == target if target is not None else F.lit(False)
+        path, counts = write_shared(new.select("vertex", F.lit(level).alias("depth"), F.col("by.src").alias("prev"), F.col("by.rank").alias("rank")), n=F.count(F.lit(1)), hit=F.count_if(here))
+        if not counts["n"]:
             break
-        found = found.unionByName(frontier)
-        if target is not None and not frontier.where(F.col("vertex") == target).isEmpty():
+        written.append(path)
+        if counts["hit"]:
             break
-    return found.drop("rank")
+    return read_shared(first, *written).drop("rank")
 
 
 def find_path(edges: DataFrame, start: str, end: str, max_depth: int = 8) -> list[str] | None:
