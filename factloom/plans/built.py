@@ -9,6 +9,7 @@ from __future__ import annotations
 import io
 import struct
 import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 
@@ -17,10 +18,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from factloom.functions import coordinates as C
 from factloom.functions.names import class_ref
+from factloom.plans import index
 from factloom.plans.catalog import CALLS_SQL, _catalogue, calls
-from factloom.session import table
+from factloom.session import cut, scratch, shared_dir, table
 from factloom.sources import archives as A
 from factloom.sources import classfile, java, maven, xml
+from factloom.sources.store import Store
 
 QUERIES, SQL, query = _catalogue()
 
@@ -260,6 +263,24 @@ def condition_facts(spark, root):
     return _facts(spark, root)["conditions"].select("autoconfig_class", "condition_type", "required_class", "applied_to")
 
 
+@query(f"""SELECT {ARCHIVE_SQL} AS artifact, 'first' AS run, count(*) AS n FROM {_CALLS} GROUP BY 1
+UNION ALL SELECT 'skipped', 'second', count(*) FROM {_CALLS} UNION ALL SELECT 'indexed', 'second', 0 UNION ALL SELECT 'stored', 'classes', count(*) FROM {_CALLS} UNION ALL SELECT 'uncertain', 'issues', count(*) FROM {_CALLS} WHERE id % 7 = 0""")
+def indexed_report(spark, root):
+    """Archives of a class file for every call, indexed twice: classes by archive, then all skipped."""
+    made = calls(spark, root).where(_WHOLE).mapInArrow(_class_files, "archive string, fqn string, content binary")
+    number = F.regexp_extract("fqn", r"(\d+)$", 1).cast("bigint")
+    files = cut(archives(made.select(archive_of(number).alias("archive"), number.alias("position"), F.concat("fqn", F.lit(".class")).alias("entry"), "content")))
+    store = Store(spark, f"{shared_dir(spark)}/factloom-{uuid.uuid4().hex}")
+    store.migrate()
+    with scratch(spark):
+        first, second = index.index_files(store, files), index.index_files(store, files)
+    rows = [(a, "first", n) for a, n in first.by_artifact.items()] + [("skipped", "second", second.classes_skipped), ("indexed", "second", second.classes_indexed)]
+    rows += [("stored", "classes", store.read("classes").count()), ("uncertain", "issues", store.read("issues").where("kind = 'uncertain_reflect'").count())]
+    out = spark.createDataFrame(rows, "artifact string, run string, n bigint")
+    store.drop()
+    return out
+
+
 # ---- Java sources --------------------------------------------------------------------------------------------------
 
 _SOURCE = """package {package};

@@ -326,7 +326,7 @@ def _graph(spark, root) -> DataFrame:
 
 @query(f"{_GRAPH_SQL} SELECT * FROM graph WHERE dst IS NOT NULL")
 def call_graph(spark, root):
-    """Every edge after class hierarchy analysis, with confidence, line and note."""
+    """From whole tables without a cap, every edge after class hierarchy analysis, with confidence, line and note."""
     return _graph(spark, root).where("dst IS NOT NULL")
 
 

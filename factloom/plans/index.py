@@ -14,7 +14,7 @@ from factloom import schema
 from factloom.functions import coordinates as C
 from factloom.functions import symbols as S
 from factloom.operators import maintain, wiring
-from factloom.session import cut
+from factloom.session import cut, scratch
 from factloom.sources import archives as A
 from factloom.sources import classfile, java, xml
 from factloom.sources.store import Store
@@ -34,11 +34,17 @@ class Report:
 def index_archives(store: Store, *paths: str, sources: tuple[str, ...] = (), repo: str = "local") -> Report:
     """Indexes archives into the store; unchanged classes are skipped by content."""
     spark = store.spark
-    files = A.archives(spark, *paths)
+    with scratch(spark):
+        return index_files(store, A.archives(spark, *paths), A.archives(spark, *sources) if sources else None, repo)
+
+
+def index_files(store: Store, files: DataFrame, sources: DataFrame | None = None, repo: str = "local") -> Report:
+    """The same for archives as rows (path, content)."""
+    spark = store.spark
     gav = C.coordinate(C.coordinate_from_path(F.col("path")))
     store.upsert("repos", spark.createDataFrame([(repo, "local", "")], "name string, kind string, url string"))
     repo_id = store.read("repos").where(F.col("name") == repo).first().id
-    artifacts = files.select(gav.alias("g"), "path").select(F.lit(repo_id).alias("repo_id"), F.col("g.group").alias("gav_group"), F.col("g.artifact").alias("gav_artifact"), F.col("g.version").alias("gav_version"), "path", F.lit(bool(sources)).alias("has_sources"), F.lit(100).alias("score"))
+    artifacts = files.select(gav.alias("g"), "path").select(F.lit(repo_id).alias("repo_id"), F.col("g.group").alias("gav_group"), F.col("g.artifact").alias("gav_artifact"), F.col("g.version").alias("gav_version"), "path", F.lit(sources is not None).alias("has_sources"), F.lit(100).alias("score"))
     store.upsert("artifacts", artifacts)
     artifact = store.read("artifacts").select(F.col("path").alias("archive"), F.col("id").alias("artifact_id"))
 
@@ -64,8 +70,8 @@ def index_archives(store: Store, *paths: str, sources: tuple[str, ...] = (), rep
     report.by_artifact = {r.gav: r.n for r in fresh.join(artifact.withColumnRenamed("archive", "_a"), "artifact_id").groupBy(F.col("_a").alias("gav")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row an archive
     _store_frameworks(store, files, sources)
     unread = A.missing_bytes(listed, read)
-    if sources:
-        texts = A.sources(A.archives(spark, *sources)).select("fqn")
+    if sources is not None:
+        texts = A.sources(sources).select("fqn")
         without = fresh.select("fqn").where("NOT contains(fqn, '$')").join(texts, "fqn", "left_anti").select(F.lit("missing_source").alias("kind"), F.col("fqn").alias("target"), F.lit("no source text").alias("message"), F.lit("INFO").alias("severity"))
         unread = unread.unionByName(without)
     # issues of other kinds with the same target stay
@@ -95,14 +101,13 @@ def _store_facts(store: Store, facts: DataFrame, fresh: DataFrame) -> None:
     store.replace("issues", t["issues"].unionByName(reflect), "target")
 
 
-def _store_frameworks(store: Store, files: DataFrame, sources: tuple[str, ...]) -> None:
-    spark = store.spark
+def _store_frameworks(store: Store, files: DataFrame, sources: DataFrame | None) -> None:
     store.upsert("spring_boot_autoconfigs", A.autoconfigs(files))
     rows = cut(xml.extract(xml.documents_of(A.entries(files, r"\.xml$"))))
     x = xml.tables(rows)
     j = None
-    if sources:
-        units = A.entries(A.archives(spark, *sources), r"\.java$").where("content IS NOT NULL")
+    if sources is not None:
+        units = A.entries(sources, r"\.java$").where("content IS NOT NULL")
         j = java.tables(cut(java.extract(units.select(F.concat("archive", F.lit("!"), F.col("entry")).alias("source_file"), F.decode("content", "UTF-8").alias("text")))))
     classes = store.read("classes")
     ids = classes.select(F.col("fqn").alias("type_fqn"), F.col("id").alias("class_id"))

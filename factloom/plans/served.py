@@ -4,6 +4,7 @@ against. What these give is answers; a row holds what an answer says.
 
 from __future__ import annotations
 
+import io
 import json
 import uuid
 
@@ -11,9 +12,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from factloom import schema
 from factloom.operators import lookup
+from factloom.plans import cli
 from factloom.plans.catalog import _catalogue
 from factloom.plans.facts import FACTS_SQL, classes, invokes, methods
-from factloom.plans.server import Server
+from factloom.plans.server import Server, serve_stdio
 from factloom.plans.tools import CATALOGUE, Tools
 from factloom.session import cut, shared_dir, table
 from factloom.sources.store import Store
@@ -67,7 +69,7 @@ def tool_answers(spark, root):
 @query(f"""SELECT unnest(['before', 'no method', 'initialize', 'no tool', 'failed', 'tools', 'resources', 'prompts', 'subscribed', 'heard', 'removed', 'notification']) AS request,
   unnest([-32002, -32601, 0, -32602, -32603, {len(CATALOGUE)}, 2, 6, 1, 1, 1, 0]) AS answer""")
 def server_answers(spark, root):
-    """Methods, error codes, resources and prompts of section 2.13, subscriptions of 2.12, A8."""
+    """Methods, error codes, resources and prompts of section 2.13, subscriptions of 2.12 (R1), A8."""
     tables = {name: schema.empty(spark, name) for name in schema.TABLES}
     heard: list[str] = []
     server = Server(Tools(lambda: tables), Bus())
@@ -122,3 +124,34 @@ def store_rebuilt(spark, root):
     out = spark.createDataFrame([(made, version, before, store.read("issues").count())], "n_tables int, version int, n_before bigint, n_after int")
     store.drop()
     return out
+
+
+@query("SELECT unnest([1, 2, 3]) AS line, unnest(['answer', 'answer', 'error -32601']) AS said")
+def stdio_answers(spark, root):
+    """Transports of section 2.13: a request a line, an answer a line; notifications and what is no request get none."""
+    tables = {name: schema.empty(spark, name) for name in schema.TABLES}
+    requests = [{"jsonrpc": "2.0", "id": 1, "method": "initialize"}, {"jsonrpc": "2.0", "method": "tools/list"}, {"jsonrpc": "2.0", "id": 2, "method": "tools/list"}, {"jsonrpc": "2.0", "id": 3, "method": "none"}]
+    sink = io.StringIO()
+    serve_stdio(Server(Tools(lambda: tables), Bus()), io.StringIO("\n".join(map(json.dumps, requests)) + "\n"), sink)
+    said = [json.loads(line) for line in sink.getvalue().splitlines()]
+    return spark.createDataFrame([(x["id"], f"error {x['error']['code']}" if "error" in x else "answer") for x in said], "line int, said string")
+
+
+@query("SELECT unnest(['rebuild', 'doctor', 'stats', 'query']) AS command, unnest([1, (SELECT count(*) FROM classes), (SELECT count(*) FROM classes), (SELECT count(*) FROM classes WHERE id % 2 = 0)]) AS answer")
+def command_answers(spark, root):
+    """Commands of section 2.13 over a store with a row for each class: made anew, counted twice, asked for one kind of issue."""
+    store = _store(spark)
+
+    def run(*argv: str) -> dict:
+        out = io.StringIO()
+        cli.main(["--db", store.root, *argv], spark, out)
+        return json.loads(out.getvalue())
+
+    made = int(run("rebuild")["rebuilt"])
+    c = table(spark, root, "classes")
+    store.write("classes", c.select("id", "fqn"))
+    store.write("issues", c.select("id", F.when(F.col("id") % 2 == 0, "even").otherwise("odd").alias("kind"), F.col("fqn").alias("target")))
+    rows = [("rebuild", made), ("doctor", run("doctor")["classes"]), ("stats", run("stats", "--json")["classes"]), ("query", run("query", "list_issues", "kind=even")["count"])]
+    out = spark.createDataFrame(rows, "command string, answer bigint")
+    store.drop()
+    return out

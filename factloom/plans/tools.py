@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 
 from factloom import schema
 from factloom.operators import graph, lookup
-from factloom.session import cut
+from factloom.session import cut, scratch
 
 PAGE = 10_000
 
@@ -107,7 +107,9 @@ class Tools:
         if any(self._method(t, *e) is None for e in ends):
             return {"found": False, "reason": "method not found in DB"}
         start, end = (f"{o}#{n}{d}" for o, n, d in ends)
-        path = graph.find_path(self._call_graph(t), start, end, int(a.get("maxDepth", 8)))
+        edges = self._call_graph(t)
+        with scratch(edges.sparkSession):
+            path = graph.find_path(edges, start, end, int(a.get("maxDepth", 8)))
         return {"found": True, "path": path} if path else {"found": False}
 
     def _list_issues(self, t, a):

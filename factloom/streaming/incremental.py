@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from factloom.operators import maintain
-from factloom.session import cut
+from factloom.session import cut, scratch
 from factloom.sources.store import Store
 from factloom.streaming.notify import Bus
 
@@ -22,18 +22,19 @@ STATS = "facts://stats"
 
 def merge_files(store: Store, batch: DataFrame, bus: Bus | None = None, changed: Callable[[DataFrame], None] | None = None) -> dict[str, int]:
     """One batch of files(artifact_id, rel_path, sha256, ...): counts of NEW, CHANGED, UNCHANGED."""
-    key = ["artifact_id", "rel_path"]
-    latest = maintain.merge(batch.where("false"), batch, key, stable=[])
-    changes = cut(maintain.classify_changes(store.read("files"), latest, key).where("change <> 'GONE'"))
-    counts = {r.change: r.n for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
-    if counts.keys() - {"UNCHANGED"}:
-        fresh = cut(latest.join(changes.where("change <> 'UNCHANGED'").select(*key), key, "left_semi"))
-        store.upsert("files", fresh)
-        if changed is not None:
-            changed(fresh)
-        if bus is not None:
-            bus.publish(STATS)
-    return {k: counts.get(k, 0) for k in ("NEW", "CHANGED", "UNCHANGED")}
+    with scratch(store.spark):
+        key = ["artifact_id", "rel_path"]
+        latest = maintain.merge(batch.where("false"), batch, key, stable=[])
+        changes = cut(maintain.classify_changes(store.read("files"), latest, key).where("change <> 'GONE'"))
+        counts = {r.change: r.n for r in changes.groupBy("change").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most three rows
+        if counts.keys() - {"UNCHANGED"}:
+            fresh = cut(latest.join(changes.where("change <> 'UNCHANGED'").select(*key), key, "left_semi"))
+            store.upsert("files", fresh)
+            if changed is not None:
+                changed(fresh)
+            if bus is not None:
+                bus.publish(STATS)
+        return {k: counts.get(k, 0) for k in ("NEW", "CHANGED", "UNCHANGED")}
 
 
 def watch_files(stream: DataFrame, store: Store, checkpoint: str, bus: Bus | None = None, changed: Callable[[DataFrame], None] | None = None) -> StreamingQuery:
