@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
-from factloom.session import cut
+from factloom.session import cut, read_shared, write_shared
 
 _GAV = ["group", "artifact", "version"]
 
@@ -24,20 +24,23 @@ def resolve_dependencies(edges: DataFrame, roots: DataFrame, max_depth: int) ->
     """
     coordinate = F.concat_ws(":", *_GAV)
     edges = cut(edges.where(F.col("version").isNotNull()).withColumn("gav", coordinate))
-    seen = cut(roots.select(F.col("pom").alias("gav")).distinct())
-    frontier, out = seen, None
+    top = cut(roots.select(F.col("pom").alias("gav")).distinct())
+    frontier, written, like = top, [], None
     for depth in range(1, max_depth + 1):
-        step = edges.join(frontier.select(F.col("gav").alias("pom")), "pom").join(seen, "gav", "left_anti")
-        found = step.groupBy("gav", *_GAV).agg(F.min("scope").alias("scope"), F.bool_or((F.col("type") == "jar") | (F.col("scope") == "compile")).alias("_go"))
-        found = cut(found.withColumn("depth", F.lit(depth)))
-        if found.isEmpty():
+        step = edges.join(frontier.select(F.col("gav").alias("pom")), "pom").join(top, "gav", "left_anti")
+        if like is not None:
+            step = step.join(read_shared(like, *written).select("gav"), "gav", "left_anti")
+        found = step.groupBy("gav", *_GAV).agg(F.min("scope").alias("scope"), F.bool_or((F.col("type") == "jar") | (F.col("scope") == "compile")).alias("_go")).withColumn("depth", F.lit(depth))
+        path, counts = write_shared(found, n=F.count(F.lit(1)))
+        if not counts["n"]:
             break
-        out = found if out is None else cut(out.unionByName(found))
-        seen = cut(seen.unionByName(found.select("gav")))
-        frontier = found.where("_go").select("gav")
-    if out is None:
+        # each level is written once
+        written.append(path)
+        like = found
+        frontier = read_shared(like, path).where("_go").select("gav")
+    if like is None:
         return edges.limit(0).select(*_GAV, "scope", F.lit(0).alias("depth"))
-    return out.select(*_GAV, "scope", "depth")
+    return read_shared(like, *written).select(*_GAV, "scope", "depth")
 
 
 def external_classes(jars: DataFrame) -> DataFrame:

@@ -22,12 +22,12 @@ NO_METHOD, BAD_PARAMS, FAILED, NOT_READY = -32601, -32602, -32603, -32002
 _END = [("Owner", "class"), ("Name", "method"), ("Desc", "descriptor")]
 #: name: (description, {argument: description}, text)
 PROMPTS: dict[str, tuple[str, dict[str, str], str]] = {
-    "find_callers": ("All callers of a method", {"owner": "declaring class", "name": "method", "desc": "descriptor"}, 'Call `callers_of` with {{"owner": "{owner}", "name": "{name}", "desc": "{desc}"}}. Group the call sites by class and line and point out uncertain ones.'),
-    "find_bean_wiring": ("How a bean is wired", {"class": "class to look at"}, 'Call `find_spring_beans` with {{"type": "{class}"}}, then `find_spring_injects` with {{"class": "{class}"}}. For each site name its candidates and say whether it is certain, probable or open.'),
-    "find_path": ("Shortest call path between two methods", {f"{e}{p}": f"{e} {d}" for e in ("from", "to") for p, d in _END}, 'Call `find_path` from {fromOwner}#{fromName}{fromDesc} to {toOwner}#{toName}{toDesc} and explain each step.'),
-    "find_dubbo_method_tuning": ("Per-method settings of a service", {"interface": "service interface"}, 'Call `find_dubbo_services` with {{"interface": "{interface}"}}, then `find_dubbo_method_configs` with each serviceId. Point out missing timeouts and retries of methods that write.'),
-    "find_mybatis_query_shape": ("What each statement of a mapper returns", {"namespace": "mapper"}, 'Call `find_mybatis_statements` and `find_mybatis_result_maps` with {{"namespace": "{namespace}"}} and match statements with result maps.'),
-    "find_rpc_call_chain": ("Providers, consumers and settings of a service", {"interface": "service interface"}, 'Call `find_dubbo_services` and `find_dubbo_references` with {{"interface": "{interface}"}}, then `find_dubbo_method_configs` for each of them, and draw the chain.'),
+    "find_callers": ("All callers of a method", {"owner": "declaring class", "name": "method", "desc": "descriptor"}, 'Ask `callers_of` about {owner}#{name}{desc}. `count` is exact; while the answer says `truncated`, ask again with a greater `offset`. Report how many rows have each `kind`, then list them by `caller_method_id` and `line`. Ask once more with includeReflect and say what that adds.'),
+    "find_bean_wiring": ("How a bean is wired", {"class": "class to look at"}, 'Take `candidate_bean_ids` of `find_spring_injects` for class {class} and look each id up among the rows of `find_spring_beans`. Present a table of `field_or_param`, `by_axis`, `confidence` and bean names; a site without ids is unresolved.'),
+    "find_path": ("Shortest call path between two methods", {f"{e}{p}": f"{e} {d}" for e in ("from", "to") for p, d in _END}, '`find_path` answers `path` as methods in order, or `found` false, with a `reason` if an end is not stored. Ask it about {fromOwner}#{fromName}{fromDesc} and {toOwner}#{toName}{toDesc}; number the steps, and without a path raise maxDepth from 8 to 16 before giving up.'),
+    "find_dubbo_method_tuning": ("Per-method settings of a service", {"interface": "service interface"}, 'The `id` of each row that `find_dubbo_services` has for {interface} is the serviceId of `find_dubbo_method_configs`. Show `timeout_ms`, `retries` and `loadbalance` by `method_name`; a null means that nothing is set.'),
+    "find_mybatis_query_shape": ("What each statement of a mapper returns", {"namespace": "mapper"}, 'For mapper {namespace}: a `sql_template` from `find_mybatis_statements` that names a resultMap belongs to the row of `find_mybatis_result_maps` with that `map_id`. Give `kind`, `parameter_names`, `type_fqn` and the three child counts side by side.'),
+    "find_rpc_call_chain": ("Providers, consumers and settings of a service", {"interface": "service interface"}, 'Rows of `find_dubbo_services` and `find_dubbo_references` for {interface} belong together where `group_name` and `service_version` agree. Join them so, add the settings of both sides by `find_dubbo_method_configs`, and name consumers without a provider.'),
 }
 
 

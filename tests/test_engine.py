@@ -17,22 +17,22 @@ from factloom.streaming import incremental
 from factloom.streaming.notify import Bus
 
 JAVA = {
-    "clinic/Owner.java": "package clinic;\npublic class Owner { String name; public String name() { return name; } }\n",
-    "clinic/OwnerRepository.java": "package clinic;\npublic interface OwnerRepository { void save(Owner o); }\n",
-    "clinic/Base.java": "package clinic;\npublic class Base { public void log(String s) { } }\n",
-    "clinic/JdbcOwnerRepository.java": "package clinic;\npublic class JdbcOwnerRepository extends Base implements OwnerRepository {\n  public void save(Owner o) { log(o.name()); }\n}\n",
-    "clinic/OwnerService.java": "package clinic;\n@org.springframework.stereotype.Service public class OwnerService {\n  @org.springframework.beans.factory.annotation.Autowired OwnerRepository repository;\n  public void save(Owner o) { repository.save(o); Base b = new Base(); b.log(\"x\"); }\n}\n",
-    "clinic/OwnerController.java": "package clinic;\npublic class OwnerController {\n  OwnerService service = new OwnerService();\n  public void show(Owner o) {\n    service.save(o);\n  }\n}\n",
-    "clinic/Main.java": "package clinic;\npublic class Main { public static void main(String[] a) { new OwnerController().show(new Owner()); } }\n",
+    "yard/Crane.java": "package yard;\npublic class Crane { String name; public String name() { return name; } }\n",
+    "yard/CraneLedger.java": "package yard;\npublic interface CraneLedger { void save(Crane o); }\n",
+    "yard/Base.java": "package yard;\npublic class Base { public void log(String s) { } }\n",
+    "yard/JdbcCraneLedger.java": "package yard;\npublic class JdbcCraneLedger extends Base implements CraneLedger {\n  public void save(Crane o) { log(o.name()); }\n}\n",
+    "yard/CraneWorks.java": "package yard;\n@org.springframework.stereotype.Service public class CraneWorks {\n  @org.springframework.beans.factory.annotation.Autowired CraneLedger repository;\n  public void save(Crane o) { repository.save(o); Base b = new Base(); b.log(\"x\"); }\n}\n",
+    "yard/CraneDesk.java": "package yard;\npublic class CraneDesk {\n  CraneWorks service = new CraneWorks();\n  public void show(Crane o) {\n    service.save(o);\n  }\n}\n",
+    "yard/Main.java": "package yard;\npublic class Main { public static void main(String[] a) { new CraneDesk().show(new Crane()); } }\n",
 }
 STUBS = {
     "org/springframework/stereotype/Service.java": "package org.springframework.stereotype;\nimport java.lang.annotation.*;\n@Retention(RetentionPolicy.RUNTIME) public @interface Service { String value() default \"\"; }\n",
     "org/springframework/beans/factory/annotation/Autowired.java": "package org.springframework.beans.factory.annotation;\nimport java.lang.annotation.*;\n@Retention(RetentionPolicy.RUNTIME) public @interface Autowired { }\n",
 }
 XML = {
-    "applicationContext.xml": '<beans><bean id="jdbc" class="clinic.JdbcOwnerRepository"/></beans>',
-    "dubbo-service.xml": '<beans xmlns:dubbo="d"><dubbo:registry id="r" address="zk://h"/><dubbo:service interface="clinic.OwnerRepository" ref="jdbc" group="g1" version="1.0.0"><dubbo:method name="save" timeout="5000" retries="3"/></dubbo:service><dubbo:reference id="c" interface="clinic.OwnerRepository"/></beans>',
-    "OwnerMapper.xml": '<mapper namespace="clinic.OwnerMapper"><select id="one">SELECT * FROM o WHERE id = #{id}</select><resultMap id="m" type="clinic.Owner"><id/></resultMap></mapper>',
+    "applicationContext.xml": '<beans><bean id="jdbc" class="yard.JdbcCraneLedger"/></beans>',
+    "dubbo-service.xml": '<beans xmlns:dubbo="d"><dubbo:registry id="r" address="zk://h"/><dubbo:service interface="yard.CraneLedger" ref="jdbc" group="g1" version="1.0.0"><dubbo:method name="save" timeout="5000" retries="3"/></dubbo:service><dubbo:reference id="c" interface="yard.CraneLedger"/></beans>',
+    "CraneMapper.xml": '<mapper namespace="yard.CraneMapper"><select id="one">SELECT * FROM o WHERE id = #{id}</select><resultMap id="m" type="yard.Crane"><id/></resultMap></mapper>',
 }
 
 
@@ -42,13 +42,13 @@ def build(root, changed=False):
         (src / name).parent.mkdir(parents=True, exist_ok=True)
         (src / name).write_text(text.replace('b.log("x");', 'b.log("y"); b.log("z");') if changed else text)
     subprocess.run(["javac", "-g", "-d", str(src / "out"), *(str(src / n) for n in JAVA | STUBS)], check=True, timeout=120)
-    jar = root / "clinic-1.0.0.jar"
+    jar = root / "yard-1.0.0.jar"
     with zipfile.ZipFile(jar, "w") as z:
         for name in sorted(JAVA):
             z.write(src / "out" / name.replace(".java", ".class"), name.replace(".java", ".class"))
         for name, text in XML.items():
             z.writestr(name, text)
-    sources = root / "clinic-1.0.0-sources.zip"
+    sources = root / "yard-1.0.0-sources.zip"
     with zipfile.ZipFile(sources, "w") as z:
         for name, text in JAVA.items():
             z.writestr(name, text)
@@ -91,36 +91,36 @@ def ask(server, tool, **arguments):
 def test_status_and_symbols(server):
     n = ask(server, "index_status")
     assert n["classes"] == 7 and n["methods"] == 13 and n["invokes"] >= 8
-    assert ask(server, "find_symbol", prefix="clinic.Owner")["class"]["fqn"] == "clinic/Owner"
-    assert ask(server, "find_symbol", prefix="clinic.Own") == {"matched": False, "prefix": "clinic.Own"}
-    found = ask(server, "describe_method", owner="clinic.OwnerController", name="show", desc="(Lclinic/Owner;)V")
+    assert ask(server, "find_symbol", prefix="yard.Crane")["class"]["fqn"] == "yard/Crane"
+    assert ask(server, "find_symbol", prefix="yard.Own") == {"matched": False, "prefix": "yard.Own"}
+    found = ask(server, "describe_method", owner="yard.CraneDesk", name="show", desc="(Lyard/Crane;)V")
     assert found["method"]["start_line"] == 4 and found["method"]["virtual_lines"] is False
-    assert ask(server, "describe_method", owner="clinic.OwnerController", name="show", desc="()V") == {"found": False}
+    assert ask(server, "describe_method", owner="yard.CraneDesk", name="show", desc="()V") == {"found": False}
 
 
 def test_calls_and_paths(server):
-    callers = ask(server, "callers_of", owner="clinic.OwnerService", name="save", desc="(Lclinic/Owner;)V")
+    callers = ask(server, "callers_of", owner="yard.CraneWorks", name="save", desc="(Lyard/Crane;)V")
     assert callers["count"] == 1
     assert ask(server, "callees_of", callerMethodId=callers["callers"][0]["caller_method_id"])["count"] == 1
-    path = ask(server, "find_path", fromOwner="clinic.Main", fromName="main", fromDesc="([Ljava/lang/String;)V", toOwner="clinic.Base", toName="log", toDesc="(Ljava/lang/String;)V", maxDepth=10)
-    assert path["path"] == ["clinic/Main#main([Ljava/lang/String;)V", "clinic/OwnerController#show(Lclinic/Owner;)V", "clinic/OwnerService#save(Lclinic/Owner;)V", "clinic/Base#log(Ljava/lang/String;)V"]
-    assert ask(server, "find_path", fromOwner="clinic.None", fromName="x", fromDesc="()V", toOwner="a", toName="b", toDesc="()V") == {"found": False, "reason": "method not found in DB"}
+    path = ask(server, "find_path", fromOwner="yard.Main", fromName="main", fromDesc="([Ljava/lang/String;)V", toOwner="yard.Base", toName="log", toDesc="(Ljava/lang/String;)V", maxDepth=10)
+    assert path["path"] == ["yard/Main#main([Ljava/lang/String;)V", "yard/CraneDesk#show(Lyard/Crane;)V", "yard/CraneWorks#save(Lyard/Crane;)V", "yard/Base#log(Ljava/lang/String;)V"]
+    assert ask(server, "find_path", fromOwner="yard.None", fromName="x", fromDesc="()V", toOwner="a", toName="b", toDesc="()V") == {"found": False, "reason": "method not found in DB"}
 
 
 def test_frameworks(server):
-    assert {b["name"] for b in ask(server, "find_spring_beans")["beans"]} == {"jdbc", "ownerService"}
-    (inject,) = ask(server, "find_spring_injects", **{"class": "clinic.OwnerService"})["injects"]
+    assert {b["name"] for b in ask(server, "find_spring_beans")["beans"]} == {"jdbc", "craneWorks"}
+    (inject,) = ask(server, "find_spring_injects", **{"class": "yard.CraneWorks"})["injects"]
     assert inject["confidence"] == "PROBABLE" and len(inject["candidate_bean_ids"]) == 1
     assert "error" in ask(server, "find_spring_injects", **{"class": "no.Such"})
-    (service,) = ask(server, "find_dubbo_services", interface="clinic.OwnerRepository")["services"]
+    (service,) = ask(server, "find_dubbo_services", interface="yard.CraneLedger")["services"]
     assert service["impl_class_id"] and service["group_name"] == "g1"
     (config,) = ask(server, "find_dubbo_method_configs", serviceId=service["id"])["methodConfigs"]
     assert (config["method_name"], config["timeout_ms"], config["retries"], config["async"]) == ("save", 5000, 3, None)
     assert "error" in ask(server, "find_dubbo_method_configs")
-    assert ask(server, "find_dubbo_references", interface="clinic.OwnerRepository")["count"] == 1
+    assert ask(server, "find_dubbo_references", interface="yard.CraneLedger")["count"] == 1
     assert ask(server, "find_dubbo_registries", registryId="r")["count"] == 1
-    assert ask(server, "find_mybatis_statements", namespace="clinic.OwnerMapper", statementId="one")["statements"][0]["parameter_names"] == ["id"]
-    assert ask(server, "find_mybatis_result_maps", typeFqn="clinic.Owner")["count"] == 1 and "error" in ask(server, "find_mybatis_result_maps")
+    assert ask(server, "find_mybatis_statements", namespace="yard.CraneMapper", statementId="one")["statements"][0]["parameter_names"] == ["id"]
+    assert ask(server, "find_mybatis_result_maps", typeFqn="yard.Crane")["count"] == 1 and "error" in ask(server, "find_mybatis_result_maps")
     assert ask(server, "list_issues", kind="")["count"] == 0
     assert ask(server, "find_spring_autoconfigs")["count"] == 0 and ask(server, "find_spring_autoconfig_conditions", type="on_class")["count"] == 0
 
@@ -148,7 +148,7 @@ def test_commands(spark, store, tmp_path):
         out = io.StringIO()
         return cli.main(["--db", store.root, *argv], spark, out), out.getvalue()
 
-    assert json.loads(run("query", "find_symbol", "prefix=clinic.Base")[1])["matched"]
+    assert json.loads(run("query", "find_symbol", "prefix=yard.Base")[1])["matched"]
     assert json.loads(run("stats", "--json")[1])["classes"] == 7 and "classes" in run("stats")[1]
     assert json.loads(run("doctor")[1])["ok"]
 
@@ -160,8 +160,8 @@ def test_missing_classes_are_looked_for_and_archives_read_ahead(spark, tmp_path)
     s = Store(spark, str(tmp_path / "facts"))
     s.migrate()
     t = cli.tools(s, [os.path.dirname(jar)])
-    assert t.call("find_symbol", {"prefix": "clinic.Owner"})["matched"] is False
-    assert t.call("callers_of", {"owner": "clinic.OwnerService", "name": "save", "desc": "(Lclinic/Owner;)V"})["count"] == 1
+    assert t.call("find_symbol", {"prefix": "yard.Crane"})["matched"] is False
+    assert t.call("callers_of", {"owner": "yard.CraneWorks", "name": "save", "desc": "(Lyard/Crane;)V"})["count"] == 1
     assert not index.index_missing(s, "no/Such", jar)
     (cached,) = index.warm(s, jar).collect()
     assert cached.classes_count == 7 and cached.methods_count == s.read("m2_methods").count() and cached.invokes_count == s.read("m2_invokes").count() > 0
