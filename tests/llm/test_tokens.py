@@ -45,7 +45,7 @@ def test_rows(spark):
     texts = [None, "", " ", "Hello world", "x" * 3000, *(random_text(rng) * 3 for _ in range(40)), "dup", "dup"]
     data = [(i, t, "clash") for i, t in enumerate(texts)] + [(500, texts[4], "c"), (500, texts[4], "c"), (None, None, "c")]
     df = spark.createDataFrame(data, "doc_id bigint, text string, ids string")
-    for long_chars, leaf, fan in ((10**6, 1000, 16), (50, 16, 16), (20, 5, 2)):
+    for long_chars, leaf, fan in ((10**6, 1000, 16), (50, 16, 16), (40, 12, 3)):
         out = T.encode_texts(df, F.col("doc_id"), F.col("text"), long_chars=long_chars, leaf_chars=leaf, leaf_bytes=32, fan=fan).collect()
         expect = [(i, T.encoding().encode_ordinary(t) if t else []) for i, t, _ in data]
         assert sorted(map(repr, ((r.doc_id, r.ids) for r in out))) == sorted(map(repr, expect))
