@@ -346,31 +346,46 @@ def _sql_fields(tokens: list[Token]) -> list[tuple[str, str]]:
     return fields
 
 
-def fields_of(text: str | None) -> list[tuple[str, str]]:
-    """Pairs of field name and normalised value of one text; empty if it has no content."""
+def _taken_apart(text: str | None) -> tuple[list[tuple[str, str]], list[Token]] | None:
+    """Fields of the outer tag, and the tokens of the statement; None if there is no content."""
     if text is None:
-        return []
+        return None
     rest = text[_LEAD.match(text).end() :]
     if not rest:
-        return []
+        return None
     if rest[0] != "<" or not rest[1:2].isalpha():
-        return _sql_fields(_fold(list(_sql_tokens(rest))))
+        return [], list(_sql_tokens(rest))
     tokens = list(_xml_tokens(rest))
     while tokens and tokens[-1] == ("o", ";"):
         tokens.pop()
     first, *attributes = tokens[0][1].split("\x1e")
     if tokens[0][0] != "<" or tokens[-1] != (">", first):
-        return [("tokens", _render(tokens))]
-    return [("tag", first), *(("attribute", a) for a in attributes), *_sql_fields(_fold(tokens[1:-1]))]
+        return [("tokens", _render(tokens))], []
+    return [("tag", first), *(("attribute", a) for a in attributes)], tokens[1:-1]
+
+
+def _fields(outer: list[tuple[str, str]], tokens: list[Token]) -> list[tuple[str, str]]:
+    return outer if outer and outer[0][0] == "tokens" else outer + _sql_fields(_fold(tokens))
+
+
+def fields_of(text: str | None) -> list[tuple[str, str]]:
+    """Pairs of field name and normalised value of one text; empty if it has no content."""
+    apart = _taken_apart(text)
+    return _fields(*apart) if apart else []
 
 
 def statement_fields(template: str | None, normalised: str | None) -> list[str] | None:
     """Fields of both columns, each once: repeats are numbered. None if the template has no content."""
-    mine = fields_of(template)
-    if not mine:
+    apart = _taken_apart(template)
+    if not apart:
         return None
+    outer, tokens = apart
+    mine = _fields(outer, tokens)
+    other = _taken_apart(normalised)
+    # what is token by token the same has the same fields
+    theirs = [] if not other else mine[len(outer) :] if not other[0] and other[1] == tokens and len(mine) > len(outer) else _fields(*other)
     pairs = [f"t\x1c{n}\x1c{v}" for n, v in mine]
-    pairs += ["n\x1cnull"] if normalised is None else [f"n\x1c{n}\x1c{v}" for n, v in fields_of(normalised)]
+    pairs += ["n\x1cnull"] if normalised is None else [f"n\x1c{n}\x1c{v}" for n, v in theirs]
     if len(set(pairs)) == len(pairs):
         return pairs
     seen: Counter[str] = Counter()
