@@ -44,7 +44,7 @@ TABLES: dict[str, Table] = {
     "spring_injects": Table("id bigint, owner_class_id bigint, field_or_param string, by_axis string, confidence string, candidate_bean_ids array<bigint>", parent=("owner_class_id", "classes"), purpose="Injection sites with candidate beans"),
     "dubbo_services": Table("id bigint, interface_fqn string, impl_class_id bigint, group_name string, service_version string, protocol string, source string, ref_bean_name string, registry_id string", ("interface_fqn", "group_name", "service_version", "ref_bean_name", "impl_class_id", "registry_id"), purpose="Service providers"),
     "dubbo_references": Table("id bigint, interface_fqn string, field_id bigint, group_name string, service_version string, confidence string, ref_id string, registry_id string, consumer_class_fqn string", ("interface_fqn", "group_name", "service_version", "ref_id", "field_id", "registry_id", "consumer_class_fqn"), purpose="Service consumers"),
-    "dubbo_method_configs": Table("id bigint, service_id bigint, reference_id bigint, method_name string, timeout_ms int, retries int, loadbalance string, async boolean, sent boolean", ("service_id", "reference_id", "method_name"), since=4, purpose="Per-method tuning"),
+    "dubbo_method_configs": Table("id bigint, service_id bigint, reference_id bigint, method_name string, timeout_ms bigint, retries int, loadbalance string, async boolean, sent boolean", ("service_id", "reference_id", "method_name"), since=4, purpose="Per-method tuning"),
     "dubbo_registries": Table("id bigint, registry_id string, address string, protocol string, port int, username string, parameters map<string,string>, source_file string", ("source_file", "registry_id"), since=7, purpose="Registries"),
     "mybatis_statements": Table("id bigint, mapper_namespace string, statement_id string, kind string, sql_template string, sql_normalized string, parameter_names array<string>, defined_in_file string, line_no int, provider_class string, provider_method string", ("mapper_namespace", "statement_id"), purpose="Mapped statements as template and normalised text"),
     "mybatis_result_maps": Table("id bigint, mapper_namespace string, map_id string, type_fqn string, extends_ string, auto_mapping boolean, property_count int, association_count int, collection_count int", ("mapper_namespace", "map_id"), since=4, purpose="Row shapes of result maps"),

@@ -45,11 +45,13 @@ def named(root: ET.Element, name: str) -> Iterator[ET.Element]:
     return (e for e in root.iter() if local(e.tag) == name)
 
 
-def _int(text: str | None) -> int | None:
+def _int(text: str | None, bits: int = 32) -> int | None:
+    """The number; None for what is none or doesn't fit the column."""
     try:
-        return int(text) if text else None
+        n = int(text) if text else None
     except ValueError:
         return None
+    return n if n is not None and -1 << bits - 1 <= n < 1 << bits - 1 else None
 
 
 def _bool(text: str | None) -> bool | None:
@@ -100,7 +102,7 @@ def services(root: ET.Element) -> Iterator[dict]:
                 if local(m.tag) == "method" and m.get("name", "").strip():
                     yield {
                         "tag": "method", "position": k, "source": kind, "name": m.get("name"), "type": interface, "group": e.get("group", ""), "version": e.get("version", ""), "ref": e.get("ref" if kind == "service" else "id", ""), "registry": e.get("registry", ""),
-                        "timeout": _int(m.get("timeout")), "retries": _int(m.get("retries")), "loadbalance": m.get("loadbalance") or None, "async": _bool(m.get("async")), "sent": _bool(m.get("sent")),
+                        "timeout": _int(m.get("timeout"), 64), "retries": _int(m.get("retries")), "loadbalance": m.get("loadbalance") or None, "async": _bool(m.get("async")), "sent": _bool(m.get("sent")),
                     }
 
 
@@ -162,8 +164,8 @@ def mapper(root: ET.Element) -> Iterator[dict]:
 
 # ---- tables --------------------------------------------------------------------------------------------------------
 
-_ROW = "tag string, source_file string, position int, namespace string, name string, type string, ref string, source string, scope string, primary boolean, group string, version string, registry string, protocol string, address string, port int, username string, parameters string, timeout int, retries int, loadbalance string, async boolean, sent boolean, template string, plain string, properties int, associations int, collections int"
-_ARROW = {"string": pa.string(), "int": pa.int32(), "boolean": pa.bool_()}
+_ROW = "tag string, source_file string, position int, namespace string, name string, type string, ref string, source string, scope string, primary boolean, group string, version string, registry string, protocol string, address string, port int, username string, parameters string, timeout bigint, retries int, loadbalance string, async boolean, sent boolean, template string, plain string, properties int, associations int, collections int"
+_ARROW = {"string": pa.string(), "int": pa.int32(), "bigint": pa.int64(), "boolean": pa.bool_()}
 _ROW_ARROW = pa.schema([(n, _ARROW[t]) for n, t in (c.split() for c in _ROW.split(", "))])
 
 

@@ -168,6 +168,15 @@ def test_services(spark, rows):
     ]
 
 
+def test_numbers_that_do_not_fit(spark, rows):
+    text = """<b><registry id="r" port="{0}"/><service interface="a.A"><method name="m" timeout="{0}" retries="{0}"/></service></b>"""
+    t = X.tables(X.extract(documents(spark, *(text.format(n) for n in (2**31 - 1, 2**31, -(2**31), 2**63 - 1, 2**63)))))
+    assert rows(t["dubbo_method_configs"].select("source_file", "timeout_ms", "retries")) == [
+        ("f0.xml", 2**31 - 1, 2**31 - 1), ("f1.xml", 2**31, None), ("f2.xml", -(2**31), -(2**31)), ("f3.xml", 2**63 - 1, None), ("f4.xml", None, None)
+    ]
+    assert rows(t["dubbo_registries"].select("source_file", "port")) == [("f0.xml", 2**31 - 1), ("f1.xml", None), ("f2.xml", -(2**31)), ("f3.xml", None), ("f4.xml", None)]
+
+
 def test_mapper(spark, rows):
     t = X.tables(X.extract(documents(spark, MAPPER, "<mapper/>")))
     drop, find = t["mybatis_statements"].orderBy("statement_id").collect()
