@@ -29,6 +29,7 @@ def shifted(tmp_path_factory):
     "name",
     [
         "xml_method_configs",
+        "component_scans",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
