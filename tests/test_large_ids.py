@@ -30,6 +30,7 @@ def shifted(tmp_path_factory):
     [
         "xml_method_configs",
         "component_scans",
+        "xml_beans",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
