@@ -31,6 +31,7 @@ def shifted(tmp_path_factory):
         "xml_method_configs",
         "component_scans",
         "xml_beans",
+        "xml_registries",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
