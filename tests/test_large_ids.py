@@ -32,6 +32,7 @@ def shifted(tmp_path_factory):
         "component_scans",
         "xml_beans",
         "xml_registries",
+        "xml_statements",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
