@@ -33,6 +33,7 @@ def shifted(tmp_path_factory):
         "xml_beans",
         "xml_registries",
         "xml_statements",
+        "xml_result_maps",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
