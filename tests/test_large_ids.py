@@ -34,6 +34,7 @@ def shifted(tmp_path_factory):
         "xml_registries",
         "xml_statements",
         "xml_result_maps",
+        "xml_references",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
