@@ -35,6 +35,7 @@ def shifted(tmp_path_factory):
         "xml_statements",
         "xml_result_maps",
         "xml_references",
+        "xml_services",
     ],
 )
 def test_ids_beyond_32_bits(spark, shifted, rows, name):
